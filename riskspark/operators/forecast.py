@@ -1,7 +1,7 @@
 """Index trajectories, what-if, change explanation, outcome comparison and hindcast."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskspark.functions.num import clamp, key9, rnd
 from riskspark.operators import features as FT, risk as R
@@ -140,11 +140,25 @@ def observed_years(admissions: DataFrame, placements: DataFrame, ranking: DataFr
     return y[0].unionByName(y[1]).unionByName(y[2]).unionByName(y[3]).distinct()
 
 
-def state_at_cutoffs(admissions, placements, ranking, signals, cutoffs: DataFrame, critical_depts: list[str]
-                     ) -> DataFrame:
-    """Index, slopes and coverage of every (institution, cutoff)."""
+def last_cutoffs(years: DataFrame, n: int = 2, min_years: int = 2) -> DataFrame:
+    """The last ``n`` observed years of every institution with at least ``min_years`` of them."""
+    w = W.partitionBy(*INST)
+    return years.select(*INST, "academic_year").distinct().withColumns({
+        "_n": F.row_number().over(w.orderBy(F.desc("academic_year"))), "_k": F.count("*").over(w)}).where(
+        (F.col("_n") <= n) & (F.col("_k") >= min_years)).select(*INST, F.col("academic_year").alias("cutoff"))
+
+
+def state_at_cutoffs(admissions, placements, ranking, signals, cutoffs: DataFrame, critical_depts: list[str],
+                     outlook_slopes: bool = False) -> DataFrame:
+    """Index, slopes and coverage of every (institution, cutoff).
+
+    ``outlook_slopes`` selects the slopes without vacancy scaling and dynamic term that the outlook rule uses.
+    """
     a, p, c, s = cut_histories(admissions, placements, ranking, signals, cutoffs)
     cov = FT.slopes_and_coverage(a, p, c, s)
+    if outlook_slopes:
+        slopes = FT.slopes_with_fallback(a, p, c, s)
+        return split_cutoff(with_drift(R.assess(a, p, c, s, critical_depts).select(*INST, "cri"), slopes))
     return split_cutoff(with_drift(R.assess(a, p, c, s, critical_depts).select(*INST, "cri"), cov).join(
         cov.select(*INST, "n_periods", "is_sufficient"), INST))
 

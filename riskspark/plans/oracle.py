@@ -41,3 +41,20 @@ def compose(sql: str) -> str:
     head = ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in order)
     own = re.match(r"\s*WITH\s", sql)
     return f"WITH {head},\n{sql[own.end():]}" if own else f"WITH {head}\n{sql}"
+
+
+def clone(root: str, prefix: str, sources: dict[str, str]) -> str:
+    """Re-create a CTE and what it depends on over other source relations; returns the new root name."""
+    words = lambda t: [w for w in dict.fromkeys(re.findall(r"\b[a-z]\w*", t)) if w in CTES]
+    todo, names = [root], {}
+    while todo:
+        n = todo.pop()
+        if n in names or n in sources:
+            continue
+        names[n] = prefix + n
+        todo += words(CTES[n])
+    table = {**names, **sources}
+    pat = re.compile(r"\b(" + "|".join(sorted(table, key=len, reverse=True)) + r")\b")
+    for old, new in names.items():
+        cte(new, pat.sub(lambda m: table[m.group(1)], CTES[old]))
+    return names[root]
