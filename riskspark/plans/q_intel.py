@@ -18,7 +18,7 @@ SELECT institution_id, domain, metric_name, metric_label, department, academic_y
 UNION ALL
 SELECT institution_id, 'admissions', 'vacancy_rate', 'Seat vacancy', department, academic_year, val, 'ratio',
   'lower_is_better', least(1.0::double, val*1.5::double), false, false, 0.90::double, -1, 'doc_admissions'
-FROM (SELECT *, {r('vacancy_rate', 2)} AS val FROM v_adm)""")
+FROM (SELECT *, {r('vacancy_rate', 1)} AS val FROM v_adm)""")
 
 cte("o_canon", """
 SELECT institution_id, 'admissions' AS domain, 'enrolled_count' AS metric_name, 'Enrolled Students' AS metric_label, department, academic_year,

@@ -166,9 +166,9 @@ class Views:
         )
 
     def signals_full(self) -> DataFrame:
-        """The dynamic signals plus vacancy rates reported a second time at two decimals, so that identical
+        """The dynamic signals plus vacancy rates reported a second time at one decimal, so that identical
         repeats and conflicting figures of canonical metrics both occur."""
-        val = rnd(F.col("vacancy_rate"), 2)
+        val = rnd(F.col("vacancy_rate"), 1)
         again = self._admissions(self.staged("cells")).select(
             F.concat_ws(":", F.lit("again"), "institution_id", "department", "academic_year").alias("signal_id"),
             "institution_id", F.lit("admissions").alias("domain"), F.lit("vacancy_rate").alias("metric_name"),
@@ -248,22 +248,45 @@ class Views:
             F.lit(500.0).alias("radius_km"), F.lit(240).alias("hours_back"),
         )
 
-    def lines(self) -> DataFrame:
-        """Text lines carrying one placement figure each, in the three spellings the extractors read."""
-        p = self.placements()
-        pct = F.col("placement_percentage").cast("string")
-        yr = F.col("academic_year").cast("string")
+    def readings(self) -> DataFrame:
+        """One reported reading per part: a metric label, its raw text and a context phrase."""
+        p = self.table("part")
+        k = F.col("p_partkey")
+        pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % len(xs) + 1).cast("int"))
+        cents = F.floor(F.col("p_retailprice") * 100).cast("bigint")
+        n = (cents % 1000).cast("string")
+        dec = F.concat((cents % 97).cast("string"), F.lit("."), (cents % 10).cast("string"))
+        raw = F.element_at(F.array(
+            F.concat(dec, F.lit("%")), n, F.concat(F.lit("~"), dec, F.lit("%")),
+            F.concat(n, F.lit(" - "), (cents % 1000 + 7).cast("string")), F.concat(dec, F.lit(" LPA")),
+            F.concat(F.lit("1,"), F.lpad(n, 3, "0"), F.lit(" lakhs")), F.lit("TBD"), F.lit(""),
+            F.concat(F.lit("approx "), n), F.lit("2023-24")), (cents % 10 + 1).cast("int"))
         return p.select(
-            F.col("institution_id").alias("doc"),
-            F.concat_ws(":", "department", "academic_year").alias("line_key"),
-            F.col("academic_year"),
-            F.when(F.col("academic_year") % 3 == 0, F.concat(
-                F.lit("Placement Percentage: "), pct, F.lit("% ("), F.col("department"), F.lit(", AY "), yr, F.lit(")")))
-            .when(F.col("academic_year") % 3 == 1, F.concat(F.lit("| Placement Percentage | "), pct, F.lit("% |")))
-            .otherwise(F.concat(F.lit("In AY "), yr, F.lit(" the placement rate reached "), pct, F.lit("% overall")))
-            .alias("text"),
-        )
+            k.alias("rid"), F.concat(F.lit("I"), F.col("p_size").cast("string")).alias("institution_id"),
+            F.concat(pick(LABELS, k), F.when(k % 4 == 0, F.concat(F.lit(" - "), F.translate("p_brand", "#", " "))).otherwise("")).alias("label"),
+            raw.alias("raw_value"), pick(CONTEXTS, F.floor(k / 7)).alias("ctx"),
+            F.concat(F.lit("doc_"), (k % 40).cast("string"), F.lit("_report (2).xlsx")).alias("document"))
+
+    def lines(self) -> DataFrame:
+        """Text lines carrying one reading each, in the three spellings the extractors read."""
+        r = self.readings()
+        k = F.col("rid")
+        return r.select(
+            F.col("institution_id").alias("doc"), k.alias("line_no"), "ctx",
+            F.when(k % 3 == 0, F.concat(F.lit("- "), F.regexp_replace("label", " - ", " / "), F.lit(": "), F.col("raw_value")))
+            .when(k % 3 == 1, F.concat(F.lit("| "), F.col("label"), F.lit(" | "), F.col("raw_value"), F.lit(" |")))
+            .otherwise(F.concat(F.lit("In AY 2022 the reported "), F.lower("label"), F.lit(" reached "), F.col("raw_value"), F.lit(" overall")))
+            .alias("text"))
+
 
+# Fixed values of the reading fixtures.
+LABELS = ["Faculty Attrition Rate", "Research Grants", "Student Attendance %", "Pending Grievances", "Budget Deficit",
+          "Lab Utilization", "Compliance Violations", "Placement Percentage", "Closing Rank", "NAAC Score",
+          "Seat Vacancy", "Sanctioned Intake", "Median Salary", "Mentoring hours per cohort", "Hostel fee dues",
+          "Retention Rate", "Internship Count", "Active MoUs", "Employer Satisfaction", "Pass Percentage",
+          "Total admission enquiries", "Canteen hygiene index", "Library Volumes"]
+CONTEXTS = ["Dept of Physics AY 2023-24", "B.E. in Computer Science and Engineering 2022", "MBA batch 2021-2022",
+            "annual note", "Civil Engg 2019", "ECE report for AY 2020", "M.Tech in VLSI", "School of Law, session 2018 - 19"]
 
 # Fixed values of the event fixtures.
 EVENT_TYPES = ["infrastructure_disruption", "cyber_threat", "supply_chain", "climate_environmental", "conflict",
