@@ -24,28 +24,32 @@ def _chain(pairs: list[tuple[Column, Column]], default: Column) -> Column:
     return out.otherwise(default)
 
 
-def classify_label(label: Column) -> Column:
-    """Struct (domain, metric_name, unit, polarity) of a label: ordered rules, then broad domain words."""
-    low = F.lower(F.trim(label))
-    pack = lambda d, m, u, p: F.struct(d.alias("domain"), m.alias("metric_name"), u.alias("unit"), p.alias("polarity"))
+def classify_metrics(labels: DataFrame, label: str = "label") -> DataFrame:
+    """(label, domain, metric_name, unit, polarity) of every distinct label, computed once per label.
+
+    The ordered rules give one index per label; the attributes are then array lookups, so each pattern is tested at
+    most once. Labels no rule knows fall back to broad domain words.
+    """
+    d = labels.select(label).where(F.col(label).isNotNull()).distinct()
+    d = d.withColumn("_low", F.lower(F.trim(label)))
+    low = F.col("_low")
+    d = d.withColumn("_i", _chain([(low.rlike(p), F.lit(i)) for i, (_, p, _, _, _) in enumerate(M.METRIC_RULES)],
+                                  F.lit(None).cast("int")))
+    rule = lambda k: F.get(F.array(*[F.lit(x[k]) for x in M.METRIC_RULES]), F.col("_i"))
     dom = _chain([(_has_any(low, [w.replace("_", " ") for w in words.split()]), F.lit(d)) for d, words in M.DOMAIN_WORDS],
                  F.lit("general_institutional"))
     slug = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     unit = (
-        F.when(label.contains("%") | _has_any(low, ["percent", "rate", "ratio"]), "%")
+        F.when(F.col(label).contains("%") | _has_any(low, ["percent", "rate", "ratio"]), "%")
         .when(_has_any(low, ["lakh", "inr", "rs"]), "INR_Lakhs").when(low.contains("lpa"), "LPA")
         .when(_has_any(low, ["count", "number", "total"]), "count"))
     pol = (F.when(_has_any(low, M.DOWN_WORDS.split()), M.DOWN).when(_has_any(low, M.UP_WORDS.split()), M.UP)
            .otherwise(M.FLAT))
-    fallback = pack(dom, F.when(slug == "", "institutional_metric").otherwise(slug), unit, pol)
-    rules = [(low.rlike(p), pack(F.lit(d), F.lit(m), F.lit(u), F.lit(s))) for d, p, m, u, s in M.METRIC_RULES]
-    return _chain(rules, fallback)
-
-
-def classify_metrics(labels: DataFrame, label: str = "label") -> DataFrame:
-    """Classification of every distinct label, computed once per label."""
-    d = labels.select(label).where(F.col(label).isNotNull()).distinct()
-    return d.withColumn("_c", classify_label(F.col(label))).select(label, "_c.*")
+    known = F.col("_i").isNotNull()
+    return d.select(
+        label, F.when(known, rule(0)).otherwise(dom).alias("domain"),
+        F.when(known, rule(2)).otherwise(F.when(slug == "", "institutional_metric").otherwise(slug)).alias("metric_name"),
+        F.when(known, rule(3)).otherwise(unit).alias("unit"), F.when(known, rule(4)).otherwise(pol).alias("polarity"))
 
 
 def with_classification(df: DataFrame, label: str) -> DataFrame:

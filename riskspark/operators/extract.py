@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskspark.functions import metric_rules as M
 from riskspark.functions.num import rnd
-from riskspark.functions.text import (classify_label, context_from_text, fingerprint, parse_numeric,
+from riskspark.functions.text import (context_from_text, fingerprint, parse_numeric,
                                       risk_contribution, with_classification)
 
 SHEET = ["doc", "sheet"]

@@ -404,17 +404,17 @@ def _line_out(d):
 
 @query("x04_pipe_rows", line_sql("o_pipe", f"raw_value <> '' AND {_lp['value']} IS NOT NULL"))
 def x04(v: Views):
-    return _line_out(X.extract_pipe_rows(X.classify_lines(v.lines())))
+    return _line_out(X.extract_pipe_rows(stage(X.classify_lines(v.lines()))))
 
 
 @query("x05_key_value_lines", line_sql("o_kv", f"lower(label) NOT IN ({', '.join(q(x) for x in M.CONTEXT_LABELS)}) AND ({_lp['value']} IS NOT NULL OR {_lp['is_ambiguous']})"))
 def x05(v: Views):
-    return _line_out(X.extract_key_value_lines(X.classify_lines(v.lines())))
+    return _line_out(X.extract_key_value_lines(stage(X.classify_lines(v.lines()))))
 
 
 @query("x06_prose_metrics")
 def x06(v: Views):
-    return _line_out(X.extract_prose_metrics(X.classify_lines(v.lines())))
+    return _line_out(X.extract_prose_metrics(stage(X.classify_lines(v.lines()))))
 
 
 cte("o_long", f"""

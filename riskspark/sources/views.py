@@ -233,7 +233,7 @@ class Views:
         )
 
     def sources(self) -> DataFrame:
-        no = F.regexp_replace("source", "[^0-9]", "").cast("int")
+        no = F.regexp_replace("source", "[^0-9]", "").try_cast("int")
         return self.table("documents").select("source").distinct().select(
             F.col("source").alias("source_id"),
             F.concat(F.lit("g"), (no % 8).cast("string")).alias("independence_group"),
