@@ -385,14 +385,18 @@ FROM (SELECT *, {clamp(f'cri + 1*({_d1})')} AS p, lead(cutoff) OVER (PARTITION B
 JOIN kk_state n ON n.institution_id = s.institution_id AND n.cutoff = s.nc WHERE s.is_sufficient""")
 
 
-@query("t07_hindcast", _outc.format("o_hind"))
-def t07(v: Views):
+def t07_comparisons(v: Views):
     a, p, c = v.canonical()
     s = v.staged("signals")
     cut = T.observed_years(a, p, c, s).select("institution_id", F.col("academic_year").alias("cutoff"))
     return T.hindcast(stage(T.state_at_cutoffs(a, p, c, s, stage(cut), CORE_DEPTS)))
 
 
+@query("t07_hindcast", _outc.format("o_hind"))
+def t07(v: Views):
+    return t07_comparisons(v)
+
+
 _acc = "CASE WHEN predicted_value BETWEEN 0 AND 1 AND observed_value BETWEEN 0 AND 1 THEN 1.0 - a ELSE 1.0 - a/greatest(abs(observed_value), abs(predicted_value), 1.0::double) END"
 
 

@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None):
 def load() -> None:
     """Import every query module (each registers its entries)."""
     from riskspark.plans import (  # noqa: F401
-        oracle_views, q_risk, q_intel, q_data, q_events,
+        oracle_views, q_risk, q_intel, q_data, q_events, q_more,
     )
 
 

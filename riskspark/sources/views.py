@@ -18,6 +18,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # all times of the model are UTC
         self._staged: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
