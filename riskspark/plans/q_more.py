@@ -1,5 +1,6 @@
 """Queries for sources, evidence, network, memory and streaming operators."""
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -521,10 +522,14 @@ def _event_stream(v: Views):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _shared_folder(v: Views, prefix: str) -> str:
+    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base}/{prefix}-{uuid.uuid4().hex}"
+
+
 def _drain(v: Views, df, mode: str = "append"):
     """Run a stream over everything available into a table in the shared folder and read it back."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    out = tempfile.mkdtemp(prefix="stream-", dir=base) if "://" not in base else f"{base}/stream-{v.spark.sparkContext.applicationId}-{id(df)}"
+    out = _shared_folder(v, "stream")
     q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return v.spark.read.schema(df.schema).parquet(f"{out}/data")
@@ -536,6 +541,20 @@ def r01s(v: Views):
     return _drain(v, ST.stream_dedup_content(s)).select("event_id", "content_hash")
 
 
+@query("r02_stream_refresh", """
+WITH f AS (SELECT sha256(lower(concat_ws(':', 'u' || (user_id % 25), event_type, floor(value)::bigint)))[1:24] AS fingerprint, event_id FROM events)
+SELECT fingerprint, min(event_id) AS seq FROM f GROUP BY 1""")
+def r02(v: Views):
+    """Two refreshes of one stream into a ledger: the second, with a new log, replays everything and adds nothing."""
+    key = F.lower(F.concat_ws(":", F.concat(F.lit("u"), F.col("user_id") % 25), "event_type", F.floor("value").cast("string")))
+    s = _event_stream(v).select(F.substring(F.sha2(key, 256), 1, 24).alias("fingerprint"), F.col("event_id").alias("seq"))
+    s = s.withColumn("signal_id", F.concat(F.lit("sig_"), "fingerprint"))
+    root = _shared_folder(v, "refresh")
+    for run in ("first", "again"):
+        ST.stream_refresh(s, f"{root}/ledger", f"{root}/log-{run}").awaitTermination()
+    return v.spark.read.parquet(f"{root}/ledger").select("fingerprint", "seq")
+
+
 @query("r03_place_density", """
 WITH w AS (SELECT 'u' || (user_id % 25) AS place, unnest(range(0, 24)) AS k, floor(epoch(ts))::bigint // 3600 * 3600 AS h FROM events)
 SELECT h - k*3600 AS window_start_s, place, count(*) AS n_events FROM w GROUP BY 1, 2""")
