@@ -34,7 +34,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     b = spark.read.format("binaryFile").load(path)
     text = F.col("content").cast("string")
     decoded = F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^﻿", "")).otherwise(
-        F.decode("content", F.lit("ISO-8859-1")))
+        F.decode("content", "ISO-8859-1"))
     return b.select(F.element_at(F.split("path", "/"), -1).alias("doc"), decoded.alias("content"))
 
 
