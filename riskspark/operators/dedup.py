@@ -71,18 +71,21 @@ def ranked_tokens(sh: DataFrame) -> DataFrame:
         "ranked", F.coalesce(F.transform("_r", lambda x: x["token"]), F.array().cast("array<string>"))).drop("_r")
 
 
-def _prefix(min_jaccard: float) -> Column:
+def _prefix(min_jaccard: Column) -> Column:
     """Leading tokens of which two sets with at least this Jaccard must share one."""
     n = F.size("ranked")
-    keep = n - F.ceil(n * F.lit(min_jaccard)).cast("int") + 1
+    keep = n - F.ceil(n * F.greatest(min_jaccard, F.lit(1e-9))).cast("int") + 1
     return F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.least(n, keep)))
 
 
-def _blocked_pairs(left: DataFrame, right: DataFrame, keys: list[str], min_jaccard: float) -> DataFrame:
-    """Pairs of shape ids equal on ``keys`` that share a prefix token."""
-    side = lambda d, n: d.select(F.col("shape").alias(n), *keys, F.explode(_prefix(min_jaccard)).alias("_t"))
-    return side(left, "shape_a").join(side(right, "shape_b"), [*keys, "_t"]).where("shape_a <> shape_b").select(
-        "shape_a", "shape_b").distinct()
+def _blocked_pairs(left: DataFrame, right: DataFrame, keys: list[str], need_left: Column, need_right: float) -> DataFrame:
+    """Pairs of shape ids equal on ``keys`` that share a prefix token.
+
+    The left threshold may differ by row; the right one is the lowest of the block, whose longer prefix covers all.
+    """
+    side = lambda d, n, j: d.select(F.col("shape").alias(n), *keys, F.explode(_prefix(j)).alias("_t"))
+    return side(left, "shape_a", need_left).join(side(right, "shape_b", F.lit(need_right)), [*keys, "_t"]).where(
+        "shape_a <> shape_b").select("shape_a", "shape_b").distinct()
 
 
 def _score_pairs(pairs: DataFrame, sh: DataFrame) -> DataFrame:
@@ -103,9 +106,9 @@ def similar_shapes(sh: DataFrame) -> DataFrame:
     r = stage(ranked_tokens(sh))
     need = lambda place, kind: (CONFIRMED - HALF_STEP - W_PLACE * place - W_KIND * kind - W_TIME) / W_TITLE
     pairs = (
-        _blocked_pairs(r, r, ["country_l", "city_l", "event_type"], need(1.0, 1.0))
-        .unionByName(_blocked_pairs(r, r, ["country_l", "city_l"], need(1.0, 0.0)))
-        .unionByName(_blocked_pairs(r, r, ["country_l", "event_type"], need(0.4, 1.0)))
+        _blocked_pairs(r, r, ["country_l", "city_l", "event_type"], F.lit(need(1.0, 1.0)), need(1.0, 1.0))
+        .unionByName(_blocked_pairs(r, r, ["country_l", "city_l"], F.lit(need(1.0, 0.0)), need(1.0, 0.0)))
+        .unionByName(_blocked_pairs(r, r, ["country_l", "event_type"], F.lit(need(0.4, 1.0)), need(0.4, 1.0)))
     ).distinct()
     return _score_pairs(pairs, sh).where(F.col("base") + W_TIME >= CONFIRMED - HALF_STEP)
 
@@ -139,11 +142,10 @@ def resolve_canonical(shaped: DataFrame, near: DataFrame) -> DataFrame:
     open_ = stage(shaped.select(*cols).join(edges.select(F.col("shape_a").alias("shape")), "shape", "left_semi").select(*cols))
     while not open_.isEmpty():
         lead = open_.groupBy("shape").agg(F.min_by(F.struct("event_id", "arrival", "published_s"), "arrival").alias("l"))
-        lead = stage(lead.select("shape", "l.*"))
+        lead = lead.select("shape", "l.*")
+        first = lambda n: lead.select(F.col("shape").alias(f"shape_{n}"), F.col("arrival").alias(f"_{n}"))
         blocked = (
-            edges.where("shape_a <> shape_b")
-            .join(lead.select(F.col("shape").alias("shape_a"), F.col("arrival").alias("_a")), "shape_a")
-            .join(lead.select(F.col("shape").alias("shape_b"), F.col("arrival").alias("_b")), "shape_b")
+            edges.where("shape_a <> shape_b").join(first("a"), "shape_a").join(first("b"), "shape_b")
             .where("_b < _a").select(F.col("shape_a").alias("shape")).distinct()
         )
         new = stage(lead.join(blocked, "shape", "left_anti").select(*cols))
@@ -192,28 +194,36 @@ def _place_candidates(canon: DataFrame) -> DataFrame:
     return _earliest_in_group(c, ["country_l", "city_l", "event_type"], F.lit(W_PLACE + W_KIND))
 
 
-def _shared_word_candidates(canon: DataFrame) -> DataFrame:
+def _shared_word_candidates(canon: DataFrame, floors: DataFrame) -> DataFrame:
     """Canonical pairs below the confirmed class that share title words, scored exactly.
 
-    Required overlap by place: any shared word inside one country, .219 (equal type) or .519 elsewhere. The scored
-    pairs flow straight into the per-event maximum; equal shapes were collapsed before.
+    An event already has the score of its best match by place or equal shape (its floor), so a pair only matters when
+    it can reach that score. Each block states what its place and type parts contribute; the rest of the floor must
+    come from shared words, which sets the length of the rare-word prefix.
     """
-    sh = stage(ranked_tokens(shapes(canon)))
-    need = lambda kind: (CANDIDATE - HALF_STEP - W_KIND * kind - W_TIME) / W_TITLE
-    tiny = 1e-9
+    per_shape = canon.select("event_id", "shape").join(floors, "event_id", "left").groupBy("shape").agg(
+        F.min(F.coalesce("floor", F.lit(CANDIDATE))).alias("floor"))
+    sh = shapes(canon)
+    r = stage(ranked_tokens(sh).join(per_shape, "shape"))
+    placed, sited = r.where("country_l <> ''"), r.where("country_l <> '' AND city_l <> ''")
+
+    def block(side: DataFrame, keys: list[str], place: float, kind: float) -> DataFrame:
+        given = HALF_STEP + W_PLACE * place + W_KIND * kind + W_TIME
+        return _blocked_pairs(side, side, keys, (F.greatest(F.col("floor"), F.lit(CANDIDATE)) - given) / W_TITLE,
+                              (CANDIDATE - given) / W_TITLE)
     pairs = (
-        _blocked_pairs(sh.where("country_l <> ''"), sh.where("country_l <> ''"), ["country_l"], tiny)
-        .unionByName(_blocked_pairs(sh, sh, ["event_type"], need(1.0)))
-        .unionByName(_blocked_pairs(sh, sh, [], need(0.0)))
+        block(sited, ["country_l", "city_l", "event_type"], 1.0, 1.0)
+        .unionByName(block(sited, ["country_l", "city_l"], 1.0, 0.0))
+        .unionByName(block(placed, ["country_l", "event_type"], 0.4, 1.0))
+        .unionByName(block(placed, ["country_l"], 0.4, 0.0))
+        .unionByName(block(r, ["event_type"], 0.0, 1.0)).unionByName(block(r, [], 0.0, 0.0))
     ).distinct()
-    scored = _score_pairs(pairs, sh)
     me = canon.select(F.col("shape").alias("shape_a"), "event_id", "arrival", "published_s")
     other = canon.select(F.col("shape").alias("shape_b"), F.col("event_id").alias("matched_id"),
                          F.col("arrival").alias("matched_arrival"), F.col("published_s").alias("_t"))
-    d = scored.join(me, "shape_a").join(other, "shape_b").where("matched_arrival < arrival")
-    other_shapes = d.select("event_id", "matched_id", "matched_arrival",
-                            score(F.col("base"), F.col("published_s"), F.col("_t")).alias("similarity"))
-    return other_shapes.unionByName(_earliest_in_group(canon, ["shape"], self_similarity()))
+    d = _score_pairs(pairs, sh).join(me, "shape_a").join(other, "shape_b").where("matched_arrival < arrival")
+    return d.select("event_id", "matched_id", "matched_arrival",
+                    score(F.col("base"), F.col("published_s"), F.col("_t")).alias("similarity"))
 
 
 def resolve_duplicates(events: DataFrame) -> DataFrame:
@@ -233,7 +243,9 @@ def resolve_duplicates(events: DataFrame) -> DataFrame:
                      F.col("arrival").alias("matched_arrival"), F.col("published_s").alias("_t"))
     m = merged.join(edges, merged.shape == edges.shape_a).join(c, "shape_b").where("matched_arrival < arrival").select(
         "event_id", "matched_id", "matched_arrival", score(F.col("base"), F.col("published_s"), F.col("_t")).alias("similarity"))
-    best = _best(m.unionByName(_place_candidates(canon)).unionByName(_shared_word_candidates(canon)))
+    alike = stage(_place_candidates(canon).unionByName(_earliest_in_group(canon, ["shape"], self_similarity())))
+    floors = alike.groupBy("event_id").agg(F.max("similarity").alias("floor"))
+    best = _best(m.unionByName(alike).unionByName(_shared_word_candidates(canon, floors)))
     linked = F.col("similarity") >= CANDIDATE
     return ev.select("event_id", "arrival").join(best, "event_id", "left").select(
         "event_id", "arrival", F.when(linked, F.col("matched_id")).alias("matched_id"),
