@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import bpe, ngram_join, token_count
+from riskspark.llm import bpe, decontam, ngram_join, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,26 @@ def op3(spark, sf_dir):
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op4_decontamination", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+b AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 13 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[k:k + 12], ' ') FOR k IN range(1, len(w) - 11)] END) AS g, least(len(w), 13) AS m FROM i),
+l AS (SELECT DISTINCT m FROM b),
+p AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS k, w FROM d, l WHERE len(w) >= m),
+g AS (SELECT doc_id, m, k, array_to_string(w[k:k + m - 1], ' ') AS g FROM p),
+o AS (SELECT g.doc_id, g.m, g.k, b.item_id FROM g JOIN b ON b.g = g.g AND b.m = g.m),
+h AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(k, k + m)) AS x FROM o) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256,
+       coalesce(h.n > 0 AND 20 * h.n >= len(d.w), FALSE) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+""")
+def op4(spark, sf_dir):
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query("op7_ngram_jaccard_join", rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]

@@ -89,9 +89,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def byte_class(pattern: str) -> np.ndarray:
-    """Table of 256 flags: bytes that match; bytes from 0x80 on match if any non-ASCII character does."""
+    """Table of 256 flags: bytes that match after A-Z are lower-cased; bytes from 0x80 on match if any non-ASCII character does."""
     r = re.compile(pattern)
-    return np.array([bool(r.fullmatch(chr(b if b < 128 else 0xE9))) for b in range(256)])
+    return np.array([bool(r.fullmatch(chr(b if b < 128 else 0xE9).lower())) for b in range(256)])
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
