@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import bpe, decontam, ngram_join, quality, token_count
+from riskspark.llm import bpe, decontam, langid, ngram_join, quality, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op3(spark, sf_dir):
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op5_language_id")
+def op5(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 #: A-Z to a-z only; DuckDB's lower() also changes other letters.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
