@@ -1,8 +1,7 @@
 """Session settings and lineage cuts shared by all jobs."""
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +23,21 @@ def build_session(app: str = "riskspark", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """Folder that driver and executors share: spark.checkpoint.dir, or a folder in the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() \
+        or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared root (the writer creates it)."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is configured (tests)."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = os.path.join(tempfile.gettempdir(), "riskspark-checkpoints")
-    spark.sparkContext.setCheckpointDir(shared)
+    """Checkpoints go to the shared root."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
 def stage(df: DataFrame) -> DataFrame:
