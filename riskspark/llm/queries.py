@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, decontam, langid, ngram_join, quality, token_count, topk
+from riskspark.llm import bpe, decontam, langid, ngram_join, quality, token_count, topk, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,21 @@ def op5(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+# Fixed values: (verdict, host, path prefix).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query("op6_url_filter")
+def op6(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 #: A-Z to a-z only; DuckDB's lower() also changes other letters.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -97,3 +112,15 @@ def op7(spark, sf_dir):
 @query("op8_bpe_round_trip")
 def op8(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op9_warc_bundles", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS m FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND (page_id IS NULL OR page_id < m) AND m IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND (page_id IS NULL OR page_id < m) AND m IS NOT NULL THEN m END AS refers_to
+FROM q
+""")
+def op9(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
