@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, decontam, langid, ngram_join, quality, token_count, topk, urls, warc
+from riskspark.llm import bpe, decontam, langid, ngram_join, pii, quality, token_count, topk, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,8 @@ FROM q
 """)
 def op9(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op10_pii_skip_chain")
+def op10(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
