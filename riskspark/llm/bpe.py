@@ -154,20 +154,38 @@ def codec(path: str, pattern: str) -> TreeCodec:
     return TreeCodec(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """All columns of `docs` except the text, with the ids of its tokens (array<int>) as `ids_column`."""
-    keep = [c for c in docs.columns if c not in (text_column, ids_column)]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def _column(values: list[bytes]) -> pa.Array:
+    """Packed ids as list<int>."""
+    offsets = [0]
+    for v in values:
+        offsets.append(offsets[-1] + len(v) // 4)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(values))]))
+
+
+def _mapped(docs: DataFrame, source: str, target: str, kind: str, fn) -> DataFrame:
+    """`docs` with `source` replaced by the column `target` that `fn` makes of a batch's source column."""
+    keep = [c for c in docs.columns if c not in (source, target)]
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([*batch.columns[:-1], fn(batch.columns[-1])], names=[*keep, target])
+    return map_arrow(docs.select(*[f"`{c}`" for c in keep], f"`{source}`"), run, f"{kinds}`{target}` {kind}")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
+    """All columns of `docs` with the text replaced by the ids of its tokens (array<int>)."""
+    def ids(column: pa.Array) -> pa.Array:
         enc = codec(path, pattern).encode
-        values, offsets = [], [0]
-        for t in batch.column(len(keep)).to_pylist():
-            values.append(enc(t or ""))
-            offsets.append(offsets[-1] + len(values[-1]) // 4)
-        data = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(values))])
-        return pa.record_batch([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), data)], names=[*keep, ids_column])
-    return map_arrow(docs.select(*[f"`{c}`" for c in keep], text_column), run, (kinds + ", " if kinds else "") + f"`{ids_column}` array<int>")
+        return _column([enc(t or "") for t in column.to_pylist()])
+    return _mapped(docs, text_column, ids_column, "array<int>", ids)
+
+
+def decode(docs: DataFrame, path: str, pattern: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:
+    """All columns of `docs` with the ids replaced by the text that they stand for (null ids: null)."""
+    def text(column: pa.Array) -> pa.Array:
+        dec = codec(path, pattern).decode
+        return pa.array([None if v is None else dec(array("I", v).tobytes()).decode() for v in column.to_pylist()], pa.string())
+    return _mapped(docs, ids_column, text_column, "string", text)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

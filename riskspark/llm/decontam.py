@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.text import byte_class, chunks, map_arrow, utf8, words
+from riskspark.llm.text import byte_class, chunks, map_arrow, minus, text_key, utf8, words
 
 #: A word is a run of ASCII letters, digits and non-ASCII characters; A-Z are lower-cased.
 WORD = byte_class(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
@@ -247,7 +247,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         n_hit = F.col("n_hit")
     else:
         # Ids may be null or repeated, so rows are matched over the passes by id and text digest.
-        keyed = rows.withColumn("_key", F.xxhash64("text"))
+        keyed = rows.withColumn("_key", text_key())
         passes = [_one_pass(keyed.select("doc_id", "text", "_key"), block(k), window).distinct() for k in range(blocks)]
         every = passes[0]
         for p in passes[1:]:
@@ -267,3 +267,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"),
                         ((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).alias("contaminated"),
                         F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), "items", *keep)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Rows of `docs` that are not contaminated, with all their columns."""
+    rows = docs.select("doc_id", "text", text_key().alias("key"))
+    found = contamination(rows, benchmark, keep=["key"], **options)
+    return minus(docs, found.where("contaminated").select("doc_id", "key").distinct())

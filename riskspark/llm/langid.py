@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.text import chunks, fold_of, map_arrow, utf8
+from riskspark.llm.text import chunks, fold_of, map_arrow, minus, text_key, utf8
 
 #: Bytes of a window; filter widths; filters of each width; numbers of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 12
@@ -154,7 +154,7 @@ def _balanced(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, n
 
 def identify(docs: DataFrame, per_language: int = 800, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score (probability of lang_pred) of every whole text, and the columns in `keep`."""
-    keep = [c for c in keep or [] if c not in ("doc_id", "text")]
+    keep = keep or []
     x, y, languages = training_windows(docs, per_language)
     held_out = (fold_of("doc_id", 4) == 2).alias("held_out")
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -187,3 +187,9 @@ def identify(docs: DataFrame, per_language: int = 800, keep: list[str] | None =
                     names=["doc_id", "held_out", "lang_pred", "score", *keep])
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letters")
     return docs.select("doc_id", held_out, "text", letters, *keep).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + more)
+
+
+def with_language(docs: DataFrame, least: float = 0.4, per_language: int = 800) -> DataFrame:
+    """Rows of `docs` whose language is found with a probability of at least `least`, with all their columns."""
+    found = identify(docs.select("doc_id", "text", "lang", text_key().alias("key")), per_language, ["key"])
+    return minus(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id", "key").distinct())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.components import components
-from riskspark.llm.text import byte_class, chunks, distinct_sorted, grams, map_arrow, mix, utf8, words
+from riskspark.llm.text import byte_class, chunks, distinct_sorted, grams, map_arrow, minus, mix, text_key, utf8, words
 from riskspark.session import stage
 
 #: A word is a run without white space; A-Z are lower-cased.
@@ -51,12 +51,12 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndar
 
 
 def shingle_classes(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles and the digest `sig` of the shingle set of every row."""
+    """doc_id, a digest `key` of the text, n_shingles and the digest `sig` of the shingle set of every row."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i, j, _, at, digest in _sets(batch, width):
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(digest.view(np.int64))],
-                                  names=["doc_id", "n_shingles", "sig"])
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, sig long")
+            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at)), pa.array(digest.view(np.int64))],
+                                  names=["doc_id", "key", "n_shingles", "sig"])
+    return map_arrow(docs.select("doc_id", text_key().alias("key"), "text"), run, "doc_id long, key long, n_shingles long, sig long")
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,8 +351,8 @@ def residual_links(sets: DataFrame, postings: DataFrame, labels: DataFrame, perc
     return _verify(cells, ["cluster", "k1", "s1", "k2", "s2"], percent)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; rows link when 100 * intersection >= percent * union of their shingle sets."""
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, key, n_shingles, component (null without shingles) and the component's smallest id of every row."""
     rows = stage(shingle_classes(docs, width))
     total = rows.where("n_shingles > 0").groupBy("sig").agg(F.max("n_shingles").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     bits = max(3, int(np.ceil(np.log2(max(total, 1) / BUCKET))))
@@ -366,6 +366,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least_id"))
     classes = classes.join(labels, classes["sig"] == labels["node"], "left").select("sig", "least_id", F.coalesce("component", "sig").alias("component"))
     named = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = classes.select("sig", "component").join(named, "component").select("sig", "component_id")
-    filled = rows.where("n_shingles > 0").join(named, "sig").select("doc_id", "n_shingles", "component_id")
-    return filled.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = classes.select("sig", "component").join(named, "component").select("sig", "component", "component_id")
+    filled = rows.where("n_shingles > 0").join(named, "sig").select("doc_id", "key", "n_shingles", "component", "component_id")
+    return filled.unionByName(rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; rows link when 100 * intersection >= percent * union of their shingle sets."""
+    return _labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """Rows of `docs` that stand for their component: the smallest id (ids before nulls), then the smallest text digest; all its columns.
+
+    Rows without shingles all stay; rows that repeat an id and its text count once.
+    """
+    rows = stage(_labelled(docs, width, percent).select("doc_id", "key", "component"))
+    order = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("i"), F.col("key").alias("k"))
+    best = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("b"))
+    lost = rows.where("component IS NOT NULL").join(best, "component") \
+        .where(~(F.col("doc_id").eqNullSafe(F.col("b.i")) & F.col("key").eqNullSafe(F.col("b.k")))).select("doc_id", "key").distinct()
+    again = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "key")
+    docs = minus(docs, lost)
+    return minus(docs, again).unionByName(minus(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))

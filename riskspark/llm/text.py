@@ -23,6 +23,17 @@ def fold_of(column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def text_key(column: str = "text") -> Column:
+    """Digest of a text that, with the id, names a row in joins that must not carry the text."""
+    return F.xxhash64(column)
+
+
+def minus(docs: DataFrame, rows: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Rows of `docs` whose id and text digest are not (left_semi: are) among those of `rows` (doc_id, key); null ids match each other."""
+    rows = rows.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["__id"]) & text_key().eqNullSafe(rows["__key"]), how)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply `fn` to every Arrow batch of `df` inside the tasks; rows stay where they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
