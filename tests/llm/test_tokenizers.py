@@ -64,4 +64,4 @@ def test_frames_round_trip(odd_docs):
     assert "text" not in encoded.columns
     back = bpe.decode(encoded, RANKS, P.PATTERN)
     assert sorted([(r.doc_id, r.text or "") for r in odd_docs.collect()], key=str) == sorted([(r.doc_id, r.text) for r in back.collect()], key=str)
-    assert sorted(back.columns) == sorted(odd_docs.columns)
+    assert set(back.columns) == set(odd_docs.columns) - {"ids"}  # the name is taken by the tokens
