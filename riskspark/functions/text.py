@@ -1,6 +1,8 @@
 """String columns: metric classification, number parsing, context, hashes, sanitizing, URL policy."""
 from __future__ import annotations
 
+import html.entities
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -135,34 +137,53 @@ def content_hash(c: Column) -> Column:
     return F.sha2(norm, 256)
 
 
+# Markup that is dropped with its content, and control characters that are dropped.
 ACTIVE_TAGS = "script|style|iframe|object|embed|applet|meta|link"
-NAMED_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
-                  ("&nbsp;", " "), ("&amp;", "&")]
-
-
-def sanitize_text(c: Column, max_len: int = 20000) -> Column:
-    """Plain text of untrusted markup: active blocks and tags dropped, the common entities decoded."""
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+
+
+def _entity_tables() -> tuple[str, str]:
+    """JSON of all named character references of HTML, and an alternation of those that need no semicolon, longest first."""
+    names = html.entities.html5
+    open_names = sorted((n for n in names if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return json.dumps(names), "|".join(open_names)
+
+
+def decode_entities(c: Column) -> Column:
+    """HTML character references decoded as a browser does: all names, decimal and hexadecimal numbers, missing semicolons."""
+    table, open_names = _entity_tables()
+    names = F.from_json(F.lit(table), "map<string,string>")
+    parts = F.regexp_extract_all(c, F.lit(r"(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&)"), F.lit(1))
+
+    def number(x: Column) -> Column:
+        hexa = F.regexp_extract(x, "^&#[xX]0*([0-9a-fA-F]+)", 1)
+        digits = F.regexp_extract(x, "^&#0*([0-9]+)", 1)
+        code = F.when(hexa != "", F.when(F.length(hexa) <= 6, F.conv(hexa, 16, 10).cast("int"))).otherwise(
+            F.when(F.length(digits) <= 7, F.when(digits == "", 0).otherwise(digits.cast("int"))))
+        low = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+        early = F.create_map(*[F.lit(v) for kv in low.items() for v in kv])
+        nothing = code.between(1, 8) | code.between(14, 31) | code.between(127, 159) | code.between(0xFDD0, 0xFDEF) | (code == 11) | ((code % 65536) >= 65534)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return (F.when(code.isNull() | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(early[code].isNotNull(), early[code])
+                .when(nothing, "").otherwise(char))
+
+    def one(x: Column) -> Column:
+        name = F.substring(x, 2, 33)
+        head = F.regexp_extract(name, f"^({open_names})", 1)
+        return (F.when(~x.startswith("&") | (x == "&"), x).when(x.startswith("&#"), number(x)).when(names[name].isNotNull(), names[name])
+                .when(head != "", F.concat(names[head], F.substr(name, F.length(head) + 1))).otherwise(x))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(c)
+
+
+def sanitize_text(c: Column, max_len: int | None = None) -> Column:
+    """Plain text of untrusted markup: active blocks and tags dropped, character references decoded; whole unless `max_len` is given."""
     t = F.coalesce(c, F.lit(""))
     t = F.regexp_replace(t, rf"(?is)<({ACTIVE_TAGS})\b[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(t, rf"(?i)<({ACTIVE_TAGS})\b[^>]*>", " ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    for ent, ch in NAMED_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    t = F.trim(F.regexp_replace(t, r"[\s ]+", " "))
-    return F.substring(t, 1, max_len)
-
-
-def sanitize_with_all_entities(max_len: int = 20000):
-    """Vectorized variant that decodes every HTML entity; use it after the tags are stripped."""
-    import html
-
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.fillna("").map(html.unescape).str.replace(r"\s+", " ", regex=True).str.strip().str.slice(0, max_len)
-    return run
+    t = F.regexp_replace(decode_entities(t), CONTROL, "")
+    t = F.trim(F.regexp_replace(t, r"[\s\u00a0]+", " "))
+    return t if max_len is None else F.substring(t, 1, max_len)
 
 
 # Fixed values of the outbound URL policy.

@@ -50,12 +50,17 @@ def _within_radius(queries: DataFrame, points: DataFrame, cell_deg: int = 5) ->
     return d.where("distance_km <= radius_km").drop("_r", "_c")
 
 
-def geofence(queries: DataFrame, events: DataFrame, as_of_s: int, min_severity: str | None = None) -> DataFrame:
-    """Events with coordinates inside each query's circle and time range, at or above the least severity."""
+def geofence(queries: DataFrame, events: DataFrame, as_of_s: Column | int, min_severity: str | None = None) -> DataFrame:
+    """Events with coordinates inside each query's circle and time range, at or above the least severity.
+
+    Events older than the longest range of all queries are dropped before the grid join.
+    """
+    as_of = as_of_s if isinstance(as_of_s, Column) else F.lit(as_of_s)
     e = events.where(severity_rank(F.col("severity"), 1) >= {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}[min_severity or "LOW"])
-    e = e.select("event_id", "published_s", "latitude", "longitude", "severity")
+    longest = queries.agg(F.max("hours_back")).scalar()
+    e = e.select("event_id", "published_s", "latitude", "longitude", "severity").where(F.col("published_s") >= as_of - longest * 3600)
     hit = _within_radius(queries, e)
-    return hit.where(F.col("published_s") >= F.lit(as_of_s) - F.col("hours_back") * 3600).select(
+    return hit.where(F.col("published_s") >= as_of - F.col("hours_back") * 3600).select(
         "query_id", "event_id", "severity", "distance_km")
 
 

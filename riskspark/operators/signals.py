@@ -118,10 +118,12 @@ def article_tokens(title: Column, summary: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(TREND_STOP_WORDS)))
 
 
-def trend_terms(articles: DataFrame, k: int = 8) -> DataFrame:
-    """The k terms found in most articles, with the burst ratio; ties alphabetically."""
+def trend_terms(articles: DataFrame, k: int | None = None) -> DataFrame:
+    """Terms with the number of articles that hold them and the burst ratio; the k most frequent ones (ties alphabetically), or all."""
     t = articles.select(F.explode(article_tokens(F.col("title"), F.col("summary"))).alias("term"))
-    top = t.groupBy("term").agg(F.count("*").alias("article_frequency")).orderBy(F.desc("article_frequency"), "term").limit(k)
+    top = t.groupBy("term").agg(F.count("*").alias("article_frequency"))
+    if k is not None:
+        top = top.orderBy(F.desc("article_frequency"), "term").limit(k)
     n = articles.agg(F.count("*")).scalar()
     return top.select("term", "article_frequency", rnd(
         F.col("article_frequency") / F.greatest(F.lit(1.0), n * 0.35), 2).alias("burst_ratio"))
@@ -130,33 +132,30 @@ def trend_terms(articles: DataFrame, k: int = 8) -> DataFrame:
 def related_articles(articles: DataFrame, threshold: float = 0.22, key: str = "arrival") -> DataFrame:
     """Exact set-similarity join at Jaccard >= threshold over distinct word sets.
 
-    Articles with equal word sets form one set row first. The join then meets sets only on their rare leading
-    words (prefix filter), within the size range the threshold allows, and verifies each pair once.
+    Articles with equal word sets form one set row first. Sets then meet on their rare leading words only (prefix
+    filter), as ids with sizes and positions; pairs that the sizes or the words left after the positions rule out go at
+    once, the others are made distinct, and only then the words are joined in and each pair is verified.
     """
     from riskspark.operators.dedup import ranked_tokens
     from riskspark.session import stage
     a = articles.select(key, F.array_sort(article_tokens(F.col("title"), F.col("summary"))).alias("tokens"))
-    a = a.where(F.size("tokens") > 0).withColumn("shape", F.sha2(F.array_join("tokens", " "), 256))
-    sets = a.groupBy("shape").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n_articles"), F.min(key).alias("first_article"))
-    r = stage(ranked_tokens(sets))
-    n = F.size("ranked")
+    a = a.where(F.size("tokens") > 0).withColumn("shape", F.xxhash64(F.array_join("tokens", " ")))
+    a = a.groupBy("shape").agg(F.min(key).alias("first_article"), F.count("*").alias("n_articles"), F.any_value("tokens").alias("tokens"))
+    r = stage(ranked_tokens(a.withColumn("n", F.size("tokens"))).drop("tokens"))
+    n = F.col("n")
     prefix = F.slice("ranked", F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1)
-    keyed = r.select("shape", n.alias("n"), "ranked", "first_article", "n_articles", F.posexplode(prefix).alias("pos", "t"))
+    keyed = r.select("shape", "n", "first_article", F.posexplode(prefix).alias("pos", "t"))
     b = keyed.select(*[F.col(c).alias(c if c == "t" else c + "_b") for c in keyed.columns])
-    size_ok = (F.col("n_b") >= F.col("n") * threshold) & (F.col("n") >= F.col("n_b") * threshold)
-    # longest possible overlap from the two positions on
-    reach = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
+    size_ok = (F.col("n_b") >= n * threshold) & (n >= F.col("n_b") * threshold)
+    reach = F.least(F.col("pos"), F.col("pos_b")) + F.least(n - F.col("pos"), F.col("n_b") - F.col("pos_b"))
+    bound = reach >= F.ceil((n + F.col("n_b")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    pairs = keyed.join(b, "t").where((F.col("first_article") < F.col("first_article_b")) & size_ok & bound).select("shape", "shape_b").distinct()
+    left = r.select("shape", "n", "ranked", F.col("first_article").alias("article_a"), F.col("n_articles").alias("copies_a"))
+    right = r.select(F.col("shape").alias("shape_b"), F.col("n").alias("n_b"), F.col("ranked").alias("ranked_b"), F.col("first_article").alias("article_b"), F.col("n_articles").alias("copies_b"))
     inter = F.size(F.array_intersect("ranked", "ranked_b"))
-    j = keyed.join(b, "t").where((F.col("first_article") < F.col("first_article_b")) & size_ok)
-    # the first shared prefix word is the one both sides meet at; verify a pair there only
-    pre = lambda c, p: F.slice(c, F.lit(1), F.col(p))
-    first_meet = F.size(F.array_intersect(pre("ranked", "pos"), pre("ranked_b", "pos_b"))) == 0
-    bound = reach >= F.ceil((F.col("n") + F.col("n_b")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    j = j.where(first_meet & bound)
-    jac = inter / (F.col("n") + F.col("n_b") - inter)
-    return j.withColumn("jaccard", rnd(jac, 6)).where(key9(jac) >= threshold).select(
-        F.col("first_article").alias("article_a"), F.col("first_article_b").alias("article_b"),
-        F.col("n_articles").alias("copies_a"), F.col("n_articles_b").alias("copies_b"), "jaccard")
+    jac = inter / (n + F.col("n_b") - inter)
+    return pairs.join(left, "shape").join(right, "shape_b").withColumn("jaccard", rnd(jac, 6)).where(key9(jac) >= threshold) \
+        .select("article_a", "article_b", "copies_a", "copies_b", "jaccard")
 
 
 def article_copies(articles: DataFrame, key: str = "arrival") -> DataFrame:

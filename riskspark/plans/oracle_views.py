@@ -33,9 +33,9 @@ SELECT institution_id, department, academic_year, academic_year AS graduation_ye
   count(*)::int AS eligible_students,
   count(*) FILTER (l_returnflag <> 'R')::int AS placed_students,
   {r("100.0::double * count(*) FILTER (l_returnflag <> 'R') / count(*)", 2)} AS placement_percentage,
-  median(floor(l_extendedprice/1000.0::double))/10.0::double AS median_salary_lpa,
-  {r("max(l_extendedprice)/10000.0::double", 4)} AS max_salary_lpa,
-  count(DISTINCT l_suppkey % 50)::int AS top_tier_recruiters,
+  median(round(l_extendedprice*100)::bigint)/1000000.0::double AS median_salary_lpa,
+  {r("max(round(l_extendedprice*100)::bigint)/1000000.0::double", 4)} AS max_salary_lpa,
+  count(DISTINCT l_suppkey)::int AS top_tier_recruiters,
   count(*) FILTER (l_returnflag = 'R')::int AS unplaced_count
 FROM lineitem JOIN v_slots ON l_orderkey = o_orderkey GROUP BY institution_id, department, academic_year""")
 
@@ -74,8 +74,7 @@ _et = "[" + ",".join(f"'{x}'" for x in EVENT_TYPES) + "]"
 _sv = "[" + ",".join(f"'{x}'" for x in SEVERITIES) + "]"
 cte("v_art", f"""
 SELECT doc_id AS arrival,
-  array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda t: t <> ''), 1, 10), ' ') AS title,
-  substring(text, 1, 400) AS summary, source AS publisher,
+  trim(split_part(text, chr(10), 1)) AS title, text AS summary, source AS publisher,
   'https://' || source || '.example.com/' || doc_id AS url, lang AS country, 'c' || (doc_id % 7) AS city,
   1704067200 + doc_id*1020 AS published_s, {_et}[(doc_id % 9 + 1)::int] AS event_type,
   {_sv}[((doc_id % 10)//3 + 1)::int] AS severity,

@@ -210,7 +210,7 @@ def p11(v: Views):
 
 @query("p12_sanitize_text")
 def p12(v: Views):
-    return v.table("pages").select("page_id", T.sanitize_text(F.col("html"), 12000).alias("content"))
+    return v.table("pages").select("page_id", T.sanitize_text(F.col("html")).alias("content"))
 
 
 cte("o_urls", """

@@ -122,14 +122,14 @@ def e09(v: Views):
 
 
 @query("e10_merge_bundles", """
-WITH u AS (SELECT origin_hash, arrival, title, 0 AS p, NULL AS organization_id FROM v_evt UNION ALL SELECT sha256(html[1:400])[1:16], page_id, url, 1, NULL FROM pages),
+WITH u AS (SELECT origin_hash, arrival, title, 0 AS p, NULL AS organization_id FROM v_evt UNION ALL SELECT sha256(html)[1:16], page_id, url, 1, NULL FROM pages),
 f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY origin_hash, p ORDER BY arrival) = 1)
 SELECT origin_hash, arrival, title, 'org-1' AS organization_id FROM f QUALIFY row_number() OVER (PARTITION BY origin_hash ORDER BY p DESC) = 1""")
 def e10(v: Views):
     none = F.lit(None).cast("string").alias("organization_id")
     first = lambda d: d.groupBy("origin_hash").agg(F.min_by(F.struct("arrival", "title", "organization_id"), "arrival").alias("_r")).select("origin_hash", "_r.*")
     a = first(v.events().select("origin_hash", "arrival", "title", none))
-    b = first(v.table("pages").select(F.substring(F.sha2(F.substring("html", 1, 400), 256), 1, 16).alias("origin_hash"),
+    b = first(v.table("pages").select(F.substring(F.sha2("html", 256), 1, 16).alias("origin_hash"),
                                       F.col("page_id").alias("arrival"), F.col("url").alias("title"), none))
     return S.merge_bundles([a, b], "origin_hash", organization_id="org-1")
 
@@ -149,19 +149,27 @@ cte("o_at", f"SELECT arrival, list_sort(list_distinct(list_filter(regexp_extract
 
 
 @query("e12_trend_terms", f"""
-SELECT term, count(*) AS article_frequency, {r('count(*)/greatest(1.0::double, (SELECT count(*) FROM v_art)*0.35::double)', 2)} AS burst_ratio FROM (SELECT unnest(tokens) AS term FROM o_at) GROUP BY term ORDER BY 2 DESC, 1 LIMIT 8""")
+SELECT term, count(*) AS article_frequency, {r('count(*)/greatest(1.0::double, (SELECT count(*) FROM v_art)*0.35::double)', 2)} AS burst_ratio FROM (SELECT unnest(tokens) AS term FROM o_at) GROUP BY term""")
 def e12(v: Views):
     return S.trend_terms(v.articles())
 
 
-@query("e13_related_articles", f"""
+cte("o_rel", f"""
 WITH s AS (SELECT tokens, len(tokens) AS n, min(arrival) AS f, count(*) AS c FROM o_at WHERE len(tokens) > 0 GROUP BY 1, 2),
 p AS (SELECT a.f AS article_a, b.f AS article_b, a.c AS copies_a, b.c AS copies_b, len(list_intersect(a.tokens, b.tokens))::double AS i, a.n + b.n AS nn FROM s a JOIN s b ON a.f < b.f AND a.n >= 0.22*b.n AND b.n >= 0.22*a.n)
 SELECT article_a, article_b, copies_a, copies_b, {r('i/(nn-i)', 6)} AS jaccard FROM p WHERE {r9('i/(nn-i)')} >= 0.22""")
+
+
+@query("e13_related_articles", "SELECT * FROM o_rel")
 def e13(v: Views):
     return S.related_articles(v.articles())
 
 
+@query("e13_article_copies", "SELECT min(arrival) AS first_article, count(*) AS copies FROM o_at WHERE len(tokens) > 0 GROUP BY tokens")
+def e13c(v: Views):
+    return S.article_copies(v.articles())
+
+
 @query("e14_refresh_delta", """
 WITH a AS (SELECT 'event' AS kind, event_id AS record_id FROM v_evt UNION ALL SELECT DISTINCT 'evidence', origin_hash FROM v_evt), b AS (SELECT 'event' AS kind, event_id AS record_id FROM v_evt WHERE status = 'RESOLVED' UNION ALL SELECT DISTINCT 'evidence', origin_hash FROM v_evt WHERE status = 'RESOLVED'),
 n AS (SELECT * FROM a ANTI JOIN b USING (kind, record_id))
@@ -214,7 +222,7 @@ AS_OF = "(SELECT max(published_s) FROM v_evt)"
 
 
 def _as_of(v: Views):
-    return v.events().agg(F.max("published_s").alias("m")).first()["m"]
+    return v.table("documents").agg(F.max(F.lit(1704067200) + F.col("doc_id") * 1020)).scalar()
 
 
 @query("g02_geofence", f"""

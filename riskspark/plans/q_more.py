@@ -1,7 +1,4 @@
 """Queries for sources, evidence, network, memory and streaming operators."""
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from riskspark.functions.num import rnd
@@ -11,7 +8,7 @@ from riskspark.plans.oracle import cte, r, r9
 from riskspark.plans.q_data import reading_signals
 from riskspark.plans.q_risk import CORE_DEPTS, _nations
 from riskspark.plans.registry import query
-from riskspark.session import stage
+from riskspark.session import shared_folder, stage
 from riskspark.sources import feeds as FD, readers as RD
 from riskspark.sources.views import Views
 from riskspark.streaming import stream as ST
@@ -91,7 +88,7 @@ def feed_docs(v: Views):
     """One feed document per article: RSS for two thirds, Atom for the rest, some with a refused declaration."""
     a = v.articles()
     i = F.col("arrival")
-    item = F.concat(F.lit("<item><title>"), _xml(F.col("title")), F.lit("</title><description>"), _xml(F.substring("summary", 1, 60)), F.lit("</description><link>"),
+    item = F.concat(F.lit("<item><title>"), _xml(F.col("title")), F.lit("</title><description>"), _xml(F.col("summary")), F.lit("</description><link>"),
                     F.col("url"), F.lit("</link>"), F.when(i % 2 == 0, F.concat(F.lit("<source url=\"u\">"), F.col("publisher"), F.lit("</source>"))).otherwise(""), F.lit("</item>"))
     rss = F.concat(F.lit("<rss version=\"2.0\"><channel><title>c</title>"), item, F.lit("</channel></rss>"))
     atom = F.concat(F.lit("<feed xmlns=\"http://www.w3.org/2005/Atom\"><entry><title>"), _xml(F.col("title")), F.lit("</title><summary>s</summary><link href=\""),
@@ -107,10 +104,10 @@ def s05(v: Views):
 
 
 @query("s06_html_pages", r"""
-WITH p AS (SELECT page_id, url, html, lower(coalesce(nullif(regexp_extract(html, '<html[^>]*\blang=["'']?([a-zA-Z\-]+)["'']?', 1, 'i'), ''), 'en'))[1:8] AS language,
+WITH p AS (SELECT page_id, url, html, lower(coalesce(nullif(regexp_extract(html, '<html[^>]*\blang=["'']?([a-zA-Z\-]+)["'']?', 1, 'i'), ''), 'en')) AS language,
   list_filter(list_transform(regexp_extract_all(html, '<a[^>]+href=["'']([^"''#]+)["'']', 1, 'i'), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^(javascript:|mailto:|tel:|data:)')) AS h,
   regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS root FROM pages)
-SELECT page_id, language, least(15, len(list_distinct(list_transform(h, lambda x: CASE WHEN x LIKE 'http%' THEN x WHEN x LIKE '/%' THEN root || x ELSE url || '//' || x END)))) AS n_links FROM p""")
+SELECT page_id, language, len(list_distinct(list_transform(h, lambda x: CASE WHEN x LIKE 'http%' THEN x WHEN x LIKE '/%' THEN root || x ELSE url || '//' || x END))) AS n_links FROM p""")
 def s06(v: Views):
     return RD.extract_html(v.table("pages")).select("page_id", "language", F.size("links").alias("n_links"))
 
@@ -167,7 +164,7 @@ CATS = ["geopolitical", "cyber", "climate", "infrastructure", "Military", "sport
 
 def feed_items(v: Views):
     a = v.articles()
-    return a.select("arrival", "title", F.lit("feed summary").alias("summary"), F.element_at(F.array(*[F.lit(x) for x in CATS]), (F.col("arrival") % 7 + 1).cast("int")).alias("category"),
+    return a.select("arrival", "title", "summary", F.element_at(F.array(*[F.lit(x) for x in CATS]), (F.col("arrival") % 7 + 1).cast("int")).alias("category"),
                     F.when(F.col("arrival") % 6 == 0, "unknown").otherwise(F.lower("severity")).alias("severity"), "country", "city", "latitude", "longitude",
                     "published_s", F.lit(0.86).alias("confidence"))
 
@@ -177,8 +174,8 @@ _nrm = r"regexp_replace(lower(trim({})), '\s+', ' ', 'g')"
 
 
 @query("s09_feed_items", f"""
-WITH t AS (SELECT *, {_clean.format('title')}[1:500] AS ti FROM v_art),
-h AS (SELECT *, sha256({_nrm.format("ti || ':feed summary:' || country || ':' || city")}) AS ch, sha256({_nrm.format("country || ':' || city")}) AS ph FROM t),
+WITH t AS (SELECT *, {_clean.format('title')} AS ti, {_clean.format('summary')} AS su FROM v_art),
+h AS (SELECT *, sha256({_nrm.format("ti || ':' || su || ':' || country || ':' || city")}) AS ch, sha256({_nrm.format("country || ':' || city")}) AS ph FROM t),
 e AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY ch ORDER BY arrival) = 1)
 SELECT 'evt_wi_' || ch[1:12] AS event_id, arrival, CASE ['geopolitical', 'cyber', 'climate', 'infrastructure', 'military', 'sports', 'supply_chain'][(arrival % 7 + 1)::int] WHEN 'cyber' THEN 'cyber_threat' WHEN 'climate' THEN 'climate_environmental'
   WHEN 'infrastructure' THEN 'infrastructure_disruption' WHEN 'military' THEN 'military' WHEN 'supply_chain' THEN 'supply_chain' ELSE 'geopolitical' END AS event_type,
@@ -188,23 +185,30 @@ def s09(v: Views):
 
 
 def _articles_in(v: Views):
-    return v.articles().withColumns({"summary": F.lit("wire summary"), "wire_origin": F.substring("summary", 1, 400)})
+    return v.articles().withColumn("wire_origin", F.col("summary"))
 
 
-@query("s10_articles", f"""
-WITH h AS (SELECT *, sha256({_nrm.format(f"publisher || ':' || {_clean.format('title')}[1:500] || ':wire summary'")}) AS ch, sha256({_nrm.format('publisher')}) AS sh FROM v_art),
+cte("o_s10", f"""
+WITH h AS (SELECT *, sha256({_nrm.format(f"publisher || ':' || {_clean.format('title')} || ':' || {_clean.format('summary')}")}) AS ch, sha256({_nrm.format('publisher')}) AS sh FROM v_art),
 e AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY ch ORDER BY arrival) = 1)
-SELECT 'evt_tr_' || ch[1:12] AS event_id, arrival, 'src_news_' || sh[1:10] AS source_id, 'ev_tr_' || ch[1:12] AS evidence_id, sha256(regexp_replace(lower(regexp_replace(summary, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g')) AS origin_hash FROM e""")
+SELECT * FROM e""")
+
+
+@query("s10_articles", r"""
+SELECT 'evt_tr_' || ch[1:12] AS event_id, arrival, 'src_news_' || sh[1:10] AS source_id, 'ev_tr_' || ch[1:12] AS evidence_id, sha256(regexp_replace(lower(regexp_replace(summary, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')) AS origin_hash FROM o_s10""")
 def s10(v: Views):
     return FD.normalize_articles(_articles_in(v))["events"].select("event_id", "arrival", "source_id", "evidence_id", "origin_hash")
 
 
-@query("s10_article_context")
+@query("s10_article_context", """
+WITH n AS (SELECT arrival, count(*) AS n FROM (SELECT unnest([article_a, article_b]) AS arrival FROM o_rel) GROUP BY 1),
+t AS (SELECT term, count(*) AS c FROM (SELECT unnest(tokens) AS term FROM o_at) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8)
+SELECT 'evt_tr_' || ch[1:12] AS event_id, arrival, coalesce(n.n, 0) AS n_related, (SELECT string_agg(term, ', ' ORDER BY c DESC, term) FROM t) AS trend_terms FROM o_s10 LEFT JOIN n USING (arrival)""")
 def s10c(v: Views):
-    """Articles with their trend terms and the number of related article groups."""
+    """Articles with the eight leading trend terms and the number of related article groups."""
     a = v.articles()
     ev = FD.normalize_articles(_articles_in(v))["events"]
-    return FD.with_article_context(ev, S.trend_terms(a), S.related_articles(a)).select("event_id", "arrival", "n_related", "trend_terms")
+    return FD.with_article_context(ev, S.trend_terms(a, 8), S.related_articles(a)).select("event_id", "arrival", "n_related", "trend_terms")
 
 
 @query("s11_web_documents", r"""
@@ -505,10 +509,13 @@ def c07(v: Views):
 
 
 # ---- R01-R03 ------------------------------------------------------------------------------------
-@query("r01_dedup_content", """
+_r01 = """
 WITH RECURSIVE e AS (SELECT sha256(event_type || ':' || (user_id % 20)) AS h, floor(epoch(ts))::bigint AS t, min(event_id) AS seq FROM events GROUP BY 1, 2),
 acc AS (SELECT h, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT h, t FROM (SELECT acc.h, (SELECT min(e.t) FROM e WHERE e.h = acc.h AND e.t > acc.t + 3600) AS t FROM acc) WHERE t IS NOT NULL)
-SELECT h AS content_hash, t AS ts_s, seq FROM acc JOIN e USING (h, t)""")
+SELECT h AS content_hash, t AS ts_s, seq FROM acc JOIN e USING (h, t)"""
+
+
+@query("r01_dedup_content", _r01)
 def r01(v: Views):
     e = v.table("events").select(F.col("event_id").alias("seq"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts_s"),
                                  F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("content"))
@@ -522,23 +529,12 @@ def _event_stream(v: Views):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _shared_folder(v: Views, prefix: str) -> str:
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/{prefix}-{uuid.uuid4().hex}"
-
-
-def _drain(v: Views, df, mode: str = "append"):
-    """Run a stream over everything available into a table in the shared folder and read it back."""
-    out = _shared_folder(v, "stream")
-    q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return v.spark.read.schema(df.schema).parquet(f"{out}/data")
-
-
-@query("r01_stream_dedup")
+@query("r01_stream_dedup", _r01)
 def r01s(v: Views):
-    s = _event_stream(v).withColumn("content", F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string"))).select("event_id", "ts", "content")
-    return _drain(v, ST.stream_dedup_content(s)).select("event_id", "content_hash")
+    s = _event_stream(v).select(F.col("event_id").alias("seq"), "ts", F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("content"))
+    root = shared_folder(v.spark, "dedup")
+    ST.stream_dedup_content(s, f"{root}/data", f"{root}/log").awaitTermination()
+    return v.spark.read.parquet(f"{root}/data").select("content_hash", "ts_s", "seq")
 
 
 @query("r02_stream_refresh", """
@@ -549,21 +545,26 @@ def r02(v: Views):
     key = F.lower(F.concat_ws(":", F.concat(F.lit("u"), F.col("user_id") % 25), "event_type", F.floor("value").cast("string")))
     s = _event_stream(v).select(F.substring(F.sha2(key, 256), 1, 24).alias("fingerprint"), F.col("event_id").alias("seq"))
     s = s.withColumn("signal_id", F.concat(F.lit("sig_"), "fingerprint"))
-    root = _shared_folder(v, "refresh")
+    root = shared_folder(v.spark, "refresh")
     for run in ("first", "again"):
         ST.stream_refresh(s, f"{root}/ledger", f"{root}/log-{run}").awaitTermination()
     return v.spark.read.parquet(f"{root}/ledger").select("fingerprint", "seq")
 
 
-@query("r03_place_density", """
+_r03 = """
 WITH w AS (SELECT 'u' || (user_id % 25) AS place, unnest(range(0, 24)) AS k, floor(epoch(ts))::bigint // 3600 * 3600 AS h FROM events)
-SELECT h - k*3600 AS window_start_s, place, count(*) AS n_events FROM w GROUP BY 1, 2""")
+SELECT h - k*3600 AS window_start_s, place, count(*) AS n_events FROM w GROUP BY 1, 2"""
+
+
+@query("r03_place_density", _r03)
 def r03(v: Views):
     e = v.table("events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id") % 25).alias("place"))
     return ST.batch_place_density(e)
 
 
-@query("r03_stream_density")
+@query("r03_stream_density", _r03)
 def r03s(v: Views):
     s = _event_stream(v).select("ts", F.concat(F.lit("u"), F.col("user_id") % 25).alias("place"))
-    return _drain(v, ST.stream_place_density(s))
+    root = shared_folder(v.spark, "density")
+    ST.stream_place_density(s, f"{root}/data", f"{root}/log").awaitTermination()
+    return ST.current_density(v.spark.read.parquet(f"{root}/data"))

@@ -71,13 +71,14 @@ def parse_signals_json(docs: DataFrame) -> DataFrame:
 
 
 def parse_delimited(docs: DataFrame, sheet: str = "CSV") -> DataFrame:
-    """Cell table of delimited text; the header line tells tab, semicolon or comma. Quoted fields may hold delimiters."""
-    lines = F.filter(F.split("content", "\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    d = docs.withColumn("_l", lines).where(F.size("_l") > 0)
-    head = F.element_at("_l", 1)
+    """Cell table of delimited text; the header line tells tab, semicolon or comma. Quoted fields may hold delimiters and line breaks."""
+    # A row ends at a line break outside quotes; rows are numbered before blank ones are dropped.
+    ends = r'(\r\n|\n|\r)(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    d = docs.withColumn("_l", F.split("content", ends))
+    head = F.coalesce(F.get(F.filter("_l", lambda x: F.trim(x) != ""), F.lit(0)), F.lit(""))
     n = lambda ch: F.length(head) - F.length(F.replace(head, F.lit(ch), F.lit("")))
     d = d.withColumn("_sep", F.when(n("\t") > n(","), "\t").when(n(";") > n(","), ";").otherwise(","))
-    d = d.select("doc", "_sep", F.posexplode("_l").alias("_r", "_t"))
+    d = d.select("doc", "_sep", F.posexplode("_l").alias("_r", "_t")).where(F.trim("_t") != "")
     # split at delimiters followed by an even number of quotes
     cut = lambda ch: F.split("_t", ch + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
     cells = F.when(F.col("_sep") == "\t", cut("\t")).when(F.col("_sep") == ";", cut(";")).otherwise(cut(","))
@@ -142,15 +143,15 @@ def absolute_link(page: Column, href: Column) -> Column:
             .otherwise(F.concat(folder, href)))
 
 
-def extract_html(pages: DataFrame, max_links: int = 15, max_chars: int = 12000) -> DataFrame:
-    """Language, title, author, publication time, distinct absolute links and plain text of each page."""
+def extract_html(pages: DataFrame, max_links: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Language, title, author, publication time, distinct absolute links and plain text of each page, whole unless limits are given."""
     h = F.col("html")
     some = lambda p, g=1: F.nullif(F.regexp_extract(h, p, g), F.lit(""))
     lang = F.lower(F.coalesce(some(rf"(?i)<html[^>]*\blang={Q}?([a-zA-Z\-]+){Q}?"), F.lit("en")))
     raw_title = F.coalesce(_meta(h, "og:title|twitter:title"), some(r"(?is)<title[^>]*>(.*?)</title>"), F.col("url"))
     d = pages.withColumns({
-        "language": F.substring(lang, 1, 8), "_t": sanitize_text(raw_title, 400),
-        "author": sanitize_text(_meta(h, r"author|article:author|dc\.creator"), 160),
+        "language": lang, "_t": sanitize_text(raw_title),
+        "author": sanitize_text(_meta(h, r"author|article:author|dc\.creator")),
         "published_raw": F.coalesce(_meta(h, r"article:published_time|pubdate|date|dc\.date"), some(rf"(?i)<time[^>]+datetime={Q}({NQ}+){Q}")),
         "_a": F.transform(F.regexp_extract_all(h, F.lit(rf"(?i)<a[^>]+href={Q}([^\"'#]+){Q}"), F.lit(1)), lambda x: F.trim(x))})
     keep = F.filter("_a", lambda x: ~x.rlike("^(javascript:|mailto:|tel:|data:)"))
@@ -158,7 +159,7 @@ def extract_html(pages: DataFrame, max_links: int = 15, max_chars: int = 12000)
     return d.select(
         "page_id", "url", "language", F.when(F.col("_t") != "", F.col("_t")).otherwise(F.col("url")).alias("title"),
         F.nullif("author", F.lit("")).alias("author"), F.try_to_timestamp("published_raw").alias("published_at"),
-        sanitize_text(h, max_chars).alias("content"), F.slice(F.array_distinct(links), 1, max_links).alias("links"))
+        sanitize_text(h, max_chars).alias("content"), (F.array_distinct(links) if max_links is None else F.slice(F.array_distinct(links), 1, max_links)).alias("links"))
 
 
 # Format of a file by extension and by its first bytes (hex).

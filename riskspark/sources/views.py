@@ -101,25 +101,22 @@ class Views:
         return self._ranking(self.cells())
 
     def placements(self) -> DataFrame:
-        """Two-step aggregation: lines collapse map-side to 0.1-lakh salary steps, so the exact median is a
-        weighted percentile over a bounded histogram instead of a buffer of raw values."""
+        """Two-step aggregation: lines collapse map-side to one row per price and per recruiter, so the exact median is
+        a percentile weighted by counts and no cell buffers its raw values."""
         li = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_returnflag")
         lines = li.join(self._order_slots(), li.l_orderkey == F.col("o_orderkey"))
-        step = F.floor(F.col("l_extendedprice") / 1000.0)
-        hist = lines.groupBy(*CELL, step.alias("step")).agg(
-            F.count("*").alias("n"),
-            F.count_if(F.col("l_returnflag") != "R").alias("n_placed"),
-            F.max("l_extendedprice").alias("top"),
-            F.bit_or(F.expr("shiftleft(1L, cast(l_suppkey % 50 as int))")).alias("rec_bits"),
-        )
+        cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+        parts = lines.groupBy(*CELL, cents.alias("cents"), "l_suppkey").agg(
+            F.count("*").alias("n"), F.count_if(F.col("l_returnflag") != "R").alias("n_placed"))
+        recruiters = parts.groupBy(*CELL, "l_suppkey").agg(F.lit(1).alias("one")).groupBy(*CELL).agg(F.count("*").cast("int").alias("top_tier_recruiters"))
+        hist = parts.groupBy(*CELL, "cents").agg(F.sum("n").alias("n"), F.sum("n_placed").alias("n_placed"))
         g = hist.groupBy(*CELL).agg(
             F.sum("n").cast("int").alias("eligible_students"),
             F.sum("n_placed").cast("int").alias("placed_students"),
-            (F.percentile("step", F.lit(0.5), F.col("n")) / 10.0).alias("median_salary_lpa"),
-            rnd(F.max("top") / 10000.0, 4).alias("max_salary_lpa"),
-            F.bit_count(F.bit_or("rec_bits")).cast("int").alias("top_tier_recruiters"),
+            (F.percentile("cents", F.lit(0.5), F.col("n")) / 1000000.0).alias("median_salary_lpa"),
+            rnd(F.max("cents") / 1000000.0, 4).alias("max_salary_lpa"),
         )
-        return g.select(
+        return g.join(recruiters, CELL).select(
             *CELL, F.col("academic_year").alias("graduation_year"),
             "eligible_students", "placed_students",
             rnd(F.lit(100.0) * F.col("placed_students") / F.col("eligible_students"), 2).alias("placement_percentage"),
@@ -201,14 +198,13 @@ class Views:
 
     # ---- event side -------------------------------------------------------------------------
     def articles(self) -> DataFrame:
-        """Documents as news articles; only the leading tokens and characters become title and summary."""
+        """Documents as news articles: the first line is the title, the whole text the summary."""
         d = self.table("documents")
         i = F.col("doc_id")
-        toks = F.filter(F.split(F.col("text"), r"[ \n\t\r]+"), lambda t: t != "")
         return d.select(
             i.alias("arrival"),
-            F.array_join(F.slice(toks, 1, 10), " ").alias("title"),
-            F.substring("text", 1, 400).alias("summary"),
+            F.trim(F.substring_index("text", "\n", 1)).alias("title"),
+            F.col("text").alias("summary"),
             F.col("source").alias("publisher"),
             F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), i.cast("string")).alias("url"),
             F.col("lang").alias("country"),

@@ -3,19 +3,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskspark.functions.text import content_hash
 from riskspark.session import stage
-from riskspark.sources import ledger as L
 
 
-def stream_dedup_content(stream: DataFrame, content: str = "content", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of a normalized content hash within the delay. Spark removes at least those inside the delay; the exact
-    first-seen rule is ``batch_dedup_content``."""
-    return (stream.withColumn("content_hash", content_hash(F.col(content)))
-            .withWatermark(ts, delay).dropDuplicatesWithinWatermark(["content_hash"]))
+def _epochs(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """What earlier micro-batches wrote under `path` (one folder per epoch), or None."""
+    try:
+        done = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return done if before is None else done.where(F.col("epoch") < before)
+
+
+def stream_dedup_content(stream: DataFrame, path: str, checkpoint: str, seconds: int = 3600, content: str = "content", ts: str = "ts", key: str = "seq"
+                         ) -> StreamingQuery:
+    """Accepted rows of every micro-batch, by the rule of ``batch_dedup_content``, to `path`/epoch=N.
+
+    Carried over is what was accepted at most `seconds` before the batch's first row. A row at most `seconds` later than
+    the last accepted copy of its content is skipped; the rest of the batch starts a chain of its own. A replayed epoch overwrites its folder.
+    """
+    def apply(batch: DataFrame, epoch: int) -> None:
+        d = batch.select(F.col(key), F.unix_timestamp(ts).alias("ts_s"), content_hash(F.col(content)).alias("content_hash"))
+        done = _epochs(batch.sparkSession, path, epoch)
+        if done is not None:
+            first = d.agg(F.min("ts_s")).scalar()
+            last = done.where(F.col("ts_s") >= first - seconds).groupBy("content_hash").agg(F.max("ts_s").alias("last"))
+            d = d.join(last, "content_hash", "left").where(F.col("last").isNull() | (F.col("ts_s") > F.col("last") + seconds)).drop("last")
+        chain_accepted(d, seconds, "ts_s", key).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def batch_dedup_content(df: DataFrame, seconds: int = 3600, content: str = "content", ts: str = "ts_s", key: str = "seq") -> DataFrame:
@@ -26,15 +48,19 @@ def batch_dedup_content(df: DataFrame, seconds: int = 3600, content: str = "cont
     bucket or to the first later one that is not empty, and every partition is (content, bucket). The chain of
     pointers is followed by doubling, in a number of rounds logarithmic in its length.
     """
+    return chain_accepted(df.withColumn("content_hash", content_hash(F.col(content))), seconds, ts, key)
+
+
+def chain_accepted(d: DataFrame, seconds: int, ts: str, key: str) -> DataFrame:
+    """Accepted (content_hash, time, first key) of rows that carry their content hash."""
     width = seconds + 1
-    d = df.withColumn("content_hash", content_hash(F.col(content)))
     times = stage(d.groupBy("content_hash", F.col(ts).alias("t")).agg(F.min(key).alias(key)).withColumn("b", F.floor(F.col("t") / width)))
     per = W.partitionBy("content_hash").orderBy("b")
     buckets = times.groupBy("content_hash", "b").agg(F.min("t").alias("m")).withColumns({
         "nb": F.lead("b").over(per), "nm": F.lead("m").over(per), "nnm": F.lead("m", 2).over(per)})
     probes = times.select("content_hash", (F.col("b") + 1).alias("b"), (F.col("t") + width).alias("p"), F.lit(None).cast("bigint").alias("e"), F.col("t").alias("src"))
     here = times.select("content_hash", "b", F.col("t").alias("p"), F.col("t").alias("e"), F.lit(None).cast("bigint").alias("src"))
-    ahead = W.partitionBy("content_hash", "b").orderBy("p").rangeBetween(0, W.unboundedFollowing)
+    ahead = W.partitionBy("content_hash", "b").orderBy(F.desc("p")).rangeBetween(W.unboundedPreceding, 0)
     found = here.unionByName(probes).withColumn("hit", F.min("e").over(ahead)).where("src IS NOT NULL").select("content_hash", F.col("src").alias("t"), "hit")
     jump = times.join(found, ["content_hash", "t"]).join(buckets, ["content_hash", "b"]).select(
         "content_hash", "t", F.when(F.col("nb") == F.col("b") + 1, F.coalesce("hit", "nnm")).otherwise(F.col("nm")).alias("n"))
@@ -49,30 +75,42 @@ def batch_dedup_content(df: DataFrame, seconds: int = 3600, content: str = "cont
 
 def stream_refresh(stream: DataFrame, ledger_path: str, checkpoint: str, report: Callable[[int, int], None] | None = None
                    ) -> StreamingQuery:
-    """Append only new signals of every micro-batch to the ledger; a replayed batch adds nothing."""
+    """Append only new signals of every micro-batch to the ledger; a replayed batch adds nothing.
+
+    The ledger is partitioned by the first two digits of the fingerprint, and ids derive from fingerprints, so a batch
+    reads the partitions of its own prefixes once, with one anti join.
+    """
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(ledger_path)
-        except Exception as e:  # first batch: the ledger does not exist yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = batch.limit(0)
-        fresh = L.append_signals(stored, batch).persist()
+        first = batch.groupBy("fingerprint").agg(F.min("seq").alias("seq"))
+        fresh = batch.join(first, ["fingerprint", "seq"], "left_semi").dropDuplicates(["fingerprint"]).withColumn("prefix", F.substring("fingerprint", 1, 2))
+        stored = _epochs(spark, ledger_path)
+        if stored is not None:
+            fresh = fresh.join(stored.select("prefix", "fingerprint"), ["prefix", "fingerprint"], "left_anti")
+        fresh = stage(fresh)
         n = fresh.count()
         if n:
-            fresh.write.mode("append").parquet(ledger_path)
-        fresh.unpersist()
+            fresh.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(ledger_path)
         if report:
             report(epoch, n)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_place_density(stream: DataFrame, ts: str = "ts", place: str = "place", span: str = "24 hours", step: str = "1 hour",
-                         late: str = "1 hour") -> DataFrame:
-    """Events per place in sliding windows; rows later than the watermark are dropped."""
-    return (stream.withWatermark(ts, late).groupBy(F.window(ts, span, step), place).agg(F.count("*").alias("n_events"))
-            .select(F.unix_timestamp("window.start").alias("window_start_s"), place, "n_events"))
+def stream_place_density(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", place: str = "place", span: str = "24 hours", step: str = "1 hour",
+                         late: str = "1 hour") -> StreamingQuery:
+    """Events per place in sliding windows, open windows included: every micro-batch writes the counts it changed to `path`/epoch=N.
+
+    Rows later than the watermark are dropped. ``current_density`` merges the epochs by key.
+    """
+    counts = (stream.withWatermark(ts, late).groupBy(F.window(ts, span, step), place).agg(F.count("*").alias("n_events"))
+              .select(F.unix_timestamp("window.start").alias("window_start_s"), place, "n_events"))
+    apply = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    return counts.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_density(written: DataFrame, place: str = "place") -> DataFrame:
+    """The newest count per window and place of what ``stream_place_density`` wrote."""
+    return written.groupBy("window_start_s", place).agg(F.max_by("n_events", "epoch").alias("n_events"))
 
 
 def batch_place_density(df: DataFrame, ts: str = "ts", place: str = "place", span: str = "24 hours", step: str = "1 hour") -> DataFrame:
