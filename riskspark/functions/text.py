@@ -38,15 +38,15 @@ def classify_metrics(labels: DataFrame, label: str = "label") -> DataFrame:
     d = d.withColumn("_i", _chain([(low.rlike(p), F.lit(i)) for i, (_, p, _, _, _) in enumerate(M.METRIC_RULES)],
                                   F.lit(None).cast("int")))
     rule = lambda k: F.get(F.array(*[F.lit(x[k]) for x in M.METRIC_RULES]), F.col("_i"))
-    dom = _chain([(_has_any(low, [w.replace("_", " ") for w in words.split()]), F.lit(d)) for d, words in M.DOMAIN_WORDS],
+    dom = _chain([(_has_any(low, words), F.lit(d)) for d, words in M.DOMAIN_WORDS],
                  F.lit("general_institutional"))
     slug = F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     unit = (
         F.when(F.col(label).contains("%") | _has_any(low, ["percent", "rate", "ratio"]), "%")
         .when(_has_any(low, ["lakh", "inr", "rs"]), "INR_Lakhs").when(low.contains("lpa"), "LPA")
         .when(_has_any(low, ["count", "number", "total"]), "count"))
-    pol = (F.when(_has_any(low, M.DOWN_WORDS.split()), M.DOWN).when(_has_any(low, M.UP_WORDS.split()), M.UP)
-           .otherwise(M.FLAT))
+    pol = (F.when(_has_any(low, M.DOWN_WORDS), "lower_is_better").when(_has_any(low, M.UP_WORDS), "higher_is_better")
+           .otherwise("neutral"))
     known = F.col("_i").isNotNull()
     return d.select(
         label, F.when(known, rule(0)).otherwise(dom).alias("domain"),
@@ -81,8 +81,8 @@ def risk_contribution(metric: Column, value: Column, unit: Column, polarity: Col
         .when(metric.isin(M.FALLING_BASE_40), share / 40.0)
         .when(metric.isin(M.RISING_BASE_60), (F.lit(100.0) - share) / 60.0)
         .when(metric.isin(M.COUNT_BASE_25), value / 25.0)
-        .when((polarity == M.DOWN) & (unit == "%"), share / 50.0)
-        .when((polarity == M.UP) & (unit == "%"), (F.lit(100.0) - share) / 100.0)
+        .when((polarity == "lower_is_better") & (unit == "%"), share / 50.0)
+        .when((polarity == "higher_is_better") & (unit == "%"), (F.lit(100.0) - share) / 100.0)
     )
     return F.when(value.isNotNull() & out.isNotNull(), rnd(key9(clamp(out)), 3))
 

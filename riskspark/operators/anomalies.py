@@ -49,7 +49,7 @@ def rank_anomalies(ranking: DataFrame, keys: list[str]) -> DataFrame:
     slip = key9(F.when(F.col("hist_mean") > 0, (F.col("closing_rank") - F.col("hist_mean")) / F.col("hist_mean"))
                 .otherwise(0.0))
     return _emit(
-        d.where(((z >= 2.0) & (slip >= 0.15)) | (slip >= 0.50)), keys, "Entrance ranking", "academic_year",
+        d.where(((z >= 2.0) & (slip >= 0.15)) | (slip >= 0.50)), keys, "CET / Ranking", "academic_year",
         "closing_rank", F.col("closing_rank"), ((z >= 3.0) & (slip >= 0.30)) | (slip >= 0.75),
         F.format_string("Cut-off slipped to %d (z %.2f)", "closing_rank", "zscore"))
 

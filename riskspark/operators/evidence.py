@@ -37,7 +37,9 @@ def anomaly_provenance(anomalies: DataFrame, signals: DataFrame, canonical: Data
                                                                 F.min("seq").alias("_q"))
     m, x = F.col("metric_name"), F.col("_m")
     fits = (m == x) | F.contains(m, x) | F.contains(x, m) | F.contains(F.lower("signal_name"), F.col("_dom"))
-    dyn = a.join(vocab, INST).where((F.col("_y").isNull() | (F.col("_y") == F.col("academic_year"))) & fits)
+    # Dated signals meet anomalies of their year; undated ones, which fit any year, are a second, small join.
+    dated = a.join(vocab.where("_y IS NOT NULL"), [a["institution_id"] == vocab["institution_id"], a["academic_year"] == vocab["_y"]]).drop(vocab["institution_id"])
+    dyn = dated.unionByName(a.join(vocab.where("_y IS NULL"), INST)).where(fits)
     best = dyn.groupBy("_id").agg(F.min_by("_s", "_q").alias("_s")).select("_id", "_s.*")
     stream = (F.when(F.lower("signal_name").contains("admission"), "admissions")
               .when(F.lower("signal_name").contains("placement"), "placements")
@@ -52,15 +54,16 @@ def anomaly_provenance(anomalies: DataFrame, signals: DataFrame, canonical: Data
                    F.concat(F.lit("Table["), F.col("metric_name"), F.lit("]"))).alias("cell_or_range"))
 
 
-def dossier(assessments: DataFrame, anomalies: DataFrame, signals: DataFrame, canonical: DataFrame, samples: int = 30) -> DataFrame:
-    """Coverage, anomaly and contradiction counts, sampled metrics and missing domains per institution."""
+def dossier(assessments: DataFrame, anomalies: DataFrame, signals: DataFrame, canonical: DataFrame, samples: int | None = None) -> DataFrame:
+    """Coverage, anomaly and contradiction counts, metrics (the first ones seen, if `samples` is given) and missing domains per institution."""
     cov = (
         canonical.select(*INST, "domain").unionByName(signals.select(*INST, "domain")).distinct()
         .groupBy(*INST).agg(F.collect_set("domain").alias("_have"))
     )
     n_anom = anomalies.groupBy(*INST).agg(F.count("*").alias("n_anomalies"))
     kinds = signals.groupBy(*INST, "domain", "metric_name").agg(F.min("seq").alias("_q"))
-    kinds = kinds.withColumn("_n", F.row_number().over(W.partitionBy(*INST).orderBy("_q"))).where(F.col("_n") <= samples)
+    if samples is not None:
+        kinds = kinds.withColumn("_n", F.row_number().over(W.partitionBy(*INST).orderBy("_q"))).where(F.col("_n") <= samples)
     smp = kinds.groupBy(*INST).agg(F.array_sort(F.collect_list(F.concat_ws(".", "domain", "metric_name"))).alias("sampled_metrics"))
     con = signals.where("is_contradictory").groupBy(*INST).agg(F.count("*").alias("n_contradictions"))
     need = F.array(F.lit("admissions"), F.lit("placements"), F.lit("ranking"))
@@ -76,16 +79,21 @@ def dossier(assessments: DataFrame, anomalies: DataFrame, signals: DataFrame, ca
 SEVERITY_ORDER = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 
 
-def insight_catalog(anomalies: DataFrame, k: int = 30) -> DataFrame:
-    """Insights per (signal, metric): a trend over two or more periods or a single observation; worst k per institution."""
+def insight_catalog(anomalies: DataFrame, k: int | None = None) -> DataFrame:
+    """Insights per (department, signal, metric): a trend over two or more periods or a single observation, worst first.
+
+    ``k`` keeps the worst k of each institution; by default all stay.
+    """
     rank = F.create_map(*[F.lit(x) for kv in SEVERITY_ORDER.items() for x in kv])
-    g = anomalies.groupBy(*INST, "signal_name", "metric_name").agg(
+    g = anomalies.groupBy(*INST, "department", "signal_name", "metric_name").agg(
         F.countDistinct("academic_year").alias("n_periods"), F.count("*").alias("n_records"),
-        F.min_by("observed_value", "academic_year").alias("first_value"), F.max_by("observed_value", "academic_year").alias("last_value"),
+        F.min(F.struct("academic_year", "observed_value"))["observed_value"].alias("first_value"), F.max(F.struct("academic_year", "observed_value"))["observed_value"].alias("last_value"),
         F.min("academic_year").alias("first_year"), F.max("academic_year").alias("last_year"),
         F.min(rank[F.col("severity")]).alias("_r"))
-    order = W.partitionBy(*INST).orderBy("_r", F.desc("n_records"), "signal_name", "metric_name")
-    out = g.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    order = W.partitionBy(*INST).orderBy("_r", F.desc("n_records"), "signal_name", "metric_name", "department")
+    out = g.withColumn("position", F.row_number().over(order))
+    if k is not None:
+        out = out.where(F.col("position") <= k)
     return out.withColumns({
         "kind": F.when(F.col("n_periods") >= 2, "trend").otherwise("single_period"),
         "severity": F.element_at(F.array(*[F.lit(x) for x in SEVERITY_ORDER]), F.col("_r") + 1)}).drop("_r")

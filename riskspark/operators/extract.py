@@ -16,7 +16,7 @@ def header_role(header: Column) -> Column:
     h = F.regexp_replace(F.regexp_replace(F.lower(F.trim(header)), "[^a-z0-9_]+", "_"), "^_+|_+$", "")
     out = None
     for role, names in M.HEADER_ROLES:
-        c = h.isin(names.split())
+        c = h.isin(names)
         out = F.when(c, role) if out is None else out.when(c, role)
     return out
 
@@ -220,13 +220,13 @@ def canonical_to_long(admissions: DataFrame, placements: DataFrame, ranking: Dat
     vr, pct = F.col("vacancy_rate"), F.col("placement_percentage")
     key = ["institution_id", "department", "academic_year"]
     a = admissions.select(*key, F.inline(F.array(
-        row("admissions", "sanctioned_intake", F.col("sanctioned_intake"), "count", M.FLAT, none),
-        row("admissions", "admitted_students", F.col("enrolled_count"), "count", M.UP, none),
-        row("admissions", "vacancy_rate", vr, "ratio", M.DOWN, rnd(F.least(F.lit(1.0), vr * 1.5), 3)))))
+        row("admissions", "sanctioned_intake", F.col("sanctioned_intake"), "count", "neutral", none),
+        row("admissions", "admitted_students", F.col("enrolled_count"), "count", "higher_is_better", none),
+        row("admissions", "vacancy_rate", vr, "ratio", "lower_is_better", rnd(F.least(F.lit(1.0), vr * 1.5), 3)))))
     p = placements.select(*key, F.inline(F.array(row(
-        "placements", "placement_percentage", pct, "%", M.UP,
+        "placements", "placement_percentage", pct, "%", "higher_is_better",
         rnd(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(100.0) - pct) / 100.0)), 3)))))
-    c = ranking.select(*key, F.inline(F.array(row("ranking", "closing_rank", F.col("closing_rank"), "rank", M.DOWN, none))))
+    c = ranking.select(*key, F.inline(F.array(row("ranking", "closing_rank", F.col("closing_rank"), "rank", "lower_is_better", none))))
     return a.unionByName(p).unionByName(c)
 
 

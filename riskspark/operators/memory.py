@@ -13,7 +13,7 @@ VERDICTS = {"Confirmed": "VALIDATED", "Incorrect": "REJECTED", "Insufficient Evi
 
 
 def memory_entries(statements: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """Statements and outcome comparisons as keyed ledger entries."""
+    """Statements and outcome comparisons as keyed ledger entries; of entries with one key the most confident stays, ties by text."""
     cat = F.create_map(*[F.lit(x) for kv in CATEGORY.items() for x in kv])
     s = statements.select(
         F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat_ws("|", "institution_id", "statement_class", "statement"), 256), 1, 16)).alias("memory_id"),
@@ -24,7 +24,8 @@ def memory_entries(statements: DataFrame, comparisons: DataFrame) -> DataFrame:
         F.format_string("%s in %d: predicted %.4f, observed %.4f", "metric_name", "target_year", "predicted_value", "observed_value").alias("statement"),
         F.col("accuracy").alias("confidence"))
     return s.unionByName(o).groupBy("memory_id").agg(
-        F.first(F.struct("institution_id", "category", "statement", "confidence")).alias("_r")).select("memory_id", "_r.*")
+        F.max(F.struct("confidence", "statement", "category", "institution_id")).alias("_r")).select(
+            "memory_id", "_r.institution_id", "_r.category", "_r.statement", "_r.confidence")
 
 
 def append_feedback(memory: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -54,11 +55,11 @@ def category_counts(memory: DataFrame) -> DataFrame:
     return memory.groupBy(*INST, "category").agg(F.count("*").alias("n_entries"), rnd(key9(F.avg("confidence")), 3).alias("mean_confidence"))
 
 
-def overview(assessments: DataFrame, forecast_points: DataFrame, insights: DataFrame, k: int = 5) -> DataFrame:
-    """Status band, outlook now and after one to three years, and the top findings of each institution."""
+def overview(assessments: DataFrame, forecast_points: DataFrame, insights: DataFrame, k: int | None = None) -> DataFrame:
+    """Status band, outlook now and after one to three years, and the findings of each institution, worst first (the k worst, if given)."""
     at = lambda i: F.max(F.when(F.col("year_offset") == i, F.col("projected_cri"))).alias(f"year{i}_cri")
     pts = forecast_points.groupBy(*INST).agg(at(1), at(2), at(3))
-    top = insights.where(F.col("position") <= k).groupBy(*INST).agg(F.transform(F.array_sort(F.collect_list(F.struct(
+    top = (insights if k is None else insights.where(F.col("position") <= k)).groupBy(*INST).agg(F.transform(F.array_sort(F.collect_list(F.struct(
         "position", F.concat_ws(": ", "severity", "signal_name", "metric_name").alias("t")))), lambda x: x["t"]).alias("top_findings"))
     n = insights.withColumn("_n", F.lit(1)).groupBy(*INST).agg(F.count("*").alias("n_findings"))
     band = (F.when(F.col("cri") >= 0.70, "critical").when(F.col("cri") >= 0.50, "elevated").when(F.col("cri") >= 0.30, "watch")

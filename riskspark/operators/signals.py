@@ -14,8 +14,7 @@ CATEGORY = {
     "conflict": "conflict_indicator", "military": "escalation_indicator", "humanitarian": "humanitarian_indicator",
     "geopolitical": "escalation_indicator", "general_osint": "repeated_reports",
 }
-TREND_STOP_WORDS = ("the and for with that this from into over after near amid report reports update news have been "
-                    "were").split()
+TREND_STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "into", "over", "after", "near", "amid", "report", "reports", "update", "news", "have", "been", "were"]
 THREAT_TYPES = ["Threat Actor", "Intrusion Set", "Malware", "Vulnerability", "Indicator", "Observable", "Campaign",
                 "Infrastructure"]
 

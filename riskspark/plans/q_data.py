@@ -39,11 +39,11 @@ def classify_sql(label: str) -> dict[str, str]:
     low = f"lower(trim({label}))"
     def case(i, default):
         return "CASE " + " ".join(f"WHEN regexp_matches({low}, {q(x[1])}) THEN {q(x[i])}" for x in M.METRIC_RULES) + f" ELSE {default} END"
-    dom = "CASE " + " ".join(f"WHEN {has_any(low, [w.replace('_', ' ') for w in ws.split()])} THEN {q(d)}" for d, ws in M.DOMAIN_WORDS) + " ELSE 'general_institutional' END"
+    dom = "CASE " + " ".join(f"WHEN {has_any(low, ws)} THEN {q(d)}" for d, ws in M.DOMAIN_WORDS) + " ELSE 'general_institutional' END"
     slug = f"trim(regexp_replace({low}, '[^a-z0-9]+', '_', 'g'), '_')"
     unit = (f"CASE WHEN contains({label}, '%') OR {has_any(low, ['percent', 'rate', 'ratio'])} THEN '%' WHEN {has_any(low, ['lakh', 'inr', 'rs'])} THEN 'INR_Lakhs' "
             f"WHEN contains({low}, 'lpa') THEN 'LPA' WHEN {has_any(low, ['count', 'number', 'total'])} THEN 'count' END")
-    pol = f"CASE WHEN {has_any(low, M.DOWN_WORDS.split())} THEN 'lower_is_better' WHEN {has_any(low, M.UP_WORDS.split())} THEN 'higher_is_better' ELSE 'neutral' END"
+    pol = f"CASE WHEN {has_any(low, M.DOWN_WORDS)} THEN 'lower_is_better' WHEN {has_any(low, M.UP_WORDS)} THEN 'higher_is_better' ELSE 'neutral' END"
     return {"domain": case(0, dom), "metric_name": case(2, slug), "unit": case(3, unit), "polarity": case(4, pol)}
 
 
@@ -192,7 +192,7 @@ _h = "trim(regexp_replace(lower(trim(header)), '[^a-z0-9_]+', '_', 'g'), '_')"
 
 @query("p09_header_roles", f"""
 WITH h AS (SELECT unnest(string_split(label || ' ' || ctx, ' ')) AS header FROM v_read)
-SELECT header, CASE {' '.join(f"WHEN {_h} IN ({', '.join(q(n) for n in ns.split())}) THEN {q(role)}" for role, ns in M.HEADER_ROLES)} END AS role, count(*) AS n FROM h GROUP BY 1, 2""")
+SELECT header, CASE {' '.join(f"WHEN {_h} IN ({', '.join(q(n) for n in ns)}) THEN {q(role)}" for role, ns in M.HEADER_ROLES)} END AS role, count(*) AS n FROM h GROUP BY 1, 2""")
 def p09(v: Views):
     h = v.readings().select(F.explode(F.split(F.concat_ws(" ", "label", "ctx"), " ")).alias("header"))
     return X.header_roles(h.groupBy("header").agg(F.count("*").alias("n")))

@@ -258,8 +258,9 @@ def _all_anomalies(v: Views):
     from riskspark.operators import anomalies as A
     a, p, c = v.canonical()
     s = v.staged("signals")
-    cols = ["institution_id", *A.COLS]
-    an = R.all_anomalies(a, p, c, DEPT, cross=True).select(cols).unionByName(A.dynamic_anomalies(s).select(cols))
+    cols = ["institution_id", "department", *A.COLS]
+    dynamic = A.dynamic_anomalies(s).withColumn("department", F.lit(None).cast("string"))
+    an = R.all_anomalies(a, p, c, DEPT, cross=True).select(cols).unionByName(dynamic.select(cols))
     return stage(an), s
 
 
@@ -472,11 +473,12 @@ def _memory(v: Views):
 
 def _feedback(v: Views, mem):
     """Labels as reviewer feedback: on inferences by rank, or on findings nobody stored."""
-    from pyspark.sql import Window as W
-    inf = mem.where("category = 'inference'").select("memory_id", (F.row_number().over(W.orderBy("memory_id")) - 1).alias("k"))
+    # An inference gets the feedback whose id falls in its hash slot; the institution comes from the target.
+    inf = mem.where("category = 'inference'").select("memory_id", "institution_id", F.pmod(F.conv(F.substring(F.sha2("memory_id", 256), 1, 8), 16, 10).cast("long"), F.lit(1000)).alias("k"))
+    inf = inf.groupBy("k").agg(F.min(F.struct("memory_id", "institution_id")).alias("_m")).select("k", "_m.*")
     lab = v.table("labels").select(F.col("doc_id").alias("feedback_id"), "quality", "toxic")
-    j = lab.join(inf, lab.feedback_id == inf.k, "left")
-    return j.select("feedback_id", F.coalesce("memory_id", F.concat(F.lit("finding_"), F.col("feedback_id"))).alias("target_id"), F.lit("CHINA").alias("institution_id"),
+    j = lab.join(inf, lab.feedback_id == inf.k, "left").withColumn("institution_id", F.coalesce("institution_id", F.lit("UNASSIGNED")))
+    return j.select("feedback_id", F.coalesce("memory_id", F.concat(F.lit("finding_"), F.col("feedback_id"))).alias("target_id"), "institution_id",
                     F.when(F.col("quality") == 1, "Confirmed").when(F.col("toxic") == 1, "Incorrect").otherwise("Insufficient Evidence").alias("verdict"),
                     F.lit("reviewed").alias("comment"))
 

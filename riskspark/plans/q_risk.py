@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.num import rnd, key9, unfavourable_pct
 from riskspark.operators import anomalies as A, features as FT, forecast as T, risk as R
-from riskspark.plans.oracle import clamp, cte, r, r9
+from riskspark.plans.oracle import clone, clamp, cte, r, r9
 from riskspark.plans.registry import query
 from riskspark.sources.views import Views
 
@@ -231,7 +231,7 @@ FROM {prefix}_ha WHERE ({z} <= -2 AND vacancy_rate >= .15) OR vacancy_rate >= .4
   CASE WHEN {z} <= -3 OR {p} < 35 THEN 'CRITICAL' ELSE 'HIGH' END AS severity
 FROM {prefix}_hp WHERE ({z} <= -2 AND {p} < 75) OR {p} < 50""")
     s = r9("(closing_rank-m)/m")
-    cte(f"{prefix}_a3", f"""SELECT {keys}, 'Entrance ranking' AS signal_name, academic_year, 'closing_rank' AS metric_name,
+    cte(f"{prefix}_a3", f"""SELECT {keys}, 'CET / Ranking' AS signal_name, academic_year, 'closing_rank' AS metric_name,
   closing_rank::double AS observed_value, {r('m', 4)} AS baseline_value, {r('z', 2)} AS deviation_zscore,
   CASE WHEN ({z} >= 3 AND {s} >= .30) OR {s} >= .75 THEN 'CRITICAL' ELSE 'HIGH' END AS severity
 FROM {prefix}_hc WHERE ({z} >= 2 AND {s} >= .15) OR {s} >= .50""")
@@ -276,6 +276,39 @@ def a04(v: Views):
     return _no_text(A.divergence_anomalies(v.admissions(), v.placements(), DEPT))
 
 
+class CustomerViews(Views):
+    """The same canonical rows with every customer as a department: small cells, in which ranks and ratios move."""
+
+    def _order_slots(self):
+        c = self.table("customer").select("c_custkey", "c_nationkey")
+        n = self.table("nation").select("n_nationkey", "n_name")
+        o = self.table("orders")
+        return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(
+            F.col("n_name").alias("institution_id"), F.concat(F.lit("C"), "c_custkey").alias("department"),
+            (F.year("o_orderdate") + 23).alias("academic_year"), "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+def _by_customer(v: Views) -> CustomerViews:
+    return CustomerViews(v.spark, v.dir)
+
+
+cte("k_slots", """
+SELECT n_name AS institution_id, 'C' || c_custkey AS department, (year(o_orderdate)+23)::int AS academic_year,
+  o_orderkey, o_orderstatus, o_totalprice, o_orderpriority
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+
+
+@query("a03_rank_anomalies_by_customer", f"SELECT * FROM {clone('d_a3', 'k_', {'v_slots': 'k_slots'})}")
+def a03k(v: Views):
+    return _no_text(A.rank_anomalies(_by_customer(v).ranking(), DEPT))
+
+
+@query("a04_divergence_anomalies_by_customer", f"SELECT * FROM {clone('d_a4', 'k_', {'v_slots': 'k_slots'})}")
+def a04k(v: Views):
+    k = _by_customer(v)
+    return _no_text(A.divergence_anomalies(k.admissions(), k.placements(), DEPT))
+
+
 cte("o_dyn", f"""
 SELECT institution_id, signal_id, domain,
   CASE WHEN is_contradictory THEN 'Contradictory Source (' || upper(domain[1]) || domain[2:] || ')'
