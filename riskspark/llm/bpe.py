@@ -162,14 +162,14 @@ def _column(values: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(values))]))
 
 
-def _mapped(docs: DataFrame, source: str, target: str, kind: str, fn) -> DataFrame:
+def _mapped(docs: DataFrame, source: str, target: str, kind: str, fn, by_text: bool) -> DataFrame:
     """`docs` with `source` replaced by the column `target` that `fn` makes of a batch's source column."""
     keep = [c for c in docs.columns if c not in (source, target)]
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([*batch.columns[:-1], fn(batch.columns[-1])], names=[*keep, target])
-    return map_arrow(docs.select(*[f"`{c}`" for c in keep], f"`{source}`"), run, f"{kinds}`{target}` {kind}")
+    return map_arrow(docs.select(*[f"`{c}`" for c in keep], f"`{source}`"), run, f"{kinds}`{target}` {kind}", len(keep) if by_text else None)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
     def ids(column: pa.Array) -> pa.Array:
         enc = codec(path, pattern).encode
         return _column([enc(t or "") for t in column.to_pylist()])
-    return _mapped(docs, text_column, ids_column, "array<int>", ids)
+    return _mapped(docs, text_column, ids_column, "array<int>", ids, True)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:
@@ -185,7 +185,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_column: str = "ids", te
     def text(column: pa.Array) -> pa.Array:
         dec = codec(path, pattern).decode
         return pa.array([None if v is None else dec(array("I", v).tobytes()).decode() for v in column.to_pylist()], pa.string())
-    return _mapped(docs, ids_column, text_column, "string", text)
+    return _mapped(docs, ids_column, text_column, "string", text, False)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -201,4 +201,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
         return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)],
                                names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_arrow(docs.select(id_column, text_column), run, f"{id_column} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(id_column, text_column), run, f"{id_column} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", 1)

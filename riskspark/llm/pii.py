@@ -245,7 +245,7 @@ def fit(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             keep.append((batch.column(0)[row].as_py(), "".join(parts), labels))
         return pa.record_batch([pa.array([k[0] for k in keep], batch.schema.types[0]), pa.array([k[1] for k in keep], pa.string()), pa.array([k[2] for k in keep], pa.list_(pa.int32()))],
                                names=["doc_id", "runs", "labels"])
-    rows = sorted((tuple(r) for r in map_arrow(drawn, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, runs string, labels array<int>").collect()), key=repr)
+    rows = sorted((tuple(r) for r in map_arrow(drawn, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, runs string, labels array<int>", 1).collect()), key=repr)
     graph = Graph()
     for k, (_, runs, labels) in enumerate(rows):
         at = len(graph.place)
@@ -305,7 +305,7 @@ def find(docs: DataFrame, sample: int = 3000, threshold: float = 0.9) -> DataFra
             spans[row] = written(base + _trimmed(added, by_row[row]))
         return pa.record_batch([batch.column(0), *(pa.array(c) for c in counts), pa.array(digest), pa.array(spans)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string", 1)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -332,4 +332,4 @@ def redact(docs: DataFrame, sample: int = 3000, threshold: float = 0.9) -> DataF
             batch = pa.record_batch([batch.column(0), pa.array(values, pa.string()), *batch.columns[2:]], names=names)
         yield batch
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in names]), run, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in names]), run, schema, 1).select(*[F.col(f"`{c}`") for c in docs.columns])

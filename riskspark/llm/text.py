@@ -34,17 +34,29 @@ def minus(docs: DataFrame, rows: DataFrame, how: str = "left_anti") -> DataFrame
     return docs.join(rows, docs["doc_id"].eqNullSafe(rows["__id"]) & text_key().eqNullSafe(rows["__key"]), how)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply `fn` to every Arrow batch of `df` inside the tasks; rows stay where they are."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str, text: int | None = None) -> DataFrame:
+    """Apply `fn` to every Arrow batch of `df` inside the tasks; rows stay where they are.
+
+    With `text`, the position of a string column, batches are cut into rows of about CHUNK_BYTES of it, so that memory does
+    not grow with the rows of a batch.
+    """
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if text is None:
+            yield batch
+        else:
+            for i, j in chunks(utf8(batch.column(text))[1]):
+                yield batch.slice(i, j - i)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = fn(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+            for part in parts(batch):
+                out = fn(part)
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
     return df.mapInArrow(run, schema)
 
 

@@ -133,4 +133,4 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
         return pa.record_batch([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()),
                                 pa.array([t > limit for t in tokens], pa.bool_())], names=[id_column, "n_bytes", "n_tokens", "over_limit"])
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_arrow(docs.select(id_column, text_column), count, f"{id_column} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(docs.select(id_column, text_column), count, f"{id_column} {kind}, n_bytes long, n_tokens long, over_limit boolean", 1)
