@@ -54,7 +54,8 @@ def place_match(a: str, b: str) -> Column:
 
 
 def time_match(seconds: Column) -> Column:
-    return F.when(seconds <= 86400, 1.0).when(seconds <= 259200, 0.5).otherwise(0.0)
+    """Full credit within a day, half within three days or where a time is missing."""
+    return F.when(seconds <= 86400, 1.0).when((seconds <= 259200) | seconds.isNull(), 0.5).otherwise(0.0)
 
 
 def classify(sim: Column) -> Column:
@@ -172,16 +173,20 @@ def _earliest_in_group(canon: DataFrame, key: list[str], base: Column) -> DataFr
 
     All members of a group are equally similar but for time, so these three are the only possible best matches and
     the members are never paired with each other. Rows are copied to their own and the two adjacent three-day
-    buckets: a busy group is spread over its days and the frames stay inside one bucket.
+    buckets: a busy group is spread over its days and the frames stay inside one bucket. Undated events have half the time
+    credit with every member.
     """
     span = 259200
     b = F.floor(F.col("published_s") / span)
-    d = canon.withColumns({"_own": b, "_base": base}).withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
+    d = canon.where("published_s IS NOT NULL").withColumns({"_own": b, "_base": base}).withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
     me = F.struct(F.col("arrival"), F.col("event_id"))
     frame = lambda s: W.partitionBy(*key, "_b").orderBy("published_s").rangeBetween(-s, s)
     d = d.withColumns({"_d1": F.min(me).over(frame(86400)), "_d3": F.min(me).over(frame(span))}).where("_b = _own")
-    first = canon.groupBy(*key).agg(F.min(me).alias("_any"))
-    d = d.join(first, key)
+    first = canon.groupBy(*key).agg(F.min(me).alias("_any"), F.min(F.when(F.col("published_s").isNull(), me)).alias("_undated"))
+    undated = canon.where("published_s IS NULL").withColumns({"_base": base, "_d1": F.lit(None).cast(d.schema["_d1"].dataType)})
+    cols = ["event_id", "arrival", *key, "_base", "_d1", "_d3", "_any"]
+    d = d.join(first, key).withColumn("_d3", F.least("_d3", "_undated")).select(cols).unionByName(
+        undated.join(first, key).withColumn("_d3", F.col("_any")).select(cols))
     opts = F.array(*[F.struct(F.col(f"{n}.event_id").alias("matched_id"), F.col(f"{n}.arrival").alias("matched_arrival"),
                               rnd(key9(F.col("_base") + W_TIME * t), 3).alias("similarity"))
                      for n, t in (("_d1", 1.0), ("_d3", 0.5), ("_any", 0.0))])

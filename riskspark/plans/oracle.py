@@ -39,8 +39,8 @@ def compose(sql: str) -> str:
     if not order:
         return sql
     head = ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in order)
-    own = re.match(r"\s*WITH\s", sql)
-    return f"WITH {head},\n{sql[own.end():]}" if own else f"WITH {head}\n{sql}"
+    own = re.match(r"\s*WITH\s+(RECURSIVE\s)?", sql)
+    return f"WITH {(own[1] or '')}{head},\n{sql[own.end():]}" if own else f"WITH {head}\n{sql}"
 
 
 def clone(root: str, prefix: str, sources: dict[str, str]) -> str:

@@ -23,8 +23,11 @@ def sim(a, b):
         if a["city"] and b["city"] and a["city"].lower() == b["city"].lower():
             place = 1.0
     kind = 1.0 if a["event_type"] == b["event_type"] else 0.0
-    h = abs(a["published_s"] - b["published_s"]) / 3600
-    tm = 1.0 if h <= 24 else 0.5 if h <= 72 else 0.0
+    if a["published_s"] is None or b["published_s"] is None:
+        tm = 0.5
+    else:
+        h = abs(a["published_s"] - b["published_s"]) / 3600
+        tm = 1.0 if h <= 24 else 0.5 if h <= 72 else 0.0
     return int((0.5 * j + 0.25 * place + 0.15 * kind + 0.1 * tm) * 1000 + 0.5 + 1e-6) / 1000
 
 
@@ -88,7 +91,7 @@ def sequential(events, sources):
     return canon, links, topics
 
 
-def make(seed, n):
+def make(seed, n, undated=0.0):
     rnd = random.Random(seed)
     vocab = ["power", "grid", "outage", "campus", "network", "flood", "river", "strike", "port", "virus", "alert", "rail"]
     out = []
@@ -99,7 +102,7 @@ def make(seed, n):
         out.append({
             "event_id": f"e{i}", "arrival": a, "title": " ".join(words), "country": rnd.choice(["IN", "in", "FR", None]),
             "city": rnd.choice(["a", "A", "b", None]), "event_type": rnd.choice(["x", "x", "y"]),
-            "published_s": rnd.randint(0, 10 * 86400), "severity": rnd.choice(["LOW", "MEDIUM", "HIGH", "CRITICAL", "MEDIUM"]),
+            "published_s": None if rnd.random() < undated else rnd.randint(0, 10 * 86400), "severity": rnd.choice(["LOW", "MEDIUM", "HIGH", "CRITICAL", "MEDIUM"]),
             "status": rnd.choice(["ACTIVE", "ACTIVE", "RESOLVED"]),
             "description": rnd.choice(["outage reported", "fully restored", "no outage seen", "minor news", "disruption"]),
             "source_id": f"s{rnd.randint(0, 6)}", "origin_hash": f"h{rnd.randint(0, 9)}", "confidence": 0.75})
@@ -111,9 +114,9 @@ SCHEMA = ("event_id string, arrival bigint, title string, country string, city s
           "severity string, status string, description string, source_id string, origin_hash string, confidence double")
 
 
-@pytest.mark.parametrize("seed,n", [(1, 40), (2, 120)])
-def test_resolution_conflicts_and_corroboration(spark, seed, n):
-    events = make(seed, n)
+@pytest.mark.parametrize("seed,n,undated", [(1, 40, 0.0), (2, 120, 0.0), (3, 90, 0.3)])
+def test_resolution_conflicts_and_corroboration(spark, seed, n, undated):
+    events = make(seed, n, undated)
     canon, links, topics = sequential(events, SOURCES)
     df = spark.createDataFrame([tuple(e[c.split()[0]] for c in SCHEMA.split(", ")) for e in events], SCHEMA)
     src = spark.createDataFrame([(k, g, o) for k, (g, o) in SOURCES.items()],
