@@ -219,7 +219,7 @@ def risk_changes(series: DataFrame, baselines: DataFrame, evaluated: DataFrame)
         *SERIES, "change_type", F.coalesce("risk_stage", F.lit("Observation")).alias("current_stage"))
 
 
-def relationship_changes(series: DataFrame, baselines: DataFrame, limit: int = 15) -> DataFrame:
+def relationship_changes(series: DataFrame, baselines: DataFrame, limit: int | None = None) -> DataFrame:
     """Linked metric pairs whose joint movement changed between their last common years; first ``limit`` per institution.
 
     Each series carries its years as a small map (a contract-bounded number of years), so a pair is one row.
@@ -254,24 +254,28 @@ def relationship_changes(series: DataFrame, baselines: DataFrame, limit: int = 1
         "current_relationship": F.when(three, rel("_a", "_b"))
         .when(F.col("_a") != F.col("_b"), "Divergent movement").when(F.col("_a") & F.col("_b"), "Coupled co-deterioration")})
     p = p.where("current_relationship IS NOT NULL AND previous_relationship <> current_relationship")
-    order = W.partitionBy(*INST).orderBy("domain_a", "metric_a", "dept_a", "domain_b", "metric_b", "dept_b")
-    return p.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).select(
+    if limit is not None:  # a report of the first pairs of each institution
+        order = W.partitionBy(*INST).orderBy("domain_a", "metric_a", "dept_a", "domain_b", "metric_b", "dept_b")
+        p = p.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    return p.select(
         "institution_id", "domain_a", "metric_a", "dept_a", "domain_b", "metric_b", "dept_b",
         "previous_relationship", "current_relationship")
 
 
 def epistemic_statements(series: DataFrame, evaluated: DataFrame, findings: DataFrame, cases: DataFrame,
-                         forecasts: DataFrame, contradictions: DataFrame, facts: int = 40, first_cases: int = 5
+                         forecasts: DataFrame, contradictions: DataFrame, facts: int | None = None, first_cases: int | None = None
                          ) -> DataFrame:
     """Statements tagged by how they are known: fact, baseline inference, correlation, hypothesis, forecast, unknown.
 
-    Facts and hypotheses are reports limited per institution, as defined.
+    ``facts`` and ``first_cases`` limit the facts and hypotheses of an institution; by default all are given.
     """
     def out(df, kind, text, conf):
         return df.select("institution_id", F.lit(kind).alias("statement_class"), text.alias("statement"),
                          conf.cast("double").alias("confidence"))
 
     def top(df, n, *order):
+        if n is None:
+            return df
         return df.withColumn("_n", F.row_number().over(W.partitionBy(*INST).orderBy(*order))).where(
             F.col("_n") <= n).drop("_n")
     name = F.concat_ws(".", "domain", "metric_name")

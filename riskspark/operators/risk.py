@@ -197,18 +197,16 @@ def yearly_scores(admissions: DataFrame, placements: DataFrame, ranking: DataFra
         F.when(F.col("_k") == 1, F.col("_l")).otherwise(F.col("risk_level")).alias("risk_level"))
 
 
-def risk_trend(yearly: DataFrame, admissions: DataFrame, placements: DataFrame, last_years: int = 6) -> DataFrame:
-    """The last years per institution with average vacancy and placement, and the overall direction."""
+def risk_trend(yearly: DataFrame, admissions: DataFrame, placements: DataFrame, last_years: int | None = None) -> DataFrame:
+    """The years (or the last few) per institution with average vacancy and placement, and the overall direction."""
     ky = [*INST, "academic_year"]
     a = admissions.groupBy(*ky).agg(rnd(key9(F.avg("vacancy_rate")), 4).alias("avg_vacancy"))
     p = placements.groupBy(*INST, F.col("graduation_year").alias("academic_year")).agg(
         rnd(key9(F.avg("placement_percentage")), 2).alias("avg_placement"))
     w = W.partitionBy(*INST)
-    pts = (
-        yearly.withColumn("_rk", F.row_number().over(w.orderBy(F.desc("academic_year"))))
-        .where(F.col("_rk") <= last_years).drop("_rk")
-        .join(a, ky, "left").join(p, ky, "left")
-    )
+    if last_years is not None:
+        yearly = yearly.withColumn("_rk", F.row_number().over(w.orderBy(F.desc("academic_year")))).where(F.col("_rk") <= last_years).drop("_rk")
+    pts = yearly.join(a, ky, "left").join(p, ky, "left")
     full = w.orderBy("academic_year").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     delta = rnd(F.last("cri").over(full) - F.first("cri").over(full), 3)
     return pts.withColumn("delta", delta).withColumn(

@@ -336,8 +336,7 @@ g AS (SELECT {_pk}, any_value(pa) AS pa, any_value(pb) AS pb, count(*) AS n,
 h AS (SELECT *, {bad_sql('da', 'pa')} AS ua, {bad_sql('db', 'pb')} AS ub, {bad_sql('ea', 'pa')} AS wa, {bad_sql('eb', 'pb')} AS wb FROM g),
 o AS (SELECT {_pk}, CASE WHEN n >= 3 THEN {_rel('wa', 'wb')} ELSE 'Baseline' END AS previous_relationship,
   CASE WHEN n >= 3 THEN {_rel('ua', 'ub')} WHEN ua <> ub THEN 'Divergent movement' WHEN ua AND ub THEN 'Coupled co-deterioration' END AS current_relationship FROM h)
-SELECT * FROM o WHERE current_relationship IS NOT NULL AND previous_relationship <> current_relationship
-QUALIFY row_number() OVER (PARTITION BY institution_id ORDER BY domain_a, metric_a, dept_a, domain_b, metric_b, dept_b) <= 15""")
+SELECT * FROM o WHERE current_relationship IS NOT NULL AND previous_relationship <> current_relationship""")
 def b24(v: Views):
     series = stage(B.yearly_series(unified(v)))
     return I.relationship_changes(series, B.build_baselines(series))

@@ -464,8 +464,7 @@ cte("o_yearly", CTE_Y.format(roll=rollup_sql("o_y_dept", KY)))
 
 
 @query("c06_risk_trend", f"""
-WITH p AS (SELECT *, {band_sql('cri')} AS risk_level FROM o_yearly
-  QUALIFY row_number() OVER (PARTITION BY institution_id ORDER BY academic_year DESC) <= 6),
+WITH p AS (SELECT *, {band_sql('cri')} AS risk_level FROM o_yearly),
 d AS (SELECT institution_id, {r('arg_max(cri, academic_year) - arg_min(cri, academic_year)', 3)} AS delta FROM p GROUP BY 1)
 SELECT p.institution_id, p.academic_year, cri, risk_level, avg_vacancy, avg_placement, delta,
   CASE WHEN delta > .03 THEN 'worsening' WHEN delta < -.03 THEN 'improving' ELSE 'stable' END AS direction
