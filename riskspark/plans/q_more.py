@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from riskspark.functions.num import rnd
 from riskspark.operators import evidence as V5, forecast as T, intel as I, memory as ME, network as N, risk as R, signals as S
 from riskspark.plans import q_intel as QI
-from riskspark.plans.oracle import cte, r, r9
+from riskspark.plans.oracle import clone, cte, r, r9
 from riskspark.plans.q_data import reading_signals
 from riskspark.plans.q_risk import CORE_DEPTS, _nations
 from riskspark.plans.registry import query
@@ -283,7 +283,17 @@ def v03(v: Views):
     return d.withColumns({x: F.array_join(x, ",") for x in ("covered_domains", "missing_domains", "sampled_metrics")})
 
 
-@query("v04_insight_catalog")
+_an = "institution_id, department, signal_name, academic_year, metric_name, observed_value, severity"
+cte("o_anoms", " UNION ALL ".join([*(f"SELECT {_an} FROM d_a{k}" for k in (1, 2, 3, 4)),
+                                  f"SELECT {_an.replace('department', 'NULL::varchar AS department')} FROM {clone('o_dyn', 'vd_', {'w_sig': 'v_sig'})}"]))
+
+
+@query("v04_insight_catalog", """
+WITH g AS (SELECT institution_id, department, signal_name, metric_name, count(DISTINCT academic_year) AS n_periods, count(*) AS n_records,
+    min(struct_pack(y := academic_year, v := observed_value)).v AS first_value, max(struct_pack(y := academic_year, v := observed_value)).v AS last_value,
+    min(academic_year) AS first_year, max(academic_year) AS last_year, min(CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END) AS rk FROM o_anoms GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (rk), row_number() OVER (PARTITION BY institution_id ORDER BY rk, n_records DESC, signal_name, metric_name, department NULLS FIRST) AS position,
+  CASE WHEN n_periods >= 2 THEN 'trend' ELSE 'single_period' END AS kind, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][rk + 1] AS severity FROM g""")
 def v04(v: Views):
     an, _ = _all_anomalies(v)
     return V5.insight_catalog(an)
