@@ -264,7 +264,22 @@ def _all_anomalies(v: Views):
     return stage(an), s
 
 
-@query("v02_anomaly_provenance")
+_an = "institution_id, department, signal_name, academic_year, metric_name, observed_value, baseline_value, severity"
+cte("o_anoms", " UNION ALL ".join([*(f"SELECT {_an} FROM d_a{k}" for k in (1, 2, 3, 4)),
+                                  f"SELECT {_an.replace('department', 'NULL::varchar AS department')} FROM {clone('o_dyn', 'vd_', {'w_sig': 'v_sig'})}"]))
+
+
+@query("v02_anomaly_provenance", """
+WITH c AS (SELECT institution_id, academic_year, 'admissions' AS st, min(department) AS d FROM v_adm GROUP BY 1, 2 UNION ALL SELECT institution_id, academic_year, 'placements', min(department) FROM v_plc GROUP BY 1, 2
+  UNION ALL SELECT institution_id, academic_year, 'ranking', min(department) FROM v_cet GROUP BY 1, 2),
+a AS (SELECT *, CASE WHEN contains(lower(signal_name), 'admission') THEN 'admissions' WHEN contains(lower(signal_name), 'placement') THEN 'placements' WHEN regexp_matches(lower(signal_name), 'cet|rank') THEN 'ranking' END AS st FROM o_anoms),
+m AS (SELECT k.institution_id, k.signal_name, k.academic_year, k.metric_name, arg_min(s.signal_id, s.seq) AS signal_id, arg_min(s.document, s.seq) AS document
+  FROM (SELECT DISTINCT institution_id, signal_name, academic_year, metric_name FROM a) k JOIN v_sig s ON s.institution_id = k.institution_id AND s.academic_year = k.academic_year
+    AND (contains(k.metric_name, s.metric_name) OR contains(s.metric_name, k.metric_name) OR contains(lower(k.signal_name), lower(s.domain))) GROUP BY 1, 2, 3, 4)
+SELECT institution_id, signal_name, academic_year, metric_name, observed_value, baseline_value, CASE WHEN signal_id IS NOT NULL THEN 'signal' WHEN d IS NOT NULL THEN 'canonical' ELSE 'ledger' END AS matched,
+  coalesce(document, institution_id || '_canonical_ledger') AS document,
+  coalesce(signal_id, upper(st[1]) || st[2:] || '[' || d || ', AY' || academic_year || ']', 'Table[' || metric_name || ']') AS cell_or_range
+FROM a LEFT JOIN m USING (institution_id, signal_name, academic_year, metric_name) LEFT JOIN c USING (institution_id, academic_year, st)""")
 def v02(v: Views):
     an, s = _all_anomalies(v)
     a, p, c = v.canonical()
@@ -283,11 +298,6 @@ def v03(v: Views):
     return d.withColumns({x: F.array_join(x, ",") for x in ("covered_domains", "missing_domains", "sampled_metrics")})
 
 
-_an = "institution_id, department, signal_name, academic_year, metric_name, observed_value, severity"
-cte("o_anoms", " UNION ALL ".join([*(f"SELECT {_an} FROM d_a{k}" for k in (1, 2, 3, 4)),
-                                  f"SELECT {_an.replace('department', 'NULL::varchar AS department')} FROM {clone('o_dyn', 'vd_', {'w_sig': 'v_sig'})}"]))
-
-
 @query("v04_insight_catalog", """
 WITH g AS (SELECT institution_id, department, signal_name, metric_name, count(DISTINCT academic_year) AS n_periods, count(*) AS n_records,
     min(struct_pack(y := academic_year, v := observed_value)).v AS first_value, max(struct_pack(y := academic_year, v := observed_value)).v AS last_value,
