@@ -5,7 +5,7 @@ from riskspark.functions.num import rnd
 from riskspark.operators import evidence as V5, forecast as T, intel as I, memory as ME, network as N, risk as R, signals as S
 from riskspark.plans import q_intel as QI
 from riskspark.plans.oracle import clone, cte, r, r9
-from riskspark.plans.q_data import reading_signals
+from riskspark.plans.q_data import plain_sql, reading_signals
 from riskspark.plans.q_risk import CORE_DEPTS, _nations
 from riskspark.plans.registry import query
 from riskspark.session import shared_folder, stage
@@ -112,7 +112,14 @@ def s06(v: Views):
     return RD.extract_html(v.table("pages")).select("page_id", "language", F.size("links").alias("n_links"))
 
 
-@query("s06_html_content")
+@query("s06_html_content", r"""
+WITH p AS (SELECT page_id, url, html, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is') AS t, lower(coalesce(nullif(regexp_extract(html, '<html[^>]*\blang=["'']?([a-zA-Z\-]+)["'']?', 1, 'i'), ''), 'en')) AS language,
+  list_filter(list_transform(regexp_extract_all(html, '<a[^>]+href=["'']([^"''#]+)["'']', 1, 'i'), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^(javascript:|mailto:|tel:|data:)')) AS h,
+  regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS root FROM pages)
+SELECT page_id, url, language, coalesce(nullif(""" + plain_sql("t") + r""", ''), url) AS title, NULL::varchar AS author, NULL::timestamp AS published_at, """ + plain_sql("html") + r""" AS content,
+  array_to_string(list_filter(list_distinct_ordered, lambda x: regexp_matches(x, '^https?://')), ' ') AS links
+FROM (SELECT *, list_transform(h, lambda x: CASE WHEN x LIKE 'http%' THEN x WHEN x LIKE '/%' THEN root || x ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || x END) AS l FROM p),
+LATERAL (SELECT list(x ORDER BY i) AS list_distinct_ordered FROM (SELECT x, min(i) AS i FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i) GROUP BY x))""")
 def s06c(v: Views):
     return RD.extract_html(v.table("pages")).withColumn("links", F.array_join("links", " "))
 
