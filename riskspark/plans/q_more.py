@@ -295,7 +295,15 @@ def v02(v: Views):
     return V5.anomaly_provenance(an, s, canon)
 
 
-@query("v03_dossiers")
+@query("v03_dossiers", """
+WITH dm AS (SELECT institution_id, 'admissions' AS d FROM v_adm UNION SELECT institution_id, 'placements' FROM v_plc UNION SELECT institution_id, 'ranking' FROM v_cet UNION SELECT institution_id, domain FROM v_sig),
+h AS (SELECT institution_id, list_sort(list(d)) AS l FROM dm GROUP BY 1),
+n AS (SELECT institution_id, count(*) AS n FROM o_anoms GROUP BY 1),
+k AS (SELECT institution_id, string_agg(m, ',' ORDER BY m) AS s FROM (SELECT DISTINCT institution_id, domain || '.' || metric_name AS m FROM v_sig) GROUP BY 1),
+x AS (SELECT institution_id, count(*) AS c FROM v_sig WHERE is_contradictory GROUP BY 1)
+SELECT institution_id, cri, risk_level, coalesce(n, 0) AS n_anomalies, coalesce(array_to_string(l, ','), '') AS covered_domains,
+  array_to_string(list_filter(['admissions', 'placements', 'ranking'], lambda q: NOT list_contains(coalesce(l, []), q)), ',') AS missing_domains, coalesce(s, '') AS sampled_metrics, coalesce(c, 0) AS n_contradictions
+FROM nat_o_assess LEFT JOIN h USING (institution_id) LEFT JOIN n USING (institution_id) LEFT JOIN k USING (institution_id) LEFT JOIN x USING (institution_id)""")
 def v03(v: Views):
     an, s = _all_anomalies(v)
     a, p, c = v.canonical()
