@@ -33,7 +33,7 @@ from riskspark.session import stage
 #: A word is a run without white space; A-Z are lower-cased.
 WORD = byte_class(r"[^\x20\x09-\x0D]")
 #: Grams of one bucket, aimed at; grams a task packs at once; sets in a block.
-BUCKET, PACK, BLOCK = 1_000_000, 1_000_000, 512
+BUCKET, PACK, BLOCK = 2_000_000, 1_000_000, 512
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
