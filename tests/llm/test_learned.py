@@ -100,6 +100,16 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), URL_RULES).count() == 0 and {r.verdict for r in urls.judge(pages.where("page_id > 7"), URL_RULES).collect()} == {"allow"}
 
 
+def test_urls_use_words_and_tokens_beyond_the_broadcast_ones(spark):
+    names = ["http://casinowin.net/play/now", "http://example.org/es/casino/poker", "http://x.com/fr/garden/tea", "http://y.com/de/poker/now", "http://gardentea.net/play/tea", "http://example.org/fr/tea", "http://gardentea.net/play/tea", "http://zzqq.info/", None]
+    html = ["<p>casino win casino</p>", "<p>garden tea garden tea</p>", "<p>play</p>", None]
+    pages = spark.createDataFrame([(k, u, html[k % 4]) for k, u in enumerate(names)], "page_id long, url string, html string")
+    want = sorted(map(tuple, urls.judge(pages, URL_RULES).collect()))
+    assert want[0][5] == ["casino", "win", "net"] and len({r[6] for r in want}) > 3
+    for kept in (0, 1, 3):
+        assert sorted(map(tuple, urls.judge(pages, URL_RULES, vocabulary=kept, tokens=kept).collect())) == want
+
+
 def direct(text):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
