@@ -3,8 +3,10 @@
 The patterns give base spans of e-mail addresses, IP addresses, payment cards and phone numbers; base spans always stay. The field adds spans: its
 nodes are the runs without white space that hold a digit or "@" (any other run can only be "no personal data" and is left out as a
 constant). Neighbouring runs share chain potentials; equal or similar runs of a document (same letters and digits, or the same closing digits) share skip
-potentials, each with its previous occurrence, so that a document has at most two skip edges per node. Nodes inside base spans are
-observed; loopy message passing gives the others' marginals, and a node of a kind with probability over `threshold` becomes a span.
+potentials, each with its previous occurrence and with the first one inside a base span, wherever that stands, so that a document has at most four
+skip edges per node and a base span reaches all repeats of its run at once. Nodes inside base spans are
+observed; loopy message passing, carried on until no message moves, gives the others' marginals, and a node of a kind with probability over `threshold`
+becomes a span.
 
 Potentials are trained by pseudo-likelihood, with the base spans as labels, on a sample of about `sample` documents that hold a node, drawn by id hash.
 
@@ -113,11 +115,15 @@ class Graph:
         self.label: list[int] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
+        self.anchor: list[tuple[int, int]] = []  # skip edges from the first observed occurrence of a run
+        self.longest = 0  # nodes of the largest document
 
-    def add(self, doc: int, text: str, base: list[Span]) -> None:
-        before, previous_end = -1, -1
+    def add(self, doc: int, text: str, base: list[Span], labels: list[int] | None = None) -> None:
+        """labels: of the nodes, in place of those that `base` gives."""
+        before, previous_end, first, skips = -1, -1, len(self.place), len(self.skip)
         equal: dict[str, int] = {}
         closing: dict[str, int] = {}
+        alike: dict[str, list[int]] = {}
         ordered = sorted((s, e, k) for k, s, e in base)
         at = 0
         for m in _RUN.finditer(text):
@@ -139,12 +145,26 @@ class Graph:
                 if key in equal:
                     self.skip.append((equal[key], node))
                 equal[key] = node
+                alike.setdefault(key, []).append(node)
             d = _digits(m[0])
             if len(d) >= 7:
                 other = closing.get(d[-7:])
                 if other is not None and (not self.skip or self.skip[-1] != (other, node)):
                     self.skip.append((other, node))
                 closing[d[-7:]] = node
+                alike.setdefault("-" + d[-7:], []).append(node)
+        if labels is not None:
+            self.label[first:] = labels
+        self.longest = max(self.longest, len(self.place) - first)
+        linked = set(self.skip[skips:])
+        for nodes in alike.values():
+            seen = next((i for i in nodes if self.label[i] > 0), None)
+            for i in nodes if seen is not None else ():
+                # In a sample with labels all nodes count as repeats, else the open ones.
+                edge = (seen, i)
+                if i != seen and (labels is not None or self.label[i] < 0) and not {edge, edge[::-1]} & linked:
+                    linked.add(edge)
+                    self.anchor.append(edge)
 
     def unary(self, weight: np.ndarray) -> np.ndarray:
         length = np.array([len(o) for o in self.on])
@@ -159,29 +179,49 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def marginals(graph: Graph, model: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Label probabilities of all nodes by damped loopy message passing over chain and skip edges."""
+def marginals(graph: Graph, model: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int | None = None, damping: float = 0.3, tolerance: float = 1e-6) -> np.ndarray:
+    """Label probabilities of all nodes by damped loopy message passing over chain and skip edges, until no message moves by more than `tolerance`.
+
+    A message crosses an edge a round, so `rounds`, the most that are made, follows the nodes of the largest document. Only messages whose source has
+    changed are renewed; observed nodes send constants.
+    """
     weight, chain, skip = model
     phi = graph.unary(weight)
     known = np.array(graph.label)
     seen = known >= 0
     phi[seen] = -1e3
     phi[seen, known[seen]] = 0.0
-    edges = np.array(graph.chain + graph.skip, np.int64).reshape(-1, 2)
+    edges = np.array(graph.chain + graph.skip + graph.anchor, np.int64).reshape(-1, 2)
+    if len(edges):
+        pairs = np.stack([chain, skip, chain.T, skip.T])
+        kind = (np.arange(len(edges)) >= len(graph.chain)).astype(np.int64)
+        for (tail, head), k in ((edges.T, kind), (edges.T[::-1], kind + 2)):
+            sent = seen[tail] & ~seen[head]
+            np.add.at(phi, head[sent], pairs[k[sent], known[tail[sent]]])
+        both = ~seen[edges].any(1)
+        edges, kind = edges[both], kind[both]
     if len(edges):
-        pair = np.concatenate([np.repeat(chain[None], len(graph.chain), 0), np.repeat(skip[None], len(graph.skip), 0)])
         tail, head = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
-        pair = np.concatenate((pair, pair.transpose(0, 2, 1)))
+        kind = np.concatenate((kind, kind + 2))
         half = len(edges)
         back = np.concatenate((np.arange(half, 2 * half), np.arange(half)))
-        message = np.zeros((2 * half, phi.shape[1]))
-        for _ in range(rounds):
-            belief = phi.copy()
-            np.add.at(belief, head, message)
-            new = _log_sum((belief[tail] - message[back])[:, :, None] + pair, 1)
-            new -= _log_sum(new, 1)[:, None]
-            message = damping * message + (1 - damping) * new
+        message, active = np.zeros((2 * half, phi.shape[1])), np.arange(2 * half)
+        message -= np.log(phi.shape[1])
         np.add.at(phi, head, message)
+        for _ in range(100 + 2 * graph.longest if rounds is None else rounds):
+            new = _log_sum((phi[tail[active]] - message[back[active]])[:, :, None] + pairs[kind[active]], 1)
+            new -= _log_sum(new, 1)[:, None]
+            step = (1 - damping) * (new - message[active])
+            message[active] += step
+            np.add.at(phi, head[active], step)
+            moved = active[np.abs(step).max(1) > tolerance]
+            if not len(moved):
+                break
+            changed = np.zeros(len(phi), bool)
+            changed[head[moved]] = True
+            again = changed[tail]
+            again[moved] = True
+            active = np.flatnonzero(again)
     return np.exp(phi - _log_sum(phi, 1)[:, None])
 
 
@@ -198,6 +238,8 @@ def train(graph: Graph, steps: int = 300, rate: float = 0.5, penalty: float = 1e
     for a, b in graph.skip:
         x[b, FEATURES + 2 * kinds + labels[a]] += 1
         x[a, FEATURES + 2 * kinds + labels[b]] += 1
+    for a, b in graph.anchor:  # the first occurrence is observed where the field is used
+        x[b, FEATURES + 2 * kinds + labels[a]] += 1
     target = np.eye(kinds)[labels]
     w, speed = np.zeros((x.shape[1], kinds)), np.zeros((x.shape[1], kinds))
     for _ in range(steps):
@@ -248,9 +290,7 @@ def fit(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     rows = sorted((tuple(r) for r in map_arrow(drawn, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, runs string, labels array<int>", 1).collect()), key=repr)
     graph = Graph()
     for k, (_, runs, labels) in enumerate(rows):
-        at = len(graph.place)
-        graph.add(k, runs, [])
-        graph.label[at:] = labels
+        graph.add(k, runs, [], labels)
     return train(graph) if graph.place else None
 
 

@@ -157,6 +157,31 @@ def test_message_passing_is_exact_on_a_tree():
     assert np.abs(pii.marginals(graph, (weight, chain, skip), 60) - want / want.sum(1, keepdims=True)).max() < 1e-4
 
 
+def test_message_passing_goes_on_until_messages_settle():
+    graph, n = pii.Graph(), 300
+    graph.add(0, " ".join(f"a{k}" for k in range(n)), [])
+    graph.label[0] = 4
+    chain = 12.0 * np.eye(5)
+    assert len(graph.chain) == n - 1 and not graph.skip
+    want = [np.eye(5)[4]]
+    step = np.exp(chain) / np.exp(chain).sum(1)
+    for _ in range(n - 1):
+        want.append(want[-1] @ step)
+    assert np.abs(pii.marginals(graph, (np.zeros((pii.FEATURES, 5)), chain, np.zeros((5, 5)))) - want).max() < 1e-4
+
+
+def test_all_repeats_of_a_base_span_are_found_at_the_production_threshold(spark):
+    docs = [" . ".join([f"call +1  974-555-{3000 + k} today"] * 2) for k in range(300)] + [" . ".join([f"item 974-555-{6000 + k} of 12"] * 2) for k in range(600)]
+    repeat = "then 974-555-3436 once more . "
+    planted = ["call +1  974-555-3436 soon , or 974-555-3436 tomorrow . order 77 of 2020", "call +1  974-555-3436 soon . " + repeat * 50, repeat * 50 + "call +1  974-555-3436 soon ."]
+    df = spark.createDataFrame(list(enumerate(docs + planted)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find(df).where("doc_id >= 300").collect()}
+    masked = {r.doc_id: r.text for r in pii.redact(df).where("doc_id >= 900").collect()}
+    assert [rows[k].n_phone for k in (900, 901, 902)] == [1, 1, 1] and {rows[k].spans for k in range(300, 900)} == {""}
+    assert [len(rows[k].spans.split(",")) for k in (900, 901, 902)] == [2, 51, 51]
+    assert masked[900] == "call [PHONE] soon , or [PHONE] tomorrow . order 77 of 2020" and [masked[k].count("[PHONE]") for k in (901, 902)] == [51, 51]
+
+
 def test_pii_odd_rows(spark, odd_docs, no_docs):
     rows = pii.find(odd_docs).collect()
     assert len(rows) == odd_docs.count() and next(r for r in rows if r.doc_id == 1).spans == ""
