@@ -84,7 +84,7 @@ def flag_duplicates(b: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def contradiction_issues(groups: DataFrame) -> DataFrame:
-    """Buckets with two or more distinct values and at least one new row."""
+    """Buckets with two or more distinct values and at least one new row; ``contradiction_values`` lists all their values."""
     g = groups.groupBy(*BUCKET).agg(
         F.count("*").alias("n_values"), F.sum("n").alias("n_observations"), F.sum("n_new").alias("_new"),
         F.min("domain").alias("domain"), F.min("val_repr").alias("first_value"), F.max("val_repr").alias("last_value"))
@@ -93,6 +93,13 @@ def contradiction_issues(groups: DataFrame) -> DataFrame:
         "issue_type": F.lit("contradictory_sources"), "severity": F.lit("HIGH"), "contradiction_group_id": gid})
 
 
+def contradiction_values(b: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every row, old and new, of the contradictory buckets with its value and where it was found, under the issue's group id."""
+    source = [c for c in ("unit", "document", "ingestion_id", "location", "confidence") if c in b.columns]
+    return flag_contradictions(b, groups).where("is_contradictory").select(
+        "contradiction_group_id", *BUCKET, "signal_id", "val_repr", "value", "raw_value", *source)
+
+
 def flag_contradictions(b: DataFrame, groups: DataFrame) -> DataFrame:
     """All rows, old and new, with the shared group id of a contradictory bucket."""
     c = contradiction_issues(groups).select(*BUCKET, "contradiction_group_id")

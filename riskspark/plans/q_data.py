@@ -549,6 +549,13 @@ def q06(v: Views):
     return Q.contradiction_issues(g)
 
 
+@query("q06_contradiction_values", f"""
+SELECT g AS contradiction_group_id, {BK}, signal_id, val_repr, value, raw_value, unit, ingestion_id, location, confidence
+FROM o_bk JOIN (SELECT {BK}, {_gid} AS g FROM o_vg GROUP BY {BK} HAVING count(*) >= 2 AND sum(n_new) > 0) USING ({BK})""")
+def q06v(v: Views):
+    return Q.contradiction_values(*_buckets(v))
+
+
 @query("q06_flagged_rows", f"""
 SELECT signal_id, g IS NOT NULL AS is_contradictory, g AS contradiction_group_id FROM o_bk LEFT JOIN (SELECT {BK}, {_gid} AS g FROM o_vg GROUP BY {BK} HAVING count(*) >= 2 AND sum(n_new) > 0) USING ({BK})""")
 def q06f(v: Views):

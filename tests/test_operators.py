@@ -94,6 +94,20 @@ def test_contradictions_and_duplicates_keep_every_row(spark):
     assert len(flagged) == 3 and all(r.is_contradictory for r in flagged)
 
 
+def test_contradictions_list_every_value_with_its_source(spark):
+    cols = ("signal_id string, institution_id string, department string, program string, academic_year int, metric_name string, domain string, "
+            "value double, raw_value string, is_new boolean, document string, location string")
+    rows = [(k, "I", d, None, 2024, "pass", "academics", x, f"{x}%", k == "c", f"doc_{k}", f"B{n}")
+            for n, (k, d, x) in enumerate([("a", "CSE", 88.0), ("b", "CSE", 70.25), ("c", "CSE", 51.5), ("d", "CSE", 70.25), ("e", "ECE", 1.0), ("f", "ECE", 2.0)])]
+    b = Q.bucketed(spark.createDataFrame(rows, cols))
+    g = Q.value_groups(b)
+    issue = Q.contradiction_issues(g).collect()
+    got = Q.contradiction_values(b, g).collect()
+    assert len(issue) == 1 and {r.contradiction_group_id for r in got} == {issue[0].contradiction_group_id}
+    assert sorted((r.signal_id, r.val_repr, r.document, r.location) for r in got) == [
+        ("a", "88.0000", "doc_a", "B0"), ("b", "70.2500", "doc_b", "B1"), ("c", "51.5000", "doc_c", "B2"), ("d", "70.2500", "doc_d", "B3")]
+
+
 def test_wide_sheet(spark):
     head = ["Department", "Program", "Academic Year", "Faculty Attrition Rate", "Research Grants", "Student Attendance %", "Pending Grievances"]
     body = [["CSE", "B.E. CSE", "2024", "22.5%", "45.0 Lakhs", "~71.0%", "14"], ["ECE", "B.E. ECE", "2024", "12.0%", "28.5 Lakhs", "", "1"]]
