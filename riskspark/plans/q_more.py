@@ -191,6 +191,22 @@ def s09(v: Views):
     return FD.normalize_feed_items(feed_items(v))["events"].select("event_id", "arrival", "event_type", "severity", "evidence_id", "place_id")
 
 
+@query("s09_item_entities", f"""
+WITH m AS (SELECT *, unnest([struct_pack(n := publisher, t := NULL::varchar), struct_pack(n := '<b>' || city || '</b> Grid', t := 'Infrastructure'), struct_pack(n := title, t := 'Event')]) AS e
+  FROM v_art WHERE arrival % 3 <> 0),
+c AS (SELECT *, {_clean.format("coalesce(nullif(e.n, ''), 'Unknown Entity')")} AS name, coalesce(e.t, 'Organization') AS entity_type FROM m),
+h AS (SELECT *, 'ent_wi_' || sha256({_nrm.format("entity_type || ':' || name")})[1:10] AS entity_id FROM c)
+SELECT entity_id, arrival, name, entity_type, 0.86::double AS confidence, country, city, latitude, longitude FROM h QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY arrival, name, entity_type) = 1""")
+def s09e(v: Views):
+    """Named entities of feed items: two thirds of the items name their publisher, a grid and their title."""
+    a = v.articles().withColumn("entities", F.when(F.col("arrival") % 3 != 0, F.array(
+        F.struct(F.col("publisher").alias("name"), F.lit(None).cast("string").alias("type")),
+        F.struct(F.concat(F.lit("<b>"), "city", F.lit("</b> Grid")).alias("name"), F.lit("Infrastructure").alias("type")),
+        F.struct(F.col("title").alias("name"), F.lit("Event").alias("type")))))
+    items = FD.normalize_feed_items(a.withColumns({"category": F.lit("cyber"), "confidence": F.lit(0.86)}))["item_entities"]
+    return items.select("entity_id", "arrival", "name", "entity_type", "confidence", "country", "city", "latitude", "longitude")
+
+
 def _articles_in(v: Views):
     return v.articles().withColumn("wire_origin", F.col("summary"))
 
@@ -207,6 +223,18 @@ def s10(v: Views):
     return FD.normalize_articles(_articles_in(v))["events"].select("event_id", "arrival", "source_id", "evidence_id", "origin_hash")
 
 
+@query("s10_article_entities", f"""
+WITH m AS (SELECT *, unnest(CASE WHEN arrival % 3 = 0 THEN [city] ELSE [publisher || ' University', title] END) AS n FROM v_art),
+c AS (SELECT *, {_clean.format('n')} AS name FROM m),
+h AS (SELECT *, 'ent_tr_' || sha256({_nrm.format('name')})[1:10] AS entity_id FROM c)
+SELECT entity_id, arrival, name, CASE WHEN regexp_matches(lower(name), 'university|network|board') THEN 'Organization' ELSE 'Location' END AS entity_type,
+  0.85::double AS confidence, country, city, latitude, longitude FROM h QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY arrival, name) = 1""")
+def s10e(v: Views):
+    """Entities of articles: two thirds name a university and their title, the others stand for their city."""
+    a = _articles_in(v).withColumn("entities", F.when(F.col("arrival") % 3 != 0, F.array(F.concat("publisher", F.lit(" University")), "title")))
+    return FD.normalize_articles(a)["entities"].select("entity_id", "arrival", "name", "entity_type", "confidence", "country", "city", "latitude", "longitude")
+
+
 @query("s10_article_context", """
 WITH n AS (SELECT arrival, count(*) AS n FROM (SELECT unnest([article_a, article_b]) AS arrival FROM o_rel) GROUP BY 1),
 t AS (SELECT term, count(*) AS c FROM (SELECT unnest(tokens) AS term FROM o_at) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from riskspark.functions import text as T
 from riskspark.functions.num import pct_change
 from riskspark.operators import anomalies as A, baseline as B, extract as X, features as FT, forecast as FC, geo as G, intel as I, quality as Q, risk as R
-from riskspark.sources import ledger as L, readers as RD
+from riskspark.sources import feeds as FD, ledger as L, readers as RD
 from riskspark.streaming import stream as ST
 
 ADM = "institution_id string, department string, academic_year int, sanctioned_intake int, enrolled_count int, vacancy_rate double"
@@ -108,6 +108,27 @@ def test_contradictions_list_every_value_with_its_source(spark):
         ("a", "88.0000", "doc_a", "B0"), ("b", "70.2500", "doc_b", "B1"), ("c", "51.5000", "doc_c", "B2"), ("d", "70.2500", "doc_d", "B3")]
 
 
+def test_items_and_articles_keep_their_entities(spark):
+    cols = ("arrival long, title string, summary string, category string, severity string, country string, city string, latitude double, longitude double, "
+            "published_s long, confidence double, entities array<struct<name: string, type: string>>")
+    items = [(1, "A", "x", "cyber", "LOW", "India", "Ballari", 15.1, 76.9, 10, 0.9, [("State <b>Grid</b>", "Infrastructure"), ("Board", None)]),
+             (2, "B", "y", "cyber", "LOW", "India", "Pune", None, None, 20, 0.7, [("state  grid", "infrastructure"), (None, None)]), (3, "C", "z", None, None, None, None, None, None, 30, None, None)]
+    out = FD.normalize_feed_items(spark.createDataFrame(items, cols))
+    named = {r.name: r for r in out["item_entities"].collect()}
+    assert {(r.entity_type, r.arrival, r.confidence, r.latitude) for r in named.values()} == {
+        ("Infrastructure", 1, 0.9, 15.1), ("Organization", 1, 0.9, 15.1), ("Organization", 2, 0.7, None)} and set(named) == {"State Grid", "Board", "Unknown Entity"}
+    assert out["entities"].count() == 6 and out["event_entities"].count() == 7 and out["relationships"].count() == 3 + 4
+    assert FD.normalize_feed_items(spark.createDataFrame(items, cols).drop("entities"))["entities"].count() == 3
+    arts = [(1, "A", "x", "P", None, "u", "India", "Ballari", "e", "LOW", 10, 15.1, 76.9, ["State University", "Pune"]),
+            (2, "B", "y", "P", None, "u", "India", "Pune", "e", "LOW", 20, 18.5, 73.9, None), (3, "C", "z", "P", None, "u", None, None, "e", "LOW", 30, None, None, [])]
+    df = spark.createDataFrame(arts, "arrival long, title string, summary string, publisher string, wire_origin string, url string, country string, city string, "
+                               "event_type string, severity string, published_s long, latitude double, longitude double, entities array<string>")
+    out = FD.normalize_articles(df)
+    assert sorted((r.name, r.entity_type, r.arrival, r.latitude) for r in out["entities"].collect()) == [("Pune", "Location", 1, 15.1), ("State University", "Organization", 1, 15.1)]
+    assert out["event_entities"].count() == 3 and {r.arrival: r.latitude for r in out["events"].collect()} == {1: 15.1, 2: 18.5, 3: None}
+    assert FD.normalize_articles(df.drop("entities", "latitude", "longitude"))["entities"].count() == 2
+
+
 def test_wide_sheet(spark):
     head = ["Department", "Program", "Academic Year", "Faculty Attrition Rate", "Research Grants", "Student Attendance %", "Pending Grievances"]
     body = [["CSE", "B.E. CSE", "2024", "22.5%", "45.0 Lakhs", "~71.0%", "14"], ["ECE", "B.E. ECE", "2024", "12.0%", "28.5 Lakhs", "", "1"]]
