@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, decontam, langid, ngram_join, pii, quality, token_count, topk, urls, warc
+from riskspark.llm import bpe, centroids, decontam, exact_dedup, langid, ngram_join, pii, quality, token_count, topk, urls, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,41 @@ def op9(spark, sf_dir):
 @query("op10_pii_skip_chain")
 def op10(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+def _rounds(k: int, rounds: int) -> str:
+    """Check SQL of centroid clustering: one pair of statements for every round."""
+    floor_of = "(({s} - ((({s} % {n}) + {n}) % {n})) // {n})"
+    away = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.x, c.x)])::BIGINT"
+    nearest = f"SELECT v.vec_id, v.x, arg_min(c.cluster, [{away}, c.cluster]) AS cluster, min({away}) AS distance FROM v, c{{r}} c GROUP BY v.vec_id, v.x"
+    steps = ["v AS MATERIALIZED (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings"
+             " WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)",
+             f"c0 AS MATERIALIZED (SELECT x, (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS cluster FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k})"]
+    for r in range(rounds):
+        steps += [f"a{r} AS MATERIALIZED ({nearest.format(r=r)})",
+                  f"m{r} AS (SELECT cluster, list({floor_of.format(s='s', n='n')} ORDER BY d) AS x FROM (SELECT cluster, d, sum(x[d])::BIGINT AS s, count(*) AS n"
+                  f" FROM a{r}, range(1, 65) t(d) GROUP BY cluster, d) GROUP BY cluster)",
+                  f"c{r + 1} AS MATERIALIZED (SELECT coalesce(m.x, c.x) AS x, c.cluster FROM c{r} c LEFT JOIN m{r} m ON m.cluster = c.cluster)"]
+    steps.append(f"f AS MATERIALIZED ({nearest.format(r=rounds)})")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT f.vec_id, f.cluster, f.distance, (sum(f.distance) OVER (PARTITION BY f.cluster))::BIGINT AS cluster_inertia, (sum(f.distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} c ON c.cluster = f.cluster"""
+
+
+@query("op11_bisector_clusters", _rounds(8, 10))
+def op11(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_block_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""")
+def op13(spark, sf_dir):
+    return exact_dedup.equal_texts(table(spark, sf_dir, "documents"))
