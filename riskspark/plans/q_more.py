@@ -52,18 +52,23 @@ def s02(v: Views):
 
 
 def _csv_docs(v: Views):
-    """Delimited uploads, one per nation and segment, with tab, semicolon or comma by first letter."""
-    c = v.table("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.round("c_acctbal", 2).cast("decimal(12,2)").alias("bal"))
-    sep = F.when(F.col("c_nationkey") % 3 == 0, "\t").when(F.col("c_nationkey") % 3 == 1, ";").otherwise(",")
-    line = F.concat(F.col("c_custkey"), sep, F.lit('"'), F.col("c_name"), sep, F.lit('x"'), sep, F.col("bal"))
-    head = F.concat(F.lit("Key"), sep, F.lit("Name"), sep, F.lit("Balance"))
-    return c.select(F.concat(F.lit("cust_"), F.col("c_custkey")).alias("doc"), F.concat(head, F.lit("\r\n"), line, F.lit("\n\n")).alias("content"))
+    """Delimited uploads of up to 200 customers, with tab, semicolon or comma by number; names hold the delimiter, notes line breaks and quotes."""
+    n = F.floor(F.col("c_custkey") / 200)
+    c = v.table("customer").select("c_custkey", n.alias("n"), "c_name", "c_mktsegment", F.round("c_acctbal", 2).cast("decimal(12,2)").alias("bal"))
+    sep = F.when(F.col("n") % 3 == 0, "\t").when(F.col("n") % 3 == 1, ";").otherwise(",")
+    line = F.concat(F.col("c_custkey"), sep, F.lit('"'), F.col("c_name"), sep, F.lit('x"'), sep, F.lit('"a ""'), F.col("c_mktsegment"), F.lit('""\r\nb"'), sep, F.lit('5" '), F.col("bal"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("l")))), lambda x: x["l"]), "\n")
+    return c.groupBy("n", sep.alias("s")).agg(rows.alias("rows")).select(
+        F.concat(F.lit("cust_"), F.col("n")).alias("doc"), F.concat(F.lit("\r\n"), F.array_join(F.array(F.lit("Key"), F.lit("Name"), F.lit("Note"), F.lit("Balance")), "|"), F.lit("\r\n \n"), "rows", F.lit("\n\n")).alias("content"), "s").select(
+        "doc", F.replace("content", F.lit("|"), F.col("s")).alias("content"))
 
 
 @query("s03_delimited", """
-WITH c AS (SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN chr(9) WHEN 1 THEN ';' ELSE ',' END AS s, c_name, printf('%.2f', round(c_acctbal, 2)) AS bal FROM customer)
-SELECT 'cust_' || c_custkey AS doc, u.r AS "row", u.c AS col, u.t AS text FROM (SELECT c_custkey, unnest([{'r': 1, 'c': 1, 't': 'Key'}, {'r': 1, 'c': 2, 't': 'Name'}, {'r': 1, 'c': 3, 't': 'Balance'},
-  {'r': 2, 'c': 1, 't': c_custkey::varchar}, {'r': 2, 'c': 2, 't': c_name || s || 'x'}, {'r': 2, 'c': 3, 't': bal}]) AS u FROM c)""")
+WITH c AS (SELECT c_custkey // 200 AS n, row_number() OVER (PARTITION BY c_custkey // 200 ORDER BY c_custkey) + 3 AS r, c_custkey, c_name, c_mktsegment,
+    printf('%.2f', round(c_acctbal, 2)) AS bal, CASE c_custkey // 200 % 3 WHEN 0 THEN chr(9) WHEN 1 THEN ';' ELSE ',' END AS s FROM customer),
+h AS (SELECT n, 2 AS r, unnest([1, 2, 3, 4]) AS c, unnest(['Key', 'Name', 'Note', 'Balance']) AS t FROM (SELECT DISTINCT n FROM c)),
+u AS (SELECT n, r, unnest([1, 2, 3, 4]) AS c, unnest([c_custkey::varchar, c_name || s || 'x', 'a "' || c_mktsegment || '"' || chr(13) || chr(10) || 'b', '5" ' || bal]) AS t FROM c)
+SELECT 'cust_' || n AS doc, r AS "row", c AS col, t AS text FROM h UNION ALL SELECT 'cust_' || n, r, c, t FROM u""")
 def s03(v: Views):
     return RD.parse_delimited(_csv_docs(v)).drop("sheet")
 

@@ -70,21 +70,62 @@ def parse_signals_json(docs: DataFrame) -> DataFrame:
         "_i", "_unit", "_domain", "_p")
 
 
+def _unquoted(field: Column) -> Column:
+    """Value of a raw field: a field that opens with a quote ends at its first odd run of quotes, doubled quotes before it stand for one."""
+    inner = F.substr(field, F.lit(2))
+    run = F.regexp_extract(inner, ODD_RUN, 0)
+    at, n = F.regexp_instr(inner, F.lit(ODD_RUN)), F.length(run)
+    single = lambda c: F.replace(c, F.lit('""'), F.lit('"'))
+    closed = F.concat(single(F.substr(inner, F.lit(1), at - 1)), F.substr(run, F.lit(1), F.floor(n / 2).cast("int")), F.substr(inner, at + n))
+    return F.when(~field.startswith('"'), field).when(run == "", single(inner)).otherwise(closed)
+
+
+#: A run of an odd number of quotes, matched without backtracking.
+ODD_RUN = r'(?<!")"(?:"")*+(?!")'
+
+
 def parse_delimited(docs: DataFrame, sheet: str = "CSV") -> DataFrame:
-    """Cell table of delimited text; the header line tells tab, semicolon or comma. Quoted fields may hold delimiters and line breaks."""
-    # A row ends at a line break outside quotes; rows are numbered before blank ones are dropped.
-    ends = r'(\r\n|\n|\r)(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    d = docs.withColumn("_l", F.split("content", ends))
-    head = F.coalesce(F.get(F.filter("_l", lambda x: F.trim(x) != ""), F.lit(0)), F.lit(""))
+    """Cell table of delimited text; the first line that is not blank tells tab, semicolon or comma.
+
+    Texts are cut at every delimiter and line break, quoted or not. Each piece then maps the state before it (outside or inside of quotes)
+    to the state after it: a piece that opens with a quote enters quotes, an odd run of quotes leaves them. Such a map either sets
+    the state, keeps it or swaps it, so the composed state at every piece is the last state set, swapped as often as pieces have swapped it
+    since: two running aggregates over the pieces of a document, linear in its length whatever the number of quotes.
+
+    Quotes count only at the start of a field; text behind a closing quote belongs to the field; quotes left open reach the end of the text. Rows are numbered
+    before blank ones are dropped, and a row of several lines counts once. Cells are trimmed outside of quotes.
+    """
+    blank = F.regexp_extract("content", r"^\s*+", 0)
+    head = F.concat(F.substring_index(F.translate(blank, "\r", "\n"), "\n", -1), F.regexp_extract("content", r"^\s*+([^\r\n]*+)", 1))
     n = lambda ch: F.length(head) - F.length(F.replace(head, F.lit(ch), F.lit("")))
-    d = d.withColumn("_sep", F.when(n("\t") > n(","), "\t").when(n(";") > n(","), ";").otherwise(","))
-    d = d.select("doc", "_sep", F.posexplode("_l").alias("_r", "_t")).where(F.trim("_t") != "")
-    # split at delimiters followed by an even number of quotes
-    cut = lambda ch: F.split("_t", ch + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    cells = F.when(F.col("_sep") == "\t", cut("\t")).when(F.col("_sep") == ";", cut(";")).otherwise(cut(","))
-    clean = lambda x: F.replace(F.regexp_replace(F.trim(x), r'^"|"$', ""), F.lit('""'), F.lit('"'))
-    return d.select("doc", F.lit(sheet).alias("sheet"), (F.col("_r") + 1).alias("row"), F.posexplode(cells).alias("_c", "_x")).select(
-        "doc", "sheet", "row", (F.col("_c") + 1).alias("col"), clean(F.col("_x")).alias("text"))
+    d = docs.where("content IS NOT NULL").select("doc", "content", F.when(n("\t") > n(","), "\t").when(n(";") > n(","), ";").otherwise(",").alias("_sep"),
+                                                 F.monotonically_increasing_id().alias("_d"))  # documents may share a name
+    pieces = F.split("content", F.concat(F.lit("(?<=["), F.col("_sep"), F.lit(r"\n])|(?<=\r)(?!\n)")), -1)
+    d = d.select("doc", "_d", "_sep", F.posexplode(pieces).alias("_i", "_t"))
+    line_end = F.col("_t").endswith("\n") | F.col("_t").endswith("\r")
+    drop = F.when(F.col("_t").endswith("\r\n"), 2).when(line_end | F.col("_t").endswith(F.col("_sep")), 1).otherwise(0)
+    d = d.withColumns({"_ends": line_end, "_body": F.substr("_t", F.lit(1), F.length("_t") - drop)})
+    opens = F.col("_body").startswith('"')
+    d = d.withColumns({"_from_out": opens & ~F.substr("_body", F.lit(2)).rlike(ODD_RUN), "_from_in": ~F.col("_body").rlike(ODD_RUN)})
+    sofar = W.partitionBy("_d").orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    step = W.partitionBy("_d").orderBy("_i")
+    odd = lambda c: c % 2 == 1
+    d = d.withColumn("_swaps", F.sum((F.col("_from_out") & ~F.col("_from_in")).cast("int")).over(sofar))
+    sets = F.when(F.col("_from_out") == F.col("_from_in"), F.col("_from_out") != odd(F.col("_swaps")))
+    d = d.withColumn("_in", F.coalesce(F.last(sets, ignorenulls=True).over(sofar), F.lit(False)) != odd(F.col("_swaps")))
+    # a piece starts a field where its predecessor ended outside of quotes, and a row where that one also ended a line
+    d = d.withColumns({"_starts": ~F.lag("_in", 1, False).over(step), "_row_ends": F.col("_ends") & ~F.col("_in")})
+    d = d.withColumn("_row_starts", F.lag("_row_ends", 1, True).over(step))
+    d = d.withColumns({"row": F.sum(F.col("_row_starts").cast("int")).over(sofar), "_f": F.sum(F.col("_starts").cast("int")).over(sofar)})
+    d = d.withColumn("col", F.col("_f") - F.last(F.when(F.col("_row_starts"), F.col("_f")), ignorenulls=True).over(sofar) + 1)
+    last_piece = F.lead("_i").over(step).isNull()
+    d = d.withColumn("_alone", F.col("_row_starts") & (F.col("_row_ends") | last_piece)).where(~(F.col("_alone") & (F.trim("_body") == "")))
+    # pieces inside of quotes keep the delimiter or line break that they end with
+    part = F.struct("_i", F.when(F.col("_in"), F.col("_t")).otherwise(F.col("_body")).alias("_t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["_t"]), "")
+    f = d.groupBy("_d", "doc", "row", "col").agg(whole.alias("_x"))  # on the pieces' own partitions
+    return f.select("doc", F.lit(sheet).alias("sheet"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+                    F.when(F.col("_x").startswith('"'), _unquoted(F.col("_x"))).otherwise(F.trim("_x")).alias("text"))
 
 
 def parse_text_lines(docs: DataFrame) -> DataFrame:
