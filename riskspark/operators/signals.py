@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskspark.functions.num import key9, rnd
 from riskspark.operators.dedup import severity_rank
+from riskspark.operators.set_join import similar_sets
 
 STAGES = ["OBSERVATION", "SIGNAL", "DEVELOPING_EVENT", "SIGNIFICANT_EVENT", "CRISIS_CANDIDATE"]
 # Signal category of an event type, and words left out of article trends.
@@ -129,32 +130,9 @@ def trend_terms(articles: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def related_articles(articles: DataFrame, threshold: float = 0.22, key: str = "arrival") -> DataFrame:
-    """Exact set-similarity join at Jaccard >= threshold over distinct word sets.
-
-    Articles with equal word sets form one set row first. Sets then meet on their rare leading words only (prefix
-    filter), as ids with sizes and positions; pairs that the sizes or the words left after the positions rule out go at
-    once, the others are made distinct, and only then the words are joined in and each pair is verified.
-    """
-    from riskspark.operators.dedup import ranked_tokens
-    from riskspark.session import stage
-    a = articles.select(key, F.array_sort(article_tokens(F.col("title"), F.col("summary"))).alias("tokens"))
-    a = a.where(F.size("tokens") > 0).withColumn("shape", F.xxhash64(F.array_join("tokens", " ")))
-    a = a.groupBy("shape").agg(F.min(key).alias("first_article"), F.count("*").alias("n_articles"), F.any_value("tokens").alias("tokens"))
-    r = stage(ranked_tokens(a.withColumn("n", F.size("tokens"))).drop("tokens"))
-    n = F.col("n")
-    prefix = F.slice("ranked", F.lit(1), n - F.ceil(n * F.lit(threshold)).cast("int") + 1)
-    keyed = r.select("shape", "n", "first_article", F.posexplode(prefix).alias("pos", "t"))
-    b = keyed.select(*[F.col(c).alias(c if c == "t" else c + "_b") for c in keyed.columns])
-    size_ok = (F.col("n_b") >= n * threshold) & (n >= F.col("n_b") * threshold)
-    reach = F.least(F.col("pos"), F.col("pos_b")) + F.least(n - F.col("pos"), F.col("n_b") - F.col("pos_b"))
-    bound = reach >= F.ceil((n + F.col("n_b")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    pairs = keyed.join(b, "t").where((F.col("first_article") < F.col("first_article_b")) & size_ok & bound).select("shape", "shape_b").distinct()
-    left = r.select("shape", "n", "ranked", F.col("first_article").alias("article_a"), F.col("n_articles").alias("copies_a"))
-    right = r.select(F.col("shape").alias("shape_b"), F.col("n").alias("n_b"), F.col("ranked").alias("ranked_b"), F.col("first_article").alias("article_b"), F.col("n_articles").alias("copies_b"))
-    inter = F.size(F.array_intersect("ranked", "ranked_b"))
-    jac = inter / (n + F.col("n_b") - inter)
-    return pairs.join(left, "shape").join(right, "shape_b").withColumn("jaccard", rnd(jac, 6)).where(key9(jac) >= threshold) \
-        .select("article_a", "article_b", "copies_a", "copies_b", "jaccard")
+    """Articles of similar words: exact set-similarity join at Jaccard >= threshold; articles with equal word sets count once, under the first."""
+    a = articles.select(F.col(key).alias("id"), article_tokens(F.col("title"), F.col("summary")).alias("tokens"))
+    return similar_sets(a, threshold).select(F.col("id_a").alias("article_a"), F.col("id_b").alias("article_b"), "copies_a", "copies_b", "jaccard")
 
 
 def article_copies(articles: DataFrame, key: str = "arrival") -> DataFrame:
