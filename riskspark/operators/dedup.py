@@ -1,11 +1,15 @@
 """Near-duplicate resolution and corroboration of event reports.
 
-Reports with equal place, type and title words form one *shape*. All similarity parts except time are constant per
+Reports with equal place, type, title words and entities form one *shape*. All similarity parts except time are constant per
 pair of shapes, so copies never have to be paired with each other: joins run between distinct shapes, and an event
 meets only the few canonical events of similar shapes.
 """
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskspark.functions.num import key9, rnd
@@ -15,6 +19,7 @@ from riskspark.session import stage
 STOP_WORDS = ["the", "and", "for", "near", "with", "from", "into", "over", "report", "advisory", "official"]
 W_TITLE, W_PLACE, W_KIND, W_TIME = 0.50, 0.25, 0.15, 0.10
 CONFIRMED, PROBABLE, CANDIDATE = 0.78, 0.55, 0.36
+KIND_TYPE, KIND_ENTITIES = 0.6, 0.4  # split of the kind part between two reports that both name entities
 HALF_STEP = 0.0005  # scores are rounded to three decimals before they are compared
 SEVERITY_RANK = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 
@@ -30,15 +35,17 @@ def title_tokens(title: Column) -> Column:
 
 
 def with_shape(events: DataFrame) -> DataFrame:
-    """Add lower-cased place, title tokens and the shape id."""
+    """Add lower-cased place, title tokens, entities (none where there is no such column) and the shape id."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    d = events.withColumns({"country_l": low("country"), "city_l": low("city"), "tokens": title_tokens(F.col("title"))})
-    key = F.concat_ws("\u0001", "country_l", "city_l", "event_type", F.array_join("tokens", " "))
+    none = F.array().cast("array<string>")
+    ents = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("entities", none)))) if "entities" in events.columns else none
+    d = events.withColumns({"country_l": low("country"), "city_l": low("city"), "tokens": title_tokens(F.col("title")), "ents": ents})
+    key = F.concat_ws("\u0001", "country_l", "city_l", "event_type", F.array_join("tokens", " "), F.array_join("ents", "\u0002"))
     return d.withColumn("shape", F.sha2(key, 256))
 
 
 def shapes(shaped: DataFrame) -> DataFrame:
-    return shaped.select("shape", "country_l", "city_l", "event_type", "tokens").distinct()
+    return shaped.select("shape", "country_l", "city_l", "event_type", "tokens", "ents").distinct()
 
 
 def jaccard(a: str, b: str) -> Column:
@@ -63,29 +70,46 @@ def classify(sim: Column) -> Column:
             .when(sim >= CANDIDATE, "candidate_duplicate").otherwise("unique"))
 
 
-def ranked_tokens(sh: DataFrame) -> DataFrame:
-    """Tokens of every shape ordered from rare to frequent (the order that makes prefixes selective)."""
-    t = sh.select("shape", F.explode("tokens").alias("token"))
+def kind_match(a: str, b: str) -> Column:
+    """Equal types, and the overlap of entities where both reports name some."""
+    same = (F.col(f"{a}.event_type") == F.col(f"{b}.event_type")).cast("double")
+    both = (F.size(F.col(f"{a}.ents")) > 0) & (F.size(F.col(f"{b}.ents")) > 0)
+    return F.when(both, KIND_TYPE * same + KIND_ENTITIES * jaccard(f"{a}.ents", f"{b}.ents")).otherwise(same)
+
+
+def _most_kind(same_type: bool) -> Column:
+    """The largest kind part that a report can have with any other of the same, or of another, type."""
+    return F.lit(1.0) if same_type else F.when(F.size("ents") > 0, KIND_ENTITIES).otherwise(0.0)
+
+
+def _ranked(sh: DataFrame, words: str, out: str) -> DataFrame:
+    """The words of every shape ordered from rare to frequent (the order that makes prefixes selective)."""
+    t = sh.select("shape", F.explode(words).alias("token"))
     freq = t.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = t.join(freq, "token").groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_r"))
-    return sh.join(ranked, "shape", "left").withColumn(
-        "ranked", F.coalesce(F.transform("_r", lambda x: x["token"]), F.array().cast("array<string>"))).drop("_r")
+    got = t.join(freq, "token").groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_r"))
+    return sh.join(got, "shape", "left").withColumn(
+        out, F.coalesce(F.transform("_r", lambda x: x["token"]), F.array().cast("array<string>"))).drop("_r")
+
+
+def ranked_words(sh: DataFrame) -> DataFrame:
+    """Title words and entities of every shape, both ordered from rare to frequent."""
+    return _ranked(_ranked(sh, "tokens", "ranked"), "ents", "ranked_ents")
 
 
-def _prefix(min_jaccard: Column) -> Column:
-    """Leading tokens of which two sets with at least this Jaccard must share one."""
-    n = F.size("ranked")
+def _prefix(min_jaccard: Column, words: str = "ranked") -> Column:
+    """Leading words of which two sets with at least this Jaccard must share one."""
+    n = F.size(words)
     keep = n - F.ceil(n * F.greatest(min_jaccard, F.lit(1e-9))).cast("int") + 1
-    return F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.least(n, keep)))
+    return F.slice(words, F.lit(1), F.greatest(F.lit(0), F.least(n, keep)))
 
 
-def _blocked_pairs(left: DataFrame, right: DataFrame, keys: list[str], need_left: Column, need_right: float) -> DataFrame:
-    """Pairs of shape ids equal on ``keys`` that share a prefix token.
+def _blocked_pairs(side_of: DataFrame, keys: list[str], need_left: Column, need_right: Column, words: str = "ranked") -> DataFrame:
+    """Pairs of shape ids equal on ``keys`` that share a prefix word.
 
-    The left threshold may differ by row; the right one is the lowest of the block, whose longer prefix covers all.
+    Thresholds may differ by row; the right ones are the lowest that any left row may ask of that row.
     """
-    side = lambda d, n, j: d.select(F.col("shape").alias(n), *keys, F.explode(_prefix(j)).alias("_t"))
-    return side(left, "shape_a", need_left).join(side(right, "shape_b", F.lit(need_right)), [*keys, "_t"]).where(
+    side = lambda n, j: side_of.select(F.col("shape").alias(n), *keys, F.explode(_prefix(j, words)).alias("_t"))
+    return side("shape_a", need_left).join(side("shape_b", need_right), [*keys, "_t"]).where(
         "shape_a <> shape_b").select("shape_a", "shape_b").distinct()
 
 
@@ -94,7 +118,7 @@ def _score_pairs(pairs: DataFrame, sh: DataFrame) -> DataFrame:
     a, b = sh.alias("a"), sh.alias("b")
     d = pairs.join(a, F.col("shape_a") == F.col("a.shape")).join(b, F.col("shape_b") == F.col("b.shape"))
     base = (F.lit(W_TITLE) * jaccard("a.tokens", "b.tokens") + F.lit(W_PLACE) * place_match("a", "b")
-            + F.lit(W_KIND) * (F.col("a.event_type") == F.col("b.event_type")).cast("double"))
+            + F.lit(W_KIND) * kind_match("a", "b"))
     return d.select("shape_a", "shape_b", base.alias("base"))
 
 
@@ -102,14 +126,16 @@ def similar_shapes(sh: DataFrame) -> DataFrame:
     """Ordered pairs of distinct shapes that can reach the confirmed class, with their time-free similarity.
 
     Limits on title Jaccard follow from the weights: with full time credit a confirmed pair needs .559 in the same
-    city and type, and .859 in the same city or, with equal type, in the same country. No other pair can reach it.
+    city and type; .859 in the same country with equal type; and in the same city with different types .859, or .739 where
+    both reports name entities, whose overlap then counts .06 at most. No other pair can reach it.
     """
-    r = stage(ranked_tokens(sh))
+    r = stage(ranked_words(sh))
     need = lambda place, kind: (CONFIRMED - HALF_STEP - W_PLACE * place - W_KIND * kind - W_TIME) / W_TITLE
+    block = lambda keys, place, kind: _blocked_pairs(r, keys, need(place, kind), need(place, kind))
     pairs = (
-        _blocked_pairs(r, r, ["country_l", "city_l", "event_type"], F.lit(need(1.0, 1.0)), need(1.0, 1.0))
-        .unionByName(_blocked_pairs(r, r, ["country_l", "city_l"], F.lit(need(1.0, 0.0)), need(1.0, 0.0)))
-        .unionByName(_blocked_pairs(r, r, ["country_l", "event_type"], F.lit(need(0.4, 1.0)), need(0.4, 1.0)))
+        block(["country_l", "city_l", "event_type"], 1.0, _most_kind(True))
+        .unionByName(block(["country_l", "city_l"], 1.0, _most_kind(False)))
+        .unionByName(block(["country_l", "event_type"], 0.4, _most_kind(True)))
     ).distinct()
     return _score_pairs(pairs, sh).where(F.col("base") + W_TIME >= CONFIRMED - HALF_STEP)
 
@@ -125,22 +151,80 @@ def score(base: Column, t_a: Column, t_b: Column) -> Column:
     return rnd(key9(base + F.lit(W_TIME) * time_match(F.abs(t_a - t_b))), 3)
 
 
-def resolve_canonical(shaped: DataFrame, near: DataFrame) -> DataFrame:
+def _reach(base: Column) -> Column:
+    """Seconds within which two reports of this time-free similarity are confirmed duplicates; null where they never are."""
+    at = lambda credit: rnd(key9(base + F.lit(W_TIME * credit)), 3) >= CONFIRMED
+    return F.when(at(0.0), F.lit(1 << 62)).when(at(0.5), 259200).when(at(1.0), 86400)
+
+
+def _groups(edges: DataFrame) -> DataFrame:
+    """(shape, grp): shapes linked over any number of edges get the same group, by spreading the least label and jumping over labels."""
+    label = stage(edges.select(F.col("shape_a").alias("shape")).distinct().withColumn("grp", F.col("shape")))
+    while True:
+        of = label.select(F.col("shape").alias("shape_b"), F.col("grp").alias("_g"))
+        near = edges.join(of, "shape_b").groupBy(F.col("shape_a").alias("shape")).agg(F.min("_g").alias("_g"))
+        low = label.join(near, "shape").select("shape", F.col("grp").alias("_old"), F.least("grp", "_g").alias("_l"))
+        up = low.select(F.col("shape").alias("_l"), F.col("_l").alias("_up"))
+        moved = stage(low.join(up, "_l").select("shape", "_old", F.least("_l", "_up").alias("grp")))
+        label = moved.drop("_old")
+        if moved.where("grp <> _old").isEmpty():
+            return label
+
+
+def _fold(events: pa.Table, edges: pa.Table) -> pa.Table:
+    """The sequential rule over the events of some groups, in arrival order: rows of the events that become canonical."""
+    near: dict[str, list[tuple[str, int]]] = {}
+    for a, b, reach in zip(*(edges.column(c).to_pylist() for c in ("shape_a", "shape_b", "reach"))):
+        near.setdefault(a, []).append((b, reach))
+    dated: dict[str, list[int]] = {}  # times of each shape's canonical events, in order
+    undated: set[str] = set()
+    rows, kept = zip(*(events.column(c).to_pylist() for c in ("shape", "published_s"))), []
+    order = pc.sort_indices(events, sort_keys=[("arrival", "ascending")]).to_pylist()
+    rows = list(rows)
+    for i in order:
+        shape, t = rows[i]
+        for other, reach in near[shape]:
+            times = dated.get(other, ())
+            if t is None or reach >= 1 << 62:
+                hit = reach >= 259200 and (bool(times) or other in undated)
+            else:
+                k = bisect_left(times, t - reach)
+                hit = k < len(times) and times[k] <= t + reach or reach >= 259200 and other in undated
+            if hit:
+                break
+        else:
+            kept.append(i)
+            if t is None:
+                undated.add(shape)
+            else:
+                insort(dated.setdefault(shape, []), t)
+    return events.select(["event_id", "arrival", "published_s", "shape"]).take(pa.array(kept, pa.int64()))
+
+
+def resolve_canonical(shaped: DataFrame, near: DataFrame, small: int = 50_000) -> DataFrame:
     """Events that start a canonical record: first in arrival order among everything they would be merged with.
 
-    Sequentially, an event is merged when an earlier canonical event scores .78 or more. Equivalent rounds: the
-    earliest open event of a shape becomes canonical once no similar shape holds an earlier open event; then every
-    open event it covers is closed. The globally earliest open event always qualifies, so the rounds end. Two
+    Sequentially, an event is merged when an earlier canonical event scores .78 or more. Shapes linked by such scores form groups that do
+    not touch each other: groups of at most ``small`` events are folded in arrival order, about ``small`` events in a task. Larger groups take parallel rounds, which give
+    the same result: the earliest open event of a shape becomes canonical once no similar
+    shape holds an earlier open event; then every open event it covers is closed. The globally earliest open event always qualifies, so the rounds end. Two
     canonical events of one fully located shape cannot exist, so a round joins events with few canonical rows.
     """
     cols = ["event_id", "arrival", "published_s", "shape"]
-    self_pairs = shapes(shaped).select(F.col("shape").alias("shape_a"), F.col("shape").alias("shape_b"),
-                                       self_similarity().alias("base"))
-    edges = stage(near.unionByName(self_pairs.where(F.col("base") + W_TIME >= CONFIRMED - HALF_STEP)))
+    own = shapes(shaped).select(F.col("shape").alias("shape_a"), F.col("shape").alias("shape_b"), self_similarity().alias("base"))
+    edges = stage(near.unionByName(own).withColumn("reach", _reach(F.col("base"))).where("reach IS NOT NULL"))
     # a shape without any edge cannot be merged: all its events are canonical at once
-    alone = shaped.select(*cols).join(edges.select(F.col("shape_a").alias("shape")).distinct(), "shape", "left_anti")
-    done = alone.select(*cols)
-    open_ = stage(shaped.select(*cols).join(edges.select(F.col("shape_a").alias("shape")), "shape", "left_semi").select(*cols))
+    done = shaped.select(*cols).join(edges.select(F.col("shape_a").alias("shape")).distinct(), "shape", "left_anti").select(*cols)
+    group = _groups(edges)
+    rest = stage(shaped.select(*cols).join(group, "shape"))
+    size = rest.groupBy("grp").agg(F.count("*").alias("_n"))
+    tasks = max(1, -(-rest.count() // small))
+    dealt = stage(size.where(F.col("_n") <= small).select("grp", F.pmod(F.xxhash64("grp"), F.lit(tasks)).alias("task")))
+    links = edges.select("shape_a", "shape_b", "reach").join(group.withColumnRenamed("shape", "shape_a"), "shape_a").join(dealt, "grp")
+    folded = rest.join(dealt, "grp").select("task", *cols).groupBy("task").cogroup(
+        links.select("task", "shape_a", "shape_b", "reach").groupBy("task")).applyInArrow(_fold, shaped.select(*cols).schema)
+    done = done.unionByName(folded)
+    open_ = stage(rest.join(dealt, "grp", "left_anti").select(*cols))
     while not open_.isEmpty():
         lead = open_.groupBy("shape").agg(F.min_by(F.struct("event_id", "arrival", "published_s"), "arrival").alias("l"))
         lead = lead.select("shape", "l.*")
@@ -168,22 +252,24 @@ def _best(cands: DataFrame) -> DataFrame:
     ).select("event_id", "_m.*")
 
 
-def _earliest_in_group(canon: DataFrame, key: list[str], base: Column) -> DataFrame:
+def _earliest_in_group(canon: DataFrame, key: list[str], base: Column, asks: Column | bool = True, answers: Column | bool = True) -> DataFrame:
     """Earliest canonical event of the same group: within a day, within three days, at any time.
 
-    All members of a group are equally similar but for time, so these three are the only possible best matches and
+    ``asks`` tells which members look for a match, ``answers`` which may be one. These are equally similar but for time, so these three are the only possible best matches and
     the members are never paired with each other. Rows are copied to their own and the two adjacent three-day
     buckets: a busy group is spread over its days and the frames stay inside one bucket. Undated events have half the time
     credit with every member.
     """
+    asks, answers = (F.lit(c) if isinstance(c, bool) else c for c in (asks, answers))
+    canon = canon.withColumns({"_asks": asks, "_answers": answers}).where("_asks OR _answers")
     span = 259200
     b = F.floor(F.col("published_s") / span)
     d = canon.where("published_s IS NOT NULL").withColumns({"_own": b, "_base": base}).withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
-    me = F.struct(F.col("arrival"), F.col("event_id"))
+    me = F.when(F.col("_answers"), F.struct(F.col("arrival"), F.col("event_id")))
     frame = lambda s: W.partitionBy(*key, "_b").orderBy("published_s").rangeBetween(-s, s)
-    d = d.withColumns({"_d1": F.min(me).over(frame(86400)), "_d3": F.min(me).over(frame(span))}).where("_b = _own")
+    d = d.withColumns({"_d1": F.min(me).over(frame(86400)), "_d3": F.min(me).over(frame(span))}).where("_b = _own AND _asks")
     first = canon.groupBy(*key).agg(F.min(me).alias("_any"), F.min(F.when(F.col("published_s").isNull(), me)).alias("_undated"))
-    undated = canon.where("published_s IS NULL").withColumns({"_base": base, "_d1": F.lit(None).cast(d.schema["_d1"].dataType)})
+    undated = canon.where("published_s IS NULL AND _asks").withColumns({"_base": base, "_d1": F.lit(None).cast(d.schema["_d1"].dataType)})
     cols = ["event_id", "arrival", *key, "_base", "_d1", "_d3", "_any"]
     d = d.join(first, key).withColumn("_d3", F.least("_d3", "_undated")).select(cols).unionByName(
         undated.join(first, key).withColumn("_d3", F.col("_any")).select(cols))
@@ -194,34 +280,48 @@ def _earliest_in_group(canon: DataFrame, key: list[str], base: Column) -> DataFr
 
 
 def _place_candidates(canon: DataFrame) -> DataFrame:
-    """Best matches that share city and type but no title word."""
-    c = canon.where("country_l <> '' AND city_l <> ''")
-    return _earliest_in_group(c, ["country_l", "city_l", "event_type"], F.lit(W_PLACE + W_KIND))
+    """Best matches that share city and type but no title word.
+
+    Without entities on one side the type stands for them; between two reports with entities this counts no overlap, and pairs
+    that share an entity are scored on their own.
+    """
+    c, key = canon.where("country_l <> '' AND city_l <> ''"), ["country_l", "city_l", "event_type"]
+    named = F.size("ents") > 0
+    full, bare = F.lit(W_PLACE + W_KIND), F.lit(W_PLACE + W_KIND * KIND_TYPE)
+    return (_earliest_in_group(c, key, full, ~named, True).unionByName(_earliest_in_group(c, key, full, named, ~named))
+            .unionByName(_earliest_in_group(c, key, bare, named, named)))
 
 
 def _shared_word_candidates(canon: DataFrame, floors: DataFrame) -> DataFrame:
-    """Canonical pairs below the confirmed class that share title words, scored exactly.
+    """Canonical pairs below the confirmed class that share title words or entities, scored exactly.
 
     An event already has the score of its best match by place or equal shape (its floor), so a pair only matters when
     it can reach that score. Each block states what its place and type parts contribute; the rest of the floor must
-    come from shared words, which sets the length of the rare-word prefix.
+    come from shared words, which sets the length of the rare-word prefix. Without a shared title word only the same city leaves
+    a pair in reach, and there shared entities decide: .06 times their overlap, with a prefix of rare entities.
     """
     per_shape = canon.select("event_id", "shape").join(floors, "event_id", "left").groupBy("shape").agg(
         F.min(F.coalesce("floor", F.lit(CANDIDATE))).alias("floor"))
     sh = shapes(canon)
-    r = stage(ranked_tokens(sh).join(per_shape, "shape"))
+    r = stage(ranked_words(sh).join(per_shape, "shape"))
     placed, sited = r.where("country_l <> ''"), r.where("country_l <> '' AND city_l <> ''")
 
-    def block(side: DataFrame, keys: list[str], place: float, kind: float) -> DataFrame:
-        given = HALF_STEP + W_PLACE * place + W_KIND * kind + W_TIME
-        return _blocked_pairs(side, side, keys, (F.greatest(F.col("floor"), F.lit(CANDIDATE)) - given) / W_TITLE,
-                              (CANDIDATE - given) / W_TITLE)
+    floor = F.greatest(F.col("floor"), F.lit(CANDIDATE))
+
+    def block(side: DataFrame, keys: list[str], place: float) -> DataFrame:
+        given = HALF_STEP + W_PLACE * place + W_KIND * _most_kind("event_type" in keys) + W_TIME
+        return _blocked_pairs(side, keys, (floor - given) / W_TITLE, (CANDIDATE - given) / W_TITLE)
+
+    def by_entities(keys: list[str], kind: float) -> DataFrame:
+        given = HALF_STEP + W_PLACE + W_KIND * kind + W_TIME
+        return _blocked_pairs(sited, keys, (floor - given) / (W_KIND * KIND_ENTITIES), F.lit((CANDIDATE - given) / (W_KIND * KIND_ENTITIES)), "ranked_ents")
     pairs = (
-        block(sited, ["country_l", "city_l", "event_type"], 1.0, 1.0)
-        .unionByName(block(sited, ["country_l", "city_l"], 1.0, 0.0))
-        .unionByName(block(placed, ["country_l", "event_type"], 0.4, 1.0))
-        .unionByName(block(placed, ["country_l"], 0.4, 0.0))
-        .unionByName(block(r, ["event_type"], 0.0, 1.0)).unionByName(block(r, [], 0.0, 0.0))
+        block(sited, ["country_l", "city_l", "event_type"], 1.0)
+        .unionByName(block(sited, ["country_l", "city_l"], 1.0))
+        .unionByName(block(placed, ["country_l", "event_type"], 0.4))
+        .unionByName(block(placed, ["country_l"], 0.4))
+        .unionByName(block(r, ["event_type"], 0.0)).unionByName(block(r, [], 0.0))
+        .unionByName(by_entities(["country_l", "city_l", "event_type"], KIND_TYPE)).unionByName(by_entities(["country_l", "city_l"], 0.0))
     ).distinct()
     me = canon.select(F.col("shape").alias("shape_a"), "event_id", "arrival", "published_s")
     other = canon.select(F.col("shape").alias("shape_b"), F.col("event_id").alias("matched_id"),

@@ -86,7 +86,8 @@ FROM documents""")
 cte("v_evt", """
 SELECT 'evt_' || arrival AS event_id, arrival, title, summary AS description, event_type, published_s,
   country, city, latitude, longitude, severity, status, publisher AS source_id,
-  sha256(summary)[1:16] AS origin_hash, 0.75::double AS confidence
+  sha256(summary)[1:16] AS origin_hash, 0.75::double AS confidence,
+  CASE WHEN arrival % 3 = 0 THEN []::varchar[] ELSE ['org_' || arrival % 5, 'place_' || arrival % 11] END AS entities
 FROM v_art""")
 
 cte("v_src", f"""

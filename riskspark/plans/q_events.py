@@ -18,10 +18,12 @@ def e01(v: Views):
     return v.events().select("event_id", F.array_join(D.title_tokens(F.col("title")), " ").alias("tokens"))
 
 
-cte("o_shp", "SELECT country_l, city_l, event_type, tokens, min(arrival) AS first_arrival FROM o_tok GROUP BY ALL")
-_jac = "CASE WHEN len(a.tokens) = 0 OR len(b.tokens) = 0 THEN 0.0 ELSE len(list_intersect(a.tokens, b.tokens))::double/(len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) END"
-_base = (f"(0.5::double*({_jac}) + 0.25::double*CASE WHEN a.country_l = b.country_l AND a.country_l <> '' THEN CASE WHEN a.city_l = b.city_l THEN 1.0 ELSE 0.4 END ELSE 0.0 END::double"
-         " + 0.15::double*CASE WHEN a.event_type = b.event_type THEN 1.0 ELSE 0.0 END::double)")
+cte("o_shp", "SELECT country_l, city_l, event_type, tokens, list_sort(entities) AS entities, min(arrival) AS first_arrival FROM o_tok GROUP BY ALL")
+_jaccard = lambda c: (f"CASE WHEN len(a.{c}) = 0 OR len(b.{c}) = 0 THEN 0.0 ELSE len(list_intersect(a.{c}, b.{c}))::double"
+                      f"/(len(a.{c}) + len(b.{c}) - len(list_intersect(a.{c}, b.{c}))) END")
+_type = "CASE WHEN a.event_type = b.event_type THEN 1.0 ELSE 0.0 END::double"
+_base = (f"(0.5::double*({_jaccard('tokens')}) + 0.25::double*CASE WHEN a.country_l = b.country_l AND a.country_l <> '' THEN CASE WHEN a.city_l = b.city_l AND a.city_l <> '' THEN 1.0 ELSE 0.4 END ELSE 0.0 END::double"
+         f" + 0.15::double*CASE WHEN len(a.entities) > 0 AND len(b.entities) > 0 THEN 0.6::double*{_type} + 0.4::double*({_jaccard('entities')}) ELSE {_type} END)")
 cte("o_sim", f"SELECT a.first_arrival AS shape_a, b.first_arrival AS shape_b, {_base} AS base FROM o_shp a JOIN o_shp b ON a.first_arrival <> b.first_arrival AND a.country_l = b.country_l")
 
 
@@ -49,7 +51,24 @@ def e03(v: Views):
     return _shape_pairs(v).select("shape_a", "shape_b", D.classify(rnd(key9(F.col("base")), 3)).alias("duplicate_class"))
 
 
-@query("e04_resolve_duplicates")
+_time = "CASE WHEN abs(a.published_s - b.published_s) <= 86400 THEN 1.0 WHEN abs(a.published_s - b.published_s) > 259200 THEN 0.0 ELSE 0.5 END::double"
+#: Scores of all pairs of an earlier report a and a later one b; which reports become canonical, round by round; each report's best earlier canonical one.
+E04 = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT a.arrival AS a, b.arrival AS b, a.event_id AS matched_id, {r(r9(f'{_base} + 0.1::double*{_time}'), 3)} AS s FROM o_tok a JOIN o_tok b ON a.arrival < b.arrival),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE s >= .78),
+st(k, id, state) AS (
+  SELECT 0, arrival, 0 FROM o_tok
+  UNION ALL
+  SELECT k + 1, id, CASE WHEN state <> 0 THEN state WHEN merged THEN 2 WHEN waits = 0 THEN 1 ELSE 0 END
+  FROM (SELECT st.k, st.id, st.state, coalesce(bool_or(x.state = 1), FALSE) AS merged, count(x.id) FILTER (x.state = 0) AS waits, bool_or(st.state = 0) OVER () AS more
+        FROM st LEFT JOIN e ON e.b = st.id LEFT JOIN st x ON x.id = e.a GROUP BY st.k, st.id, st.state) WHERE more),
+c AS (SELECT id FROM st WHERE k = (SELECT max(k) FROM st) AND state = 1),
+m AS (SELECT p.b, arg_max(p.matched_id, [p.s, -p.a]) AS matched_id, max(p.s) AS similarity FROM p JOIN c ON c.id = p.a GROUP BY p.b)
+SELECT t.event_id, t.arrival, CASE WHEN similarity >= .36 THEN matched_id END AS matched_id, CASE WHEN similarity >= .36 THEN similarity END AS similarity,
+  CASE WHEN similarity >= .78 THEN 'confirmed_duplicate' WHEN similarity >= .55 THEN 'probable_duplicate' WHEN similarity >= .36 THEN 'candidate_duplicate' ELSE 'unique' END AS duplicate_status
+FROM o_tok t LEFT JOIN m ON m.b = t.arrival"""
+
+
+@query("e04_resolve_duplicates", E04)
 def e04(v: Views):
     return D.resolve_duplicates(v.events())
 

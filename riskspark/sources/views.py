@@ -227,6 +227,8 @@ class Views:
             F.col("publisher").alias("source_id"),
             F.substring(F.sha2(F.col("summary"), 256), 1, 16).alias("origin_hash"),
             F.lit(0.75).alias("confidence"),
+            F.when(F.col("arrival") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(
+                F.concat(F.lit("org_"), F.col("arrival") % 5), F.concat(F.lit("place_"), F.col("arrival") % 11))).alias("entities"),
         )
 
     def sources(self) -> DataFrame:

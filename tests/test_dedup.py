@@ -23,6 +23,9 @@ def sim(a, b):
         if a["city"] and b["city"] and a["city"].lower() == b["city"].lower():
             place = 1.0
     kind = 1.0 if a["event_type"] == b["event_type"] else 0.0
+    m, n = set(a["entities"] or []), set(b["entities"] or [])
+    if m and n:
+        kind = 0.6 * kind + 0.4 * len(m & n) / len(m | n)
     if a["published_s"] is None or b["published_s"] is None:
         tm = 0.5
     else:
@@ -91,7 +94,7 @@ def sequential(events, sources):
     return canon, links, topics
 
 
-def make(seed, n, undated=0.0):
+def make(seed, n, undated=0.0, named=0.0):
     rnd = random.Random(seed)
     vocab = ["power", "grid", "outage", "campus", "network", "flood", "river", "strike", "port", "virus", "alert", "rail"]
     out = []
@@ -100,7 +103,7 @@ def make(seed, n, undated=0.0):
         base = rnd.choice([["power", "grid", "outage", "campus"], ["flood", "river", "alert"], []])
         words = base + rnd.sample(vocab, rnd.randint(0, 3))
         out.append({
-            "event_id": f"e{i}", "arrival": a, "title": " ".join(words), "country": rnd.choice(["IN", "in", "FR", None]),
+            "event_id": f"e{i}", "arrival": a, "entities": rnd.sample(["U", "V", "W", "X", "Y"], rnd.randint(1, 3)) if named and rnd.random() < named else rnd.choice([None, []]), "title": " ".join(words), "country": rnd.choice(["IN", "in", "FR", None]),
             "city": rnd.choice(["a", "A", "b", None]), "event_type": rnd.choice(["x", "x", "y"]),
             "published_s": None if rnd.random() < undated else rnd.randint(0, 10 * 86400), "severity": rnd.choice(["LOW", "MEDIUM", "HIGH", "CRITICAL", "MEDIUM"]),
             "status": rnd.choice(["ACTIVE", "ACTIVE", "RESOLVED"]),
@@ -111,12 +114,12 @@ def make(seed, n, undated=0.0):
 
 SOURCES = {f"s{i}": (f"g{i % 3}", i == 6) for i in range(7)}
 SCHEMA = ("event_id string, arrival bigint, title string, country string, city string, event_type string, published_s bigint, "
-          "severity string, status string, description string, source_id string, origin_hash string, confidence double")
+          "severity string, status string, description string, source_id string, origin_hash string, confidence double, entities array<string>")
 
 
-@pytest.mark.parametrize("seed,n,undated", [(1, 40, 0.0), (2, 120, 0.0), (3, 90, 0.3)])
-def test_resolution_conflicts_and_corroboration(spark, seed, n, undated):
-    events = make(seed, n, undated)
+@pytest.mark.parametrize("seed,n,undated,named", [(1, 40, 0.0, 0.0), (2, 120, 0.0, 0.5), (3, 90, 0.3, 0.0), (4, 120, 0.2, 0.9)])
+def test_resolution_conflicts_and_corroboration(spark, seed, n, undated, named):
+    events = make(seed, n, undated, named)
     canon, links, topics = sequential(events, SOURCES)
     df = spark.createDataFrame([tuple(e[c.split()[0]] for c in SCHEMA.split(", ")) for e in events], SCHEMA)
     src = spark.createDataFrame([(k, g, o) for k, (g, o) in SOURCES.items()],
@@ -132,3 +135,26 @@ def test_resolution_conflicts_and_corroboration(spark, seed, n, undated):
            for r in D.corroborate(linked, conf).collect()}
     want = {c["event_id"]: (c["status"], c["corr"], c["confidence"], len(c["srcs"]), c["ind"], c["nconf"], c["merged"]) for c in canon}
     assert out == want
+
+
+@pytest.mark.parametrize("seed,undated,named", [(5, 0.0, 0.6), (6, 0.3, 0.0)])
+def test_folds_and_rounds_keep_the_same_events(spark, seed, undated, named):
+    """Groups folded in one task, dealt to several tasks, and resolved by rounds alone."""
+    from riskspark.session import stage
+    events = make(seed, 100, undated, named)
+    canon = {c["event_id"] for c in sequential(events, SOURCES)[0]}
+    df = spark.createDataFrame([tuple(e[c.split()[0]] for c in SCHEMA.split(", ")) for e in events], SCHEMA)
+    ev = stage(D.with_shape(df))
+    near = stage(D.similar_shapes(D.shapes(ev)))
+    for small in (50_000, 40, 1):
+        assert {r.event_id for r in D.resolve_canonical(ev, near, small).collect()} == canon
+
+
+def test_recurring_report_without_a_city(spark):
+    """One headline every day for ten years: a canonical report every fourth day, without a round for each."""
+    import time
+    rows = [(f"e{i}", i, "power grid outage", "IN", None, "x", i * 86400, "LOW", "ACTIVE", "d", "s1", "h", 0.75, None) for i in range(3650)]
+    ev = D.with_shape(spark.createDataFrame(rows, SCHEMA))
+    began = time.time()
+    got = {r.arrival for r in D.resolve_canonical(ev, D.similar_shapes(D.shapes(ev))).collect()}
+    assert got == set(range(0, 3650, 4)) and time.time() - began < 120
