@@ -1,5 +1,5 @@
 """Queries for sources, evidence, network, memory and streaming operators."""
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskspark.functions.num import rnd
 from riskspark.operators import evidence as V5, forecast as T, intel as I, memory as ME, network as N, risk as R, signals as S
@@ -599,11 +599,27 @@ def _event_stream(v: Views):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _arriving_files(v: Views, rows: DataFrame, folder: str) -> DataFrame:
+    """The rows as a stream of files that arrive one after the other, every row up to two hours after its time stamp.
+
+    The last file holds one row a year later, which closes all windows before it.
+    """
+    came = F.floor((F.unix_timestamp("ts") + F.pmod(F.xxhash64("seq"), F.lit(7200))) / (4 * 86400))
+    rows = rows.withColumn("came", came)
+    first, last = rows.agg(F.min("came"), F.max("came")).first()
+    for k in range(first, last + 1):
+        rows.where(F.col("came") == k).drop("came").write.mode("append").parquet(folder)
+    rows.agg(F.lit(-1).cast("long").alias("seq"), (F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"), F.lit("end").alias("content")).write.mode("append").parquet(folder)
+    return v.spark.readStream.schema(rows.drop("came").schema).option("maxFilesPerTrigger", 2).parquet(folder)
+
+
 @query("r01_stream_dedup", _r01)
 def r01s(v: Views):
-    s = _event_stream(v).select(F.col("event_id").alias("seq"), "ts", F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("content"))
+    """Several micro-batches with late and reordered rows."""
+    e = v.table("events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("content"))
     root = shared_folder(v.spark, "dedup")
-    ST.stream_dedup_content(s, f"{root}/data", f"{root}/log").awaitTermination()
+    s = _arriving_files(v, e, f"{root}/in")
+    ST.stream_dedup_content(s, f"{root}/data", f"{root}/log", late="10 days").awaitTermination()
     return v.spark.read.parquet(f"{root}/data").select("content_hash", "ts_s", "seq")
 
 

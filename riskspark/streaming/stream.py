@@ -1,43 +1,103 @@
 """Structured Streaming jobs with batch twins."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from riskspark.functions.text import content_hash
 from riskspark.session import stage
 
 
-def _epochs(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """What earlier micro-batches wrote under `path` (one folder per epoch), or None."""
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """What earlier micro-batches wrote under `path`, or None."""
     try:
-        done = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
-    return done if before is None else done.where(F.col("epoch") < before)
 
 
-def stream_dedup_content(stream: DataFrame, path: str, checkpoint: str, seconds: int = 3600, content: str = "content", ts: str = "ts", key: str = "seq"
-                         ) -> StreamingQuery:
-    """Accepted rows of every micro-batch, by the rule of ``batch_dedup_content``, to `path`/epoch=N.
+ACCEPTED = T.StructType([T.StructField("content_hash", T.StringType()), T.StructField("ts_s", T.LongType()), T.StructField("seq", T.LongType())])
 
-    Carried over is what was accepted at most `seconds` before the batch's first row. A row at most `seconds` later than
-    the last accepted copy of its content is skipped; the rest of the batch starts a chain of its own. A replayed epoch overwrites its folder.
+
+class _AcceptByContent(StatefulProcessor):
+    """Rows of one content: a list of those that the watermark has not passed, the last accepted time, and timers.
+
+    A timer at the earliest waiting row decides, in time order, all rows that the watermark has passed. Another one at the end of the
+    window forgets the last accepted time, so that contents not seen again leave no state.
     """
-    def apply(batch: DataFrame, epoch: int) -> None:
-        d = batch.select(F.col(key), F.unix_timestamp(ts).alias("ts_s"), content_hash(F.col(content)).alias("content_hash"))
-        done = _epochs(batch.sparkSession, path, epoch)
-        if done is not None:
-            first = d.agg(F.min("ts_s")).scalar()
-            last = done.where(F.col("ts_s") >= first - seconds).groupBy("content_hash").agg(F.max("ts_s").alias("last"))
-            d = d.join(last, "content_hash", "left").where(F.col("last").isNull() | (F.col("ts_s") > F.col("last") + seconds)).drop("last")
-        chain_accepted(d, seconds, "ts_s", key).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts_s bigint, seq bigint")
+        self.last = handle.getValueState("last", "ts_s bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(t), int(k)) for part in rows for t, k in zip(part["ts_s"], part["seq"])]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(new)[0] * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() // 1000
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in waiting if r[0] <= now], [r for r in waiting if r[0] > now]
+        last, out = self.last.get()[0] if self.last.exists() else None, []
+        for t, k in due:
+            if last is None or t > last + self.seconds:
+                out.append((key[0], t, k))
+                last = t
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] * 1000)
+        elif due:
+            self.waiting.clear()
+        if last is not None and last + self.seconds < now:
+            self.last.clear()
+        elif last is not None:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.seconds + 1) * 1000)
+        if out:
+            yield pd.DataFrame(out, columns=ACCEPTED.names)
+
+    def close(self) -> None:
+        pass
+
+
+def _first_per_second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of equal contents of one second only the first key can be accepted: a hot content leaves its task as few rows."""
+    for batch in batches:
+        t = pa.table(batch).group_by(["content_hash", "ts_s"]).aggregate([("seq", "min")])
+        yield from t.rename_columns(["content_hash", "ts_s", "seq"]).to_batches()
+
+
+def stream_dedup_content(stream: DataFrame, path: str, checkpoint: str, seconds: int = 3600, content: str = "content", ts: str = "ts", key: str = "seq",
+                         late: str = "1 hour") -> StreamingQuery:
+    """Accepted rows (content_hash, ts_s, seq), by the rule and with the result of ``batch_dedup_content``, appended to ``path``.
+
+    A row is decided once the watermark, ``late`` behind the newest row, has passed it: rows may come in any order within that
+    time, over any number of micro-batches. Rows that come later than that are dropped, as the watermark says. What the watermark has not passed when a
+    run ends waits in the state for the next run. ``key`` is an integer; of rows of one second the smallest key is taken.
+    """
+    d = stream.select(content_hash(F.col(content)).alias("content_hash"), F.unix_timestamp(ts).alias("ts_s"), F.col(key).cast("long").alias("seq")).where("ts_s IS NOT NULL")
+    d = d.mapInArrow(_first_per_second, ACCEPTED).withColumn("ts", F.timestamp_seconds("ts_s")).withWatermark("ts", late)
+    out = d.groupBy("content_hash").transformWithStateInPandas(_AcceptByContent(seconds), ACCEPTED, "Append", "EventTime")
+    conf, provider = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(provider)
+    conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # lists and timers need it; read at the start
+    try:
+        return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(provider, before)
 
 
 def batch_dedup_content(df: DataFrame, seconds: int = 3600, content: str = "content", ts: str = "ts_s", key: str = "seq") -> DataFrame:
@@ -77,14 +137,14 @@ def stream_refresh(stream: DataFrame, ledger_path: str, checkpoint: str, report:
                    ) -> StreamingQuery:
     """Append only new signals of every micro-batch to the ledger; a replayed batch adds nothing.
 
-    The ledger is partitioned by the first two digits of the fingerprint, and ids derive from fingerprints, so a batch
-    reads the partitions of its own prefixes once, with one anti join.
+    The ledger is partitioned by the first two digits of the fingerprint, which spreads its files; fingerprints are uniform, so
+    a batch of some thousand rows reads the fingerprint column of the whole ledger, with one anti join.
     """
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         first = batch.groupBy("fingerprint").agg(F.min("seq").alias("seq"))
         fresh = batch.join(first, ["fingerprint", "seq"], "left_semi").dropDuplicates(["fingerprint"]).withColumn("prefix", F.substring("fingerprint", 1, 2))
-        stored = _epochs(spark, ledger_path)
+        stored = _written(spark, ledger_path)
         if stored is not None:
             fresh = fresh.join(stored.select("prefix", "fingerprint"), ["prefix", "fingerprint"], "left_anti")
         fresh = stage(fresh)
