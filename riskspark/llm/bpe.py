@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-Encoding: the bytes of a pre-token are halved recursively; two encoded halves are joined by re-encoding a window of
+Encoding: the bytes of a pre-token are halved recursively down to single bytes, the leaves; two encoded halves are joined by re-encoding a window of
 tokens around the boundary. The window grows until its outermost tokens are the ones that stood there before. Every pair of
 adjacent tokens in the result is then one that also arises when the pair is encoded alone, and a sequence with that
 property is the encoding of the whole (a merge across two tokens would also happen in the pair alone). Decoding
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 
 from riskspark.llm.text import map_arrow, pretokenizer
 
-#: Spans up to so many bytes are leaves of the tree.
-LEAF = 16
-#: Pre-tokens remembered by one task; a full table is emptied.
-REMEMBERED = 300_000
+#: Windows up to so many bytes are re-encoded by a scan, longer ones with a heap; the shortest ones are remembered.
+SHORT, TINY = 64, 12
+#: Pre-tokens, and pairs of tokens and windows, remembered by one task; a full table is emptied.
+REMEMBERED, REMEMBERED_WINDOWS = 600_000, 200_000
 
 
 class TreeCodec:
@@ -35,9 +35,11 @@ class TreeCodec:
         self.ranks, self.split = ranks, pretokenizer(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.seen: dict[str, bytes] = {}
+        self.pairs: dict[int, list[int]] = {}
+        self.windows: dict[bytes, list[int]] = {}
 
-    def leaf(self, data: bytes) -> list[int]:
-        """Encode a short span: merge the lowest-ranked adjacent pair, leftmost on ties, while there is one."""
+    def short_window(self, data: bytes) -> list[int]:
+        """Re-encode a short window: merge the lowest-ranked adjacent pair, leftmost on ties, while there is one."""
         ranks = self.ranks
         whole = ranks.get(data)
         if whole is not None and len(data) == 1:
@@ -58,10 +60,18 @@ class TreeCodec:
             if at:
                 pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
 
-    def span(self, data: bytes) -> list[int]:
-        """Encode a window of any length with a heap, for windows too long for the scan of `leaf`."""
-        if len(data) <= 4 * LEAF:
-            return self.leaf(data)
+    def window(self, data: bytes) -> list[int]:
+        """Re-encode a window of any length, with a heap where it is too long for a scan; very short ones are remembered."""
+        if len(data) <= SHORT:
+            if len(data) > TINY:
+                return self.short_window(data)
+            out = self.windows.get(data)
+            if out is None:
+                out = self.short_window(data)
+                if len(self.windows) >= REMEMBERED_WINDOWS:
+                    self.windows.clear()
+                self.windows[data] = out
+            return out
         ranks, n = self.ranks, len(data)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part starts at i and ends at end[i]
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i:i + 2])) is not None]
@@ -92,27 +102,39 @@ class TreeCodec:
             i = end[i]
         return out
 
+    def pair(self, left: int, right: int) -> list[int]:
+        """Encoding of two tokens' bytes, remembered: the smallest window of a join."""
+        out = self.window(self.bytes_of[left] + self.bytes_of[right])
+        if len(self.pairs) >= REMEMBERED_WINDOWS:
+            self.pairs.clear()
+        self.pairs[left << 32 | right] = out
+        return out
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Encoding of the concatenation of two encoded spans."""
+        a, b = left[-1], right[0]
+        window = self.pairs.get(a << 32 | b) or self.pair(a, b)
+        if window[0] == a and window[-1] == b and len(window) == 2:  # both tokens stand as they did
+            return left + right
+        if len(left) == 1 and len(right) == 1:
+            return window
         i = j = 1
         back = self.bytes_of
         while True:
-            i, j = min(i, len(left)), min(j, len(right))
-            window = self.span(b"".join([back[t] for t in left[-i:]] + [back[t] for t in right[:j]]))
             keeps_left = i == len(left) or window[0] == left[-i]
             keeps_right = j == len(right) or window[-1] == right[j - 1]
             if keeps_left and keeps_right:
                 return left[:-i] + window + right[j:]
-            i, j = (i if keeps_left else 2 * i), (j if keeps_right else 2 * j)
+            i, j = (i if keeps_left else min(2 * i, len(left))), (j if keeps_right else min(2 * j, len(right)))
+            window = self.window(b"".join([back[t] for t in left[-i:]] + [back[t] for t in right[:j]]))
 
     def piece(self, data: bytes) -> list[int]:
-        """Encode one pre-token by halving and joining."""
-        if len(data) <= LEAF:
-            return self.leaf(data) if data else []
-        spans = [self.leaf(data[k:k + LEAF]) for k in range(0, len(data), LEAF)]
-        while len(spans) > 1:  # one level of the tree: neighbours are joined, an odd last one moves up
-            spans = [self.join(*spans[k:k + 2]) if k + 1 < len(spans) else spans[k] for k in range(0, len(spans), 2)]
-        return spans[0]
+        """Encode one pre-token: its bytes are the leaves; one level of the tree after the other joins neighbours, an odd last span moves up."""
+        spans, join = [[self.ranks[data[k:k + 1]]] for k in range(len(data))], self.join
+        while len(spans) > 1:
+            rest = spans[-1:] if len(spans) % 2 else []
+            spans = [*map(join, spans[:-1:2] if rest else spans[::2], spans[1::2]), *rest]
+        return spans[0] if spans else []
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""

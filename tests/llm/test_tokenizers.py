@@ -45,7 +45,7 @@ def test_joining_any_two_halves_gives_the_encoding_of_the_whole():
     for _ in range(2000):
         data = "".join(rnd.choice("aethinor éß") for _ in range(rnd.randint(2, 90))).encode()
         cut = rnd.randint(1, len(data) - 1)
-        assert codec.join(codec.span(data[:cut]), codec.span(data[cut:])) == codec.span(data) == codec.piece(data)
+        assert codec.join(codec.window(data[:cut]), codec.window(data[cut:])) == codec.window(data) == codec.piece(data)
 
 
 def test_odd_rows(odd_docs, no_docs):
@@ -65,3 +65,20 @@ def test_frames_round_trip(odd_docs):
     back = bpe.decode(encoded, RANKS, P.PATTERN)
     assert sorted([(r.doc_id, r.text or "") for r in odd_docs.collect()], key=str) == sorted([(r.doc_id, r.text) for r in back.collect()], key=str)
     assert set(back.columns) == set(odd_docs.columns) - {"ids"}  # the name is taken by the tokens
+
+
+def test_every_pair_of_neighbours_goes_through_a_join(texts):
+    """A pre-token of n bytes has n leaves and takes n - 1 joins; remembered pre-tokens take none."""
+    class Counting(bpe.TreeCodec):
+        joins = 0
+
+        def join(self, left, right):
+            self.joins += 1
+            return super().join(left, right)
+    codec = Counting(bpe.read_ranks(RANKS), P.PATTERN)
+    for t in texts:
+        codec.joins, fresh = 0, [p for p in dict.fromkeys(codec.split(t)) if p not in codec.seen]
+        again = [p for p in codec.split(t) if len(p) > 64]  # these are not remembered
+        codec.encode(t)
+        sizes = [len(p.encode()) for p in fresh if len(p) <= 64] + [len(p.encode()) for p in again]
+        assert codec.joins == sum(n - 1 for n in sizes)
