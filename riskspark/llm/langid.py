@@ -2,7 +2,7 @@
 
 A text is cut into windows of WINDOW bytes. Filters of several widths slide over a window's embedded bytes; each filter's maximum over
 the window goes through a rectifier into a softmax layer. The network is trained with numpy on windows of a bounded sample of
-labelled texts (about `per_language` documents of each language, WINDOWS_PER_TEXT windows of each). Every window of every text is then judged; a text's
+labelled texts (about `per_language` documents of each language, `windows_per_text` windows of each). Every window of every text is then judged; a text's
 language has the highest mean log-probability over its windows, weighted by their bytes.
 
 For prediction the first layer is folded into tables over byte pairs, so that a position costs two look-ups.
@@ -19,12 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.text import chunks, fold_of, map_arrow, minus, text_key, utf8
+from riskspark.llm.text import chunks, drawn, fold_of, map_arrow, minus, text_key, utf8
 
 #: Bytes of a window; filter widths; filters of each width; numbers of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 12
-#: Windows taken from one training text.
-WINDOWS_PER_TEXT = 6
 
 
 class ByteNet:
@@ -121,24 +119,22 @@ def windows(data: np.ndarray, a: int, b: int) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def training_windows(docs: DataFrame, per_language: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows and classes of a sample drawn by id hash, and the languages in order."""
+def training_windows(docs: DataFrame, per_language: int, windows_per_text: int = 6) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows and classes of about `per_language` texts of each language, drawn by id and text, and the languages in order."""
     known = docs.where(F.col("lang").isNotNull() & (fold_of("doc_id", 4) != 2) & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counts)
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not languages:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
+    sample = drawn(known.select("doc_id", "lang", "text"), per_language, 41, "lang")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = utf8(batch.column(2))
         out = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             w = windows(data, a, b)
-            out.append(w[np.unique(np.linspace(0, len(w) - 1, WINDOWS_PER_TEXT).astype(int))].tobytes())
+            out.append(w[np.unique(np.linspace(0, len(w) - 1, windows_per_text).astype(int))].tobytes())
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "lang", "x"])
-    rows = sorted(map_arrow(drawn.select("doc_id", "lang", "text"), run, "doc_id long, lang string, x binary").collect(),
+    rows = sorted(map_arrow(sample, run, "doc_id long, lang string, x binary").collect(),
                   key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["x"]))
     x = [np.frombuffer(r["x"], np.uint8).reshape(-1, WINDOW) for r in rows]
     y = [np.full(len(w), languages.index(r["lang"])) for r, w in zip(rows, x, strict=True)]
@@ -152,10 +148,10 @@ def _balanced(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, n
     return x[pick], y[pick]
 
 
-def identify(docs: DataFrame, per_language: int = 800, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 800, keep: list[str] | None = None, windows_per_text: int = 6) -> DataFrame:
     """doc_id, held_out, lang_pred and score (probability of lang_pred) of every whole text, and the columns in `keep`."""
     keep = keep or []
-    x, y, languages = training_windows(docs, per_language)
+    x, y, languages = training_windows(docs, per_language, windows_per_text)
     held_out = (fold_of("doc_id", 4) == 2).alias("held_out")
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     if not len(x):
@@ -189,7 +185,7 @@ def identify(docs: DataFrame, per_language: int = 800, keep: list[str] | None =
     return docs.select("doc_id", held_out, "text", letters, *keep).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + more)
 
 
-def with_language(docs: DataFrame, least: float = 0.4, per_language: int = 800) -> DataFrame:
-    """Rows of `docs` whose language is found with a probability of at least `least`, with all their columns."""
+def with_language(docs: DataFrame, least: float = 0.0, per_language: int = 800) -> DataFrame:
+    """Rows of `docs` with an identifiable language, found with a probability of at least `least`, with all their columns."""
     found = identify(docs.select("doc_id", "text", "lang", text_key().alias("key")), per_language, ["key"])
     return minus(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id", "key").distinct())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.text import map_arrow, utf8
+from riskspark.llm.text import drawn, map_arrow, utf8
 
 KINDS = ["email", "ip", "card", "phone"]
 # The patterns (possessive repeats where giving back cannot help, so that long runs cost linear time).
@@ -116,7 +116,7 @@ class Graph:
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         self.anchor: list[tuple[int, int]] = []  # skip edges from the first observed occurrence of a run
-        self.longest = 0  # nodes of the largest document
+        self.rounds: list[int] = []  # of each node: the most rounds its document may take
 
     def add(self, doc: int, text: str, base: list[Span], labels: list[int] | None = None) -> None:
         """labels: of the nodes, in place of those that `base` gives."""
@@ -155,7 +155,7 @@ class Graph:
                 alike.setdefault("-" + d[-7:], []).append(node)
         if labels is not None:
             self.label[first:] = labels
-        self.longest = max(self.longest, len(self.place) - first)
+        self.rounds += [100 + 2 * (len(self.place) - first)] * (len(self.place) - first)
         linked = set(self.skip[skips:])
         for nodes in alike.values():
             seen = next((i for i in nodes if self.label[i] > 0), None)
@@ -182,8 +182,8 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def marginals(graph: Graph, model: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int | None = None, damping: float = 0.3, tolerance: float = 1e-6) -> np.ndarray:
     """Label probabilities of all nodes by damped loopy message passing over chain and skip edges, until no message moves by more than `tolerance`.
 
-    A message crosses an edge a round, so `rounds`, the most that are made, follows the nodes of the largest document. Only messages whose source has
-    changed are renewed; observed nodes send constants.
+    A message crosses an edge a round, so the most rounds follow the nodes: 100 and twice the nodes of a message's own document, or `rounds`; where messages
+    swing, a document stops at its own bound, whatever stands beside it. Only messages whose source has changed are renewed; observed nodes send constants.
     """
     weight, chain, skip = model
     phi = graph.unary(weight)
@@ -208,7 +208,8 @@ def marginals(graph: Graph, model: tuple[np.ndarray, np.ndarray, np.ndarray], ro
         message, active = np.zeros((2 * half, phi.shape[1])), np.arange(2 * half)
         message -= np.log(phi.shape[1])
         np.add.at(phi, head, message)
-        for _ in range(100 + 2 * graph.longest if rounds is None else rounds):
+        most = np.array(graph.rounds)[tail] if rounds is None else np.full(len(tail), rounds)
+        for done in range(int(most.max(initial=0))):
             new = _log_sum((phi[tail[active]] - message[back[active]])[:, :, None] + pairs[kind[active]], 1)
             new -= _log_sum(new, 1)[:, None]
             step = (1 - damping) * (new - message[active])
@@ -221,7 +222,7 @@ def marginals(graph: Graph, model: tuple[np.ndarray, np.ndarray, np.ndarray], ro
             changed[head[moved]] = True
             again = changed[tail]
             again[moved] = True
-            active = np.flatnonzero(again)
+            active = np.flatnonzero(again & (most > done + 1))
     return np.exp(phi - _log_sum(phi, 1)[:, None])
 
 
@@ -267,10 +268,7 @@ def _marked(batch: pa.RecordBatch) -> list[tuple[int, str]]:
 def fit(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Potentials from about `sample` documents that hold a node."""
     able = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
-    total = able.count()
-    if not total:
-        return None
-    drawn = able.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < float(min(1.0, sample / total) * (1 << 30)))
+    sample_of = drawn(able, sample, 17)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -287,7 +285,7 @@ def fit(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             keep.append((batch.column(0)[row].as_py(), "".join(parts), labels))
         return pa.record_batch([pa.array([k[0] for k in keep], batch.schema.types[0]), pa.array([k[1] for k in keep], pa.string()), pa.array([k[2] for k in keep], pa.list_(pa.int32()))],
                                names=["doc_id", "runs", "labels"])
-    rows = sorted((tuple(r) for r in map_arrow(drawn, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, runs string, labels array<int>", 1).collect()), key=repr)
+    rows = sorted((tuple(r) for r in map_arrow(sample_of, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, runs string, labels array<int>", 1).collect()), key=repr)
     graph = Graph()
     for k, (_, runs, labels) in enumerate(rows):
         graph.add(k, runs, [], labels)
