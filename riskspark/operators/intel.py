@@ -14,34 +14,38 @@ def place(dept: str = "dept_key"):
     return F.when(F.col(dept) == "", "Institution-Wide").otherwise(F.col(dept))
 
 
-def explain(evaluated: DataFrame, signals: DataFrame) -> DataFrame:
-    """Readable statements per anomaly: what, by how much, when, on which basis, how significant, which evidence."""
-    keys = [*SERIES]
-    ev = signals.where("value IS NOT NULL AND NOT is_duplicate").withColumn(
-        "dept_key", F.coalesce("department", F.lit("")))
-    last = W.partitionBy(*keys).orderBy(F.col("academic_year").desc_nulls_last(), F.desc("seq"))
-    ev = ev.withColumn("_n", F.row_number().over(last)).where("_n <= 3").groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(
-            "academic_year", "seq", F.format_string("[%s] %s = %.2f (confidence %.2f)", "document", "metric_name",
-                                                    "value", "confidence").alias("line")))), lambda x: x["line"])
-        .alias("evidence"))
+def fixed(c, digits: int = 2, sign: str = ""):
+    """A number as text with so many decimals, rounded half up."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.format_string(f"%{sign}.{digits}f", rnd(key9(c), digits))
+
+
+def explanation_evidence(evaluated: DataFrame, signals: DataFrame) -> DataFrame:
+    """The observations behind every anomaly, one row each, with a line that cites document, value and confidence."""
+    line = F.concat(F.lit("["), F.coalesce("document", F.lit("")), F.lit("] "), "metric_name", F.lit(" = "), fixed("value"), F.lit(" (confidence "), fixed("confidence"), F.lit(")"))
+    seen = signals.where("value IS NOT NULL AND NOT is_duplicate").withColumn("dept_key", F.coalesce("department", F.lit("")))
+    return seen.join(evaluated.select(*SERIES), SERIES, "left_semi").select(*SERIES, "academic_year", "seq", line.alias("evidence"))
+
+
+def explain(evaluated: DataFrame) -> DataFrame:
+    """Readable statements per anomaly: what, by how much, when, on which basis, how significant. ``explanation_evidence`` lists the evidence."""
     word = (F.when(F.col("polarity") == "higher_is_better", "declined")
             .when(F.col("polarity") == "lower_is_better", "increased").otherwise("shifted"))
     where = F.when(F.col("dept_key") == "", "").otherwise(F.concat(F.lit(" in "), F.col("dept_key")))
     sfx = (F.when(F.col("unit") == "%", "%").when(F.col("unit").isin("count", "ratio"), "")
            .otherwise(F.concat(F.lit(" "), F.coalesce("unit", F.lit("")))))
-    zs = F.when(F.col("zscore").isNull(), "").otherwise(F.format_string(", z %+.2f", "zscore"))
-    amount = F.when(F.col("comparison_value").isNull(), F.format_string("Observed %.2f%s (single period)", "observed_value", sfx)) \
-        .otherwise(F.format_string("Observed %.2f%s against %.2f%s (%+.1f%%%s)", "observed_value", sfx,
-                                   "comparison_value", sfx, "relative_pct_change", zs))
+    zs = F.when(F.col("zscore").isNull(), "").otherwise(F.concat(F.lit(", z "), fixed("zscore", sign="+")))
+    amount = F.when(F.col("comparison_value").isNull(), F.format_string("Observed %s%s (single period)", fixed("observed_value"), sfx)) \
+        .otherwise(F.format_string("Observed %s%s against %s%s (%s%%%s)", fixed("observed_value"), sfx,
+                                   fixed("comparison_value"), sfx, fixed("relative_pct_change", 1, "+"), zs))
     basis = (F.when(F.col("baseline_mean").isNotNull(),
-                    F.format_string("historical mean %.2f, deviation %.2f", "baseline_mean", "baseline_std"))
+                    F.format_string("historical mean %s, deviation %s", fixed("baseline_mean"), fixed("baseline_std")))
              .when(F.col("prior_value").isNotNull(),
-                   F.format_string("previous period %d = %.2f", "prior_period", "prior_value"))
+                   F.format_string("previous period %d = %s", "prior_period", fixed("prior_value")))
              .otherwise("single observation against domain thresholds"))
     scope = (F.when(F.col("n_affected") == 0, "institution-wide")
              .otherwise(F.format_string("%d department(s)", "n_affected")))
-    return evaluated.join(ev, keys, "left").withColumns({
+    return evaluated.withColumns({
         "what_changed": F.concat(F.col("metric_label"), where, F.lit(" "), word, F.lit(".")),
         "by_how_much": amount,
         "when": F.when(F.col("latest_period").isNull(), "undated").otherwise(
@@ -49,8 +53,8 @@ def explain(evaluated: DataFrame, signals: DataFrame) -> DataFrame:
                 F.col("persistence") >= 2, F.format_string(" (%d consecutive periods)", "persistence")).otherwise(""))),
         "comparison_basis": basis,
         "significance_text": F.format_string(
-            "%s (%.2f, %s): magnitude %.2f, deviation %.2f, coverage %s, materiality %.2f, confirmed by %d signal(s)",
-            "risk_stage", "significance", "severity", "magnitude", "deviation", scope, "materiality",
+            "%s (%s, %s): magnitude %s, deviation %s, coverage %s, materiality %s, confirmed by %d signal(s)",
+            "risk_stage", fixed("significance"), "severity", fixed("magnitude"), fixed("deviation"), scope, fixed("materiality"),
             F.size("confirming")),
     })
 
@@ -79,11 +83,11 @@ def stage_ladder(baselines: DataFrame, evaluated: DataFrame, assessments: DataFr
         .otherwise("Observation"))
 
 
-def cross_signal_findings(evaluated: DataFrame, baselines: DataFrame) -> DataFrame:
+def cross_signal_findings(evaluated: DataFrame, baselines: DataFrame, stand_ins: int | None = None) -> DataFrame:
     """For each anomaly and related domain: the compatible series with their relation, or MISSING_DOMAIN.
 
-    Department compatibility is an equi-join on lookup keys. Where a domain has series but no compatible one,
-    its first three (by metric and department) stand in.
+    Department compatibility is an equi-join on lookup keys. Where a domain has series but no compatible one, all its
+    series stand in (or its first ``stand_ins`` ones by metric and department).
     """
     pk = ["institution_id", "p_domain", "p_metric", "p_dept"]
     asks = evaluated.select(
@@ -98,9 +102,11 @@ def cross_signal_findings(evaluated: DataFrame, baselines: DataFrame) -> DataFra
     rd = ["institution_id", "r_domain"]
     keyed = b.withColumn("lk", F.explode(F.array("r_dept", F.lit("*"))))
     hits = asks.withColumn("lk", F.explode(dept_lookups("p_dept"))).join(keyed, [*rd, "lk"]).drop("lk")
-    first3 = b.withColumn("_n", F.row_number().over(W.partitionBy(*rd).orderBy("r_metric", "r_dept"))).where("_n <= 3")
+    others = b
+    if stand_ins is not None:
+        others = b.withColumn("_n", F.row_number().over(W.partitionBy(*rd).orderBy("r_metric", "r_dept"))).where(F.col("_n") <= stand_ins).drop("_n")
     unmet = asks.join(hits.select(*pk, "r_domain").distinct(), [*pk, "r_domain"], "left_anti")
-    fallback = unmet.join(first3.drop("_n"), rd)
+    fallback = unmet.join(others, rd)
     missing = unmet.join(b.select(*rd).distinct(), rd, "left_anti")
     rel = rnd(key9(pct_change(F.col("comp"), F.col("latest_value"))), 2)
     bad = unfavourable(F.col("latest_value") - F.col("comp"), F.col("polarity"))
@@ -262,12 +268,13 @@ def relationship_changes(series: DataFrame, baselines: DataFrame, limit: int | N
         "previous_relationship", "current_relationship")
 
 
-def epistemic_statements(series: DataFrame, evaluated: DataFrame, findings: DataFrame, cases: DataFrame,
+def epistemic_statements(series: DataFrame, baselines: DataFrame, evaluated: DataFrame, findings: DataFrame, cases: DataFrame,
                          forecasts: DataFrame, contradictions: DataFrame, facts: int | None = None, first_cases: int | None = None
                          ) -> DataFrame:
-    """Statements tagged by how they are known: fact, baseline inference, correlation, hypothesis, forecast, unknown.
+    """Statements tagged by how they are known: fact, analysis, inference, correlation, hypothesis, forecast, recommendation, unknown.
 
-    ``facts`` and ``first_cases`` limit the facts and hypotheses of an institution; by default all are given.
+    Analysis are established baselines and the index itself; unknown are series with too little or contradictory history, related domains
+    without any signal, and contradictions. ``facts`` and ``first_cases`` limit the facts, hypotheses and recommendations of an institution; by default all are given.
     """
     def out(df, kind, text, conf):
         return df.select("institution_id", F.lit(kind).alias("statement_class"), text.alias("statement"),
@@ -278,23 +285,31 @@ def epistemic_statements(series: DataFrame, evaluated: DataFrame, findings: Data
             return df
         return df.withColumn("_n", F.row_number().over(W.partitionBy(*INST).orderBy(*order))).where(
             F.col("_n") <= n).drop("_n")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     name = F.concat_ws(".", "domain", "metric_name")
+    here = say(name, " (", place(), ")")
     latest = top(_last_years(series), facts, "domain", "metric_name", "dept_key")
+    missing = findings.where("relationship = 'MISSING_DOMAIN'").groupBy(
+        "institution_id", F.col("p_domain").alias("domain"), F.col("p_metric").alias("metric_name"), F.col("p_dept").alias("dept_key")).agg(
+        F.array_join(F.array_sort(F.collect_set("r_domain")), ", ").alias("absent"))
+    order = (F.desc("confidence"), "domain", "metric_name", "dept_key")
+    reviews = top(cases, first_cases, *order).join(missing, SERIES, "left")
+    rated = forecasts.where("status = 'SUFFICIENT_EVIDENCE'")
+    status = F.col("baseline_status")
     return (
-        out(latest, "OBSERVED_FACT", F.concat(name, F.lit(" ("), place(), F.lit(") was "), F.col("last_value"),
-                                              F.lit(" in "), F.col("academic_year")), F.lit(0.95))
-        .unionByName(out(evaluated, "STATISTICAL_INFERENCE",
-                         F.concat(name, F.lit(" ("), place(), F.lit(") is staged "), F.col("risk_stage")),
-                         F.col("significance")))
-        .unionByName(out(findings.where("relationship = 'CORROBORATING_CHANGE'"), "CORRELATION",
-                         F.concat_ws(" ", F.concat_ws(".", "p_domain", "p_metric"), F.lit("moves together with"),
-                                     F.concat_ws(".", "r_domain", "r_metric")), F.lit(0.6)).distinct())
-        .unionByName(out(top(cases.where("kind = 'anomaly'"), first_cases, F.desc("confidence"), "domain", "metric_name", "dept_key"),
-                         "HYPOTHESIS", F.concat(F.lit("possible factors behind "), name, F.lit(" at "), place()),
-                         F.col("confidence")))
-        .unionByName(out(forecasts.where("status = 'SUFFICIENT_EVIDENCE'"), "FORECAST",
-                         F.concat(F.lit("index expected at "), F.col("terminal_cri"), F.lit(" after three years")),
-                         F.col("confidence")))
-        .unionByName(out(contradictions, "UNKNOWN", F.concat(F.lit("sources disagree on "), name, F.lit(" ("), place(),
-                                                             F.lit(") in "), F.col("period")), F.lit(0.55)))
+        out(latest, "OBSERVED_FACT", say(here, " was ", fixed("last_value"), " in ", F.col("academic_year").cast("string")), F.lit(0.95))
+        .unionByName(out(baselines.where(status == "ESTABLISHED"), "ANALYSIS", say(
+            here, " has a baseline of ", fixed("baseline_mean"), " with deviation ", fixed("baseline_std"), " over ", F.col("n_years").cast("string"), " years"), F.lit(0.95)))
+        .unionByName(out(rated, "ANALYSIS", say("composite index computed at ", fixed("current_cri", 4)), F.col("confidence")))
+        .unionByName(out(evaluated, "STATISTICAL_INFERENCE", say(here, " is staged ", F.col("risk_stage")), F.col("significance")))
+        .unionByName(out(findings.where("relationship = 'CORROBORATING_CHANGE'"), "CORRELATION", say(
+            F.concat_ws(".", "p_domain", "p_metric"), " moves together with ", F.concat_ws(".", "r_domain", "r_metric")), F.lit(0.6)).distinct())
+        .unionByName(out(top(cases.where("kind = 'anomaly'"), first_cases, *order), "HYPOTHESIS", say(
+            "possible factors behind ", name, " at ", place()), F.col("confidence")))
+        .unionByName(out(rated, "FORECAST", say("index expected at ", fixed("terminal_cri", 4), " after three years"), F.col("confidence")))
+        .unionByName(out(reviews, "RECOMMENDATION", say("review ", here, ", staged ", F.col("risk_stage"), F.when(F.col("absent").isNull(), ", and watch related domains").otherwise(
+            say(", and collect evidence on ", F.col("absent")))), F.col("confidence")))
+        .unionByName(out(baselines.where(status != "ESTABLISHED"), "UNKNOWN", say("no established baseline for ", here, ": ", status), F.lit(1.0)))
+        .unionByName(out(missing, "UNKNOWN", say("no signals on ", F.col("absent"), " to judge ", here), F.lit(1.0)))
+        .unionByName(out(contradictions, "UNKNOWN", say("sources disagree on ", here, " in ", F.col("period")), F.lit(1.0)))
     )

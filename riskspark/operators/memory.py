@@ -7,8 +7,8 @@ from riskspark.functions.num import key9, rnd
 
 INST = ["institution_id"]
 # Memory category of each statement class, and the hypothesis status a verdict gives.
-CATEGORY = {"OBSERVED_FACT": "observed_fact", "STATISTICAL_INFERENCE": "inference", "CORRELATION": "analysis",
-            "HYPOTHESIS": "inference", "FORECAST": "prediction", "UNKNOWN": "unknown"}
+CATEGORY = {"OBSERVED_FACT": "observed_fact", "STATISTICAL_INFERENCE": "inference", "CORRELATION": "analysis", "ANALYSIS": "analysis",
+            "HYPOTHESIS": "inference", "FORECAST": "prediction", "RECOMMENDATION": "recommendation", "UNKNOWN": "unknown"}
 VERDICTS = {"Confirmed": "VALIDATED", "Incorrect": "REJECTED", "Insufficient Evidence": "INSUFFICIENT_EVIDENCE"}
 
 

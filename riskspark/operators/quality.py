@@ -8,22 +8,18 @@ from riskspark.functions.num import key9, rnd
 BUCKET = ["institution_id", "department", "program", "period", "metric_name"]
 
 
-def undated_signals(signals: DataFrame, refs: int = 5) -> DataFrame:
-    """Per institution: how many signals carry neither period nor year, with the first few locations.
-
-    The smallest references are kept by repeated minimum over shrinking slices (a few per slice, then a few per
-    institution), so no step ever gathers a whole group.
-    """
-    u = signals.where("time_period IS NULL AND academic_year IS NULL")
-    smallest = lambda c: F.slice(F.array_sort(c), 1, refs)
-    part = u.groupBy("institution_id", F.floor(F.col("seq") / 1024).alias("_a"), F.floor(F.col("seq") / 1048576).alias("_b")).agg(
-        F.count("*").alias("_n"), smallest(F.collect_list(F.struct("seq", "location"))).alias("_r"))
-    part = part.groupBy("institution_id", "_b").agg(
-        F.sum("_n").alias("_n"), smallest(F.flatten(F.collect_list("_r"))).alias("_r"))
-    return part.groupBy("institution_id").agg(
-        F.sum("_n").alias("n_undated"), smallest(F.flatten(F.collect_list("_r"))).alias("_r")).select(
-        "institution_id", F.lit("missing_periods").alias("issue_type"), F.lit("MEDIUM").alias("severity"), "n_undated",
-        F.transform("_r", lambda x: x["location"]).alias("refs"))
+UNDATED = "time_period IS NULL AND academic_year IS NULL"
+
+
+def undated_signals(signals: DataFrame) -> DataFrame:
+    """Per institution: how many signals carry neither period nor year. ``undated_locations`` lists all of them."""
+    return signals.where(UNDATED).groupBy("institution_id").agg(F.count("*").alias("n_undated")).select(
+        "institution_id", F.lit("missing_periods").alias("issue_type"), F.lit("MEDIUM").alias("severity"), "n_undated")
+
+
+def undated_locations(signals: DataFrame) -> DataFrame:
+    """Where the undated signals stand: one row each, with the number that orders them."""
+    return signals.where(UNDATED).select("institution_id", "seq", "location")
 
 
 def year_gaps(signals: DataFrame) -> DataFrame:

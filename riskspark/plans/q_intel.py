@@ -193,12 +193,37 @@ def b16(v: Views):
     return ev.select(*SKL, "significance", "risk_stage", "severity")
 
 
-@query("b17_explanations")
+def _fixed(x: str, digits: int = 2, sign: str = "") -> str:
+    return f"printf('%{sign}.{digits}f', {r(r9(x), digits)})"
+
+
+_sfx = "CASE WHEN unit = '%' THEN '%' WHEN unit IN ('count', 'ratio') THEN '' ELSE ' ' || coalesce(unit, '') END"
+
+
+@query("b17_explanations", f"""
+SELECT {SK}, metric_label || CASE WHEN dept_key = '' THEN '' ELSE ' in ' || dept_key END || ' ' ||
+    CASE polarity WHEN 'higher_is_better' THEN 'declined' WHEN 'lower_is_better' THEN 'increased' ELSE 'shifted' END || '.' AS what_changed,
+  CASE WHEN comparison_value IS NULL THEN 'Observed ' || {_fixed('observed_value')} || {_sfx} || ' (single period)'
+    ELSE 'Observed ' || {_fixed('observed_value')} || {_sfx} || ' against ' || {_fixed('comparison_value')} || {_sfx} || ' (' || {_fixed('relative_pct_change', 1, '+')} || '%' ||
+      CASE WHEN zscore IS NULL THEN '' ELSE ', z ' || {_fixed('zscore', 2, '+')} END || ')' END AS by_how_much,
+  CASE WHEN latest_period IS NULL THEN 'undated' ELSE 'AY ' || latest_period || CASE WHEN persistence >= 2 THEN ' (' || persistence || ' consecutive periods)' ELSE '' END END AS "when",
+  CASE WHEN baseline_mean IS NOT NULL THEN 'historical mean ' || {_fixed('baseline_mean')} || ', deviation ' || {_fixed('baseline_std')}
+    WHEN prior_value IS NOT NULL THEN 'previous period ' || prior_period || ' = ' || {_fixed('prior_value')} ELSE 'single observation against domain thresholds' END AS comparison_basis,
+  risk_stage || ' (' || {_fixed('significance')} || ', ' || severity || '): magnitude ' || {_fixed('magnitude')} || ', deviation ' || {_fixed('deviation')} || ', coverage ' ||
+    CASE WHEN dept_key = '' THEN 'institution-wide' ELSE coalesce(hit, 0) || ' department(s)' END || ', materiality ' || {_fixed('materiality')} || ', confirmed by ' ||
+    CASE WHEN confirming = '' THEN 0 ELSE len(string_split(confirming, ';')) END || ' signal(s)' AS significance_text
+FROM o_eval""")
 def b17(v: Views):
     _, _, ev = evaluated(v)
-    return I.explain(ev, unified(v)).select(
-        *SKL, "what_changed", "by_how_much", "when", "comparison_basis", "significance_text",
-        F.array_join("evidence", " | ").alias("evidence"))
+    return I.explain(ev).select(*SKL, "what_changed", "by_how_much", "when", "comparison_basis", "significance_text")
+
+
+@query("b17_explanation_evidence", f"""
+SELECT {SK}, academic_year, seq, '[' || coalesce(document, '') || '] ' || metric_name || ' = ' || {_fixed('value')} || ' (confidence ' || {_fixed('confidence')} || ')' AS evidence
+FROM (SELECT *, coalesce(department, '') AS dept_key FROM o_uni WHERE value IS NOT NULL AND NOT is_duplicate) SEMI JOIN o_eval USING ({SK})""")
+def b17_evidence(v: Views):
+    _, _, ev = evaluated(v)
+    return I.explanation_evidence(ev, unified(v))
 
 
 clone("o_assess", "nat_", {"w_adm": "v_adm", "w_plc": "v_plc", "w_cet": "v_cet", "w_sig": "v_sig"})
@@ -229,7 +254,7 @@ b AS (SELECT b.*, e.domain IS NOT NULL AS is_anomaly, coalesce(baseline_mean, pr
 hit AS (SELECT ask.*, b.* EXCLUDE (institution_id) FROM ask JOIN b ON ask.institution_id = b.institution_id AND b.domain = r_domain
   AND (b.dept_key = '' OR p_dept = '' OR b.dept_key = p_dept)),
 unmet AS (SELECT * FROM ask ANTI JOIN hit USING (institution_id, p_domain, p_metric, p_dept, r_domain)),
-u AS (SELECT * FROM hit UNION ALL SELECT unmet.*, b.* EXCLUDE (institution_id) FROM unmet JOIN b ON unmet.institution_id = b.institution_id AND b.domain = r_domain AND rn <= 3),
+u AS (SELECT * FROM hit UNION ALL SELECT unmet.*, b.* EXCLUDE (institution_id) FROM unmet JOIN b ON unmet.institution_id = b.institution_id AND b.domain = r_domain),
 q AS (SELECT *, {r(r9(pct_sql('comp', 'latest_value')), 2)} AS rel, coalesce(abs(latest_value-comp) >= 1e-9 AND CASE polarity WHEN 'higher_is_better' THEN latest_value < comp
    WHEN 'lower_is_better' THEN latest_value > comp ELSE false END, false) AS bad FROM u)
 SELECT institution_id, p_domain, p_metric, p_dept, r_domain, metric_name AS r_metric, dept_key AS r_dept, rel AS relative_pct_change,
@@ -260,12 +285,15 @@ _conf20 = clamp("""0.78::double + CASE baseline_status WHEN 'ESTABLISHED' THEN 0
   + CASE WHEN n_related > 0 THEN 0.05 ELSE 0.0 END::double - least(0.12::double, 0.03::double*n_missing) - CASE WHEN has_contradictions THEN 0.20 ELSE 0.0 END::double""", "0.15", "0.98")
 
 
-@query("b20_investigations", f"""
+cte("o_inv", f"""
 WITH f AS (SELECT institution_id, p_domain AS domain, p_metric AS metric_name, p_dept AS dept_key, count(*) FILTER (relationship <> 'MISSING_DOMAIN') AS n_related,
   count(*) FILTER (relationship = 'MISSING_DOMAIN') AS n_missing FROM o_find GROUP BY 1, 2, 3, 4),
 j AS (SELECT e.* , coalesce(n_related, 0) AS n_related, coalesce(n_missing, 0) AS n_missing FROM o_eval e LEFT JOIN f USING ({SK}))
 SELECT {SK}, 'anomaly' AS kind, risk_stage, {r(r9(_conf20), 2)} AS confidence, n_related, n_missing FROM j
 UNION ALL SELECT {SK}, 'contradiction', 'Anomaly', 0.55::double, 0, 0 FROM o_contra ANTI JOIN o_eval USING ({SK})""")
+
+
+@query("b20_investigations", "SELECT * FROM o_inv")
 def b20(v: Views):
     _, base, ev = evaluated(v)
     return I.investigations(ev, I.cross_signal_findings(ev, base), I.surface_contradictions(unified(v)))
@@ -438,10 +466,31 @@ def statements(v: Views):
     contra = stage(I.surface_contradictions(unified(v)))
     finds = stage(I.cross_signal_findings(ev, base))
     a, cov, s = _nations(v)
-    return I.epistemic_statements(series, ev, finds, I.investigations(ev, finds, contra),
+    return I.epistemic_statements(series, base, ev, finds, I.investigations(ev, finds, contra),
                                   T.explainable_forecast(a, cov, s), contra)
 
 
-@query("b26_epistemic_statements")
+_name = "domain || '.' || metric_name"
+_place = "CASE WHEN dept_key = '' THEN 'Institution-Wide' ELSE dept_key END"
+_here = f"{_name} || ' (' || {_place} || ')'"
+cte("o_stmt", f"""
+WITH miss AS (SELECT institution_id, p_domain AS domain, p_metric AS metric_name, p_dept AS dept_key, string_agg(DISTINCT r_domain, ', ' ORDER BY r_domain) AS absent
+  FROM o_find WHERE relationship = 'MISSING_DOMAIN' GROUP BY 1, 2, 3, 4),
+rated AS (SELECT * FROM o_fc WHERE status = 'SUFFICIENT_EVIDENCE')
+SELECT institution_id, 'OBSERVED_FACT' AS statement_class, {_here} || ' was ' || {_fixed('last_value')} || ' in ' || academic_year AS statement, 0.95::double AS confidence FROM o_last
+UNION ALL SELECT institution_id, 'ANALYSIS', {_here} || ' has a baseline of ' || {_fixed('baseline_mean')} || ' with deviation ' || {_fixed('baseline_std')} || ' over ' || n_years || ' years', 0.95 FROM o_base WHERE baseline_status = 'ESTABLISHED'
+UNION ALL SELECT institution_id, 'ANALYSIS', 'composite index computed at ' || {_fixed('current_cri', 4)}, confidence FROM rated
+UNION ALL SELECT institution_id, 'STATISTICAL_INFERENCE', {_here} || ' is staged ' || risk_stage, significance FROM o_eval
+UNION ALL SELECT DISTINCT institution_id, 'CORRELATION', p_domain || '.' || p_metric || ' moves together with ' || r_domain || '.' || r_metric, 0.6 FROM o_find WHERE relationship = 'CORROBORATING_CHANGE'
+UNION ALL SELECT institution_id, 'HYPOTHESIS', 'possible factors behind ' || {_name} || ' at ' || {_place}, confidence FROM o_inv WHERE kind = 'anomaly'
+UNION ALL SELECT institution_id, 'FORECAST', 'index expected at ' || {_fixed('terminal_cri', 4)} || ' after three years', confidence FROM rated
+UNION ALL SELECT institution_id, 'RECOMMENDATION', 'review ' || {_here} || ', staged ' || risk_stage || CASE WHEN absent IS NULL THEN ', and watch related domains' ELSE ', and collect evidence on ' || absent END, confidence
+  FROM o_inv LEFT JOIN miss USING ({SK})
+UNION ALL SELECT institution_id, 'UNKNOWN', 'no established baseline for ' || {_here} || ': ' || baseline_status, 1.0 FROM o_base WHERE baseline_status <> 'ESTABLISHED'
+UNION ALL SELECT institution_id, 'UNKNOWN', 'no signals on ' || absent || ' to judge ' || {_here}, 1.0 FROM miss
+UNION ALL SELECT institution_id, 'UNKNOWN', 'sources disagree on ' || {_here} || ' in ' || period, 1.0 FROM o_contra""")
+
+
+@query("b26_epistemic_statements", "SELECT * FROM o_stmt")
 def b26(v: Views):
     return statements(v)
