@@ -274,11 +274,11 @@ def epistemic_statements(series: DataFrame, baselines: DataFrame, evaluated: Dat
     """Statements tagged by how they are known: fact, analysis, inference, correlation, hypothesis, forecast, recommendation, unknown.
 
     Analysis are established baselines and the index itself; unknown are series with too little or contradictory history, related domains
-    without any signal, and contradictions. ``facts`` and ``first_cases`` limit the facts, hypotheses and recommendations of an institution; by default all are given.
+    without any signal, and contradictions. Domain, metric and department tell the series that a statement is about. ``facts`` and ``first_cases`` limit the facts, hypotheses and recommendations of an institution; by default all are given.
     """
     def out(df, kind, text, conf):
-        return df.select("institution_id", F.lit(kind).alias("statement_class"), text.alias("statement"),
-                         conf.cast("double").alias("confidence"))
+        about = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in SERIES]
+        return df.select(*about, F.lit(kind).alias("statement_class"), text.alias("statement"), conf.cast("double").alias("confidence"))
 
     def top(df, n, *order):
         if n is None:
@@ -302,7 +302,7 @@ def epistemic_statements(series: DataFrame, baselines: DataFrame, evaluated: Dat
             here, " has a baseline of ", fixed("baseline_mean"), " with deviation ", fixed("baseline_std"), " over ", F.col("n_years").cast("string"), " years"), F.lit(0.95)))
         .unionByName(out(rated, "ANALYSIS", say("composite index computed at ", fixed("current_cri", 4)), F.col("confidence")))
         .unionByName(out(evaluated, "STATISTICAL_INFERENCE", say(here, " is staged ", F.col("risk_stage")), F.col("significance")))
-        .unionByName(out(findings.where("relationship = 'CORROBORATING_CHANGE'"), "CORRELATION", say(
+        .unionByName(out(findings.where("relationship = 'CORROBORATING_CHANGE'").withColumns({"domain": F.col("p_domain"), "metric_name": F.col("p_metric"), "dept_key": F.col("p_dept")}), "CORRELATION", say(
             F.concat_ws(".", "p_domain", "p_metric"), " moves together with ", F.concat_ws(".", "r_domain", "r_metric")), F.lit(0.6)).distinct())
         .unionByName(out(top(cases.where("kind = 'anomaly'"), first_cases, *order), "HYPOTHESIS", say(
             "possible factors behind ", name, " at ", place()), F.col("confidence")))

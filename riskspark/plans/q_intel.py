@@ -477,18 +477,18 @@ cte("o_stmt", f"""
 WITH miss AS (SELECT institution_id, p_domain AS domain, p_metric AS metric_name, p_dept AS dept_key, string_agg(DISTINCT r_domain, ', ' ORDER BY r_domain) AS absent
   FROM o_find WHERE relationship = 'MISSING_DOMAIN' GROUP BY 1, 2, 3, 4),
 rated AS (SELECT * FROM o_fc WHERE status = 'SUFFICIENT_EVIDENCE')
-SELECT institution_id, 'OBSERVED_FACT' AS statement_class, {_here} || ' was ' || {_fixed('last_value')} || ' in ' || academic_year AS statement, 0.95::double AS confidence FROM o_last
-UNION ALL SELECT institution_id, 'ANALYSIS', {_here} || ' has a baseline of ' || {_fixed('baseline_mean')} || ' with deviation ' || {_fixed('baseline_std')} || ' over ' || n_years || ' years', 0.95 FROM o_base WHERE baseline_status = 'ESTABLISHED'
-UNION ALL SELECT institution_id, 'ANALYSIS', 'composite index computed at ' || {_fixed('current_cri', 4)}, confidence FROM rated
-UNION ALL SELECT institution_id, 'STATISTICAL_INFERENCE', {_here} || ' is staged ' || risk_stage, significance FROM o_eval
-UNION ALL SELECT DISTINCT institution_id, 'CORRELATION', p_domain || '.' || p_metric || ' moves together with ' || r_domain || '.' || r_metric, 0.6 FROM o_find WHERE relationship = 'CORROBORATING_CHANGE'
-UNION ALL SELECT institution_id, 'HYPOTHESIS', 'possible factors behind ' || {_name} || ' at ' || {_place}, confidence FROM o_inv WHERE kind = 'anomaly'
-UNION ALL SELECT institution_id, 'FORECAST', 'index expected at ' || {_fixed('terminal_cri', 4)} || ' after three years', confidence FROM rated
-UNION ALL SELECT institution_id, 'RECOMMENDATION', 'review ' || {_here} || ', staged ' || risk_stage || CASE WHEN absent IS NULL THEN ', and watch related domains' ELSE ', and collect evidence on ' || absent END, confidence
+SELECT {SK}, 'OBSERVED_FACT' AS statement_class, {_here} || ' was ' || {_fixed('last_value')} || ' in ' || academic_year AS statement, 0.95::double AS confidence FROM o_last
+UNION ALL SELECT {SK}, 'ANALYSIS', {_here} || ' has a baseline of ' || {_fixed('baseline_mean')} || ' with deviation ' || {_fixed('baseline_std')} || ' over ' || n_years || ' years', 0.95 FROM o_base WHERE baseline_status = 'ESTABLISHED'
+UNION ALL SELECT institution_id, NULL, NULL, NULL, 'ANALYSIS', 'composite index computed at ' || {_fixed('current_cri', 4)}, confidence FROM rated
+UNION ALL SELECT {SK}, 'STATISTICAL_INFERENCE', {_here} || ' is staged ' || risk_stage, significance FROM o_eval
+UNION ALL SELECT DISTINCT institution_id, p_domain, p_metric, p_dept, 'CORRELATION', p_domain || '.' || p_metric || ' moves together with ' || r_domain || '.' || r_metric, 0.6 FROM o_find WHERE relationship = 'CORROBORATING_CHANGE'
+UNION ALL SELECT {SK}, 'HYPOTHESIS', 'possible factors behind ' || {_name} || ' at ' || {_place}, confidence FROM o_inv WHERE kind = 'anomaly'
+UNION ALL SELECT institution_id, NULL, NULL, NULL, 'FORECAST', 'index expected at ' || {_fixed('terminal_cri', 4)} || ' after three years', confidence FROM rated
+UNION ALL SELECT {SK}, 'RECOMMENDATION', 'review ' || {_here} || ', staged ' || risk_stage || CASE WHEN absent IS NULL THEN ', and watch related domains' ELSE ', and collect evidence on ' || absent END, confidence
   FROM o_inv LEFT JOIN miss USING ({SK})
-UNION ALL SELECT institution_id, 'UNKNOWN', 'no established baseline for ' || {_here} || ': ' || baseline_status, 1.0 FROM o_base WHERE baseline_status <> 'ESTABLISHED'
-UNION ALL SELECT institution_id, 'UNKNOWN', 'no signals on ' || absent || ' to judge ' || {_here}, 1.0 FROM miss
-UNION ALL SELECT institution_id, 'UNKNOWN', 'sources disagree on ' || {_here} || ' in ' || period, 1.0 FROM o_contra""")
+UNION ALL SELECT {SK}, 'UNKNOWN', 'no established baseline for ' || {_here} || ': ' || baseline_status, 1.0 FROM o_base WHERE baseline_status <> 'ESTABLISHED'
+UNION ALL SELECT {SK}, 'UNKNOWN', 'no signals on ' || absent || ' to judge ' || {_here}, 1.0 FROM miss
+UNION ALL SELECT {SK}, 'UNKNOWN', 'sources disagree on ' || {_here} || ' in ' || period, 1.0 FROM o_contra""")
 
 
 @query("b26_epistemic_statements", "SELECT * FROM o_stmt")

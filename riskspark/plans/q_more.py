@@ -548,21 +548,55 @@ def _feedback(v: Views, mem):
     j = lab.join(inf, lab.feedback_id == inf.k, "left").withColumn("institution_id", F.coalesce("institution_id", F.lit("UNASSIGNED")))
     return j.select("feedback_id", F.coalesce("memory_id", F.concat(F.lit("finding_"), F.col("feedback_id"))).alias("target_id"), "institution_id",
                     F.when(F.col("quality") == 1, "Confirmed").when(F.col("toxic") == 1, "Incorrect").otherwise("Insufficient Evidence").alias("verdict"),
-                    F.lit("reviewed").alias("comment"))
-
-
-@query("t08_memory_entries")
+                    F.when(F.col("feedback_id") % 5 != 0, F.concat(F.lit("reviewed against document "), F.col("feedback_id"))).alias("comment"))
+
+
+_cat = " ".join(f"WHEN '{k}' THEN '{c}'" for k, c in ME.CATEGORY.items())
+cte("o_mem", f"""
+SELECT memory_id, arg_max(institution_id, confidence) AS institution_id, any_value(domain) AS domain, any_value(metric_name) AS metric_name, any_value(dept_key) AS dept_key,
+  any_value(category) AS category, any_value(statement) AS statement, any_value(payload) AS payload, max(confidence) AS confidence
+FROM (SELECT 'mem_' || sha256(concat_ws('|', institution_id, coalesce(domain, ''), coalesce(metric_name, ''), coalesce(dept_key, ''), statement_class, statement))[1:16] AS memory_id,
+    institution_id, domain, metric_name, dept_key, CASE statement_class {_cat} END AS category, statement, '{{"statement_class":"' || statement_class || '"}}' AS payload, confidence FROM o_stmt
+  UNION ALL SELECT 'out_' || institution_id || '_' || target_year || '_' || metric_name, institution_id, NULL, metric_name, NULL, 'outcome',
+    metric_name || ' in ' || target_year || ': predicted ' || {QI._fixed('predicted_value', 4)} || ', observed ' || {QI._fixed('observed_value', 4)},
+    '{{"target_year":' || target_year || ',"within_band":' || within_band || '}}', accuracy FROM ({QI._outc.format('o_hind')}))
+GROUP BY memory_id""")
+cte("o_fb", """
+WITH inf AS (SELECT ('0x' || sha256(memory_id)[1:8])::bigint % 1000 AS k, min(struct_pack(memory_id, institution_id)) AS m FROM o_mem WHERE category = 'inference' GROUP BY 1)
+SELECT doc_id AS feedback_id, coalesce(m.memory_id, 'finding_' || doc_id) AS target_id, coalesce(m.institution_id, 'UNASSIGNED') AS institution_id,
+  CASE WHEN quality = 1 THEN 'Confirmed' WHEN toxic = 1 THEN 'Incorrect' ELSE 'Insufficient Evidence' END AS verdict, CASE WHEN doc_id % 5 <> 0 THEN 'reviewed against document ' || doc_id END AS comment
+FROM labels LEFT JOIN inf ON k = doc_id""")
+
+
+@query("t08_memory_entries", "SELECT * FROM o_mem")
 def t08(v: Views):
     return _memory(v)
 
 
-@query("t09_memory_view")
+@query("t08_memory_references", """
+SELECT memory_id, document, academic_year, seq FROM o_mem JOIN (SELECT institution_id, domain, metric_name, coalesce(department, '') AS dept_key, document, academic_year, seq FROM o_uni
+  WHERE value IS NOT NULL AND NOT is_duplicate) USING (institution_id, domain, metric_name, dept_key)""")
+def t08_references(v: Views):
+    return ME.memory_references(_memory(v), QI.unified(v))
+
+
+_verdict = " ".join(f"WHEN '{k}' THEN '{s}'" for k, s in ME.VERDICTS.items())
+
+
+@query("t09_memory_view", f"""
+WITH last AS (SELECT target_id, arg_max(struct_pack(verdict, comment, institution_id), feedback_id) AS f FROM o_fb GROUP BY 1)
+SELECT memory_id, institution_id, category, statement, CASE WHEN category <> 'inference' THEN 'RECORDED' ELSE coalesce(CASE f.verdict {_verdict} END, 'UNDER_REVIEW') END AS status
+FROM o_mem LEFT JOIN last ON target_id = memory_id AND category = 'inference'
+UNION ALL SELECT target_id, f.institution_id, 'inference', coalesce(f.comment, 'Reviewed finding ' || target_id), coalesce(CASE f.verdict {_verdict} END, 'INSUFFICIENT_EVIDENCE')
+FROM last WHERE target_id NOT IN (SELECT memory_id FROM o_mem WHERE category = 'inference')""")
 def t09(v: Views):
     mem = _memory(v)
     return ME.memory_view(mem, _feedback(v, mem))
 
 
-@query("t10_append_feedback")
+@query("t10_append_feedback", f"""
+SELECT institution_id, category, count(*) AS n_entries, {r(r9('avg(confidence)'), 3)} AS mean_confidence
+FROM (SELECT institution_id, category, confidence FROM o_mem UNION ALL SELECT institution_id, 'user_feedback', 0.5 FROM o_fb) GROUP BY 1, 2""")
 def t10(v: Views):
     mem = _memory(v)
     return ME.category_counts(ME.append_feedback(mem, _feedback(v, mem)))
