@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.text import chunks, drawn, fold_of, map_arrow, minus, text_key, utf8
+from riskspark.llm.text import chunks, drawn, fold_of, map_arrow, minus, once, text_key, utf8
 
 #: Bytes of a window; filter widths; filters of each width; numbers of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 12
@@ -125,7 +125,7 @@ def training_windows(docs: DataFrame, per_language: int, windows_per_text: int =
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not languages:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    sample = drawn(known.select("doc_id", "lang", "text"), per_language, 41, "lang")
+    sample = drawn(known.select("doc_id", "lang", "text"), per_language, 41, "lang").select("doc_id", "lang", "text", "__k")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = utf8(batch.column(2))
@@ -133,9 +133,9 @@ def training_windows(docs: DataFrame, per_language: int, windows_per_text: int =
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             w = windows(data, a, b)
             out.append(w[np.unique(np.linspace(0, len(w) - 1, windows_per_text).astype(int))].tobytes())
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "lang", "x"])
-    rows = sorted(map_arrow(sample, run, "doc_id long, lang string, x binary").collect(),
-                  key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["x"]))
+        return pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.binary())], names=["doc_id", "lang", "__k", "x"])
+    found = once(map_arrow(sample, run, "doc_id long, lang string, __k long, x binary"), int(1.5 * per_language * len(languages)) + 10)
+    rows = sorted(found.collect(), key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["x"]))
     x = [np.frombuffer(r["x"], np.uint8).reshape(-1, WINDOW) for r in rows]
     y = [np.full(len(w), languages.index(r["lang"])) for r, w in zip(rows, x, strict=True)]
     return (np.concatenate(x), np.concatenate(y), languages) if x else (np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [])

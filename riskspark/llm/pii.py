@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.text import drawn, map_arrow, utf8
+from riskspark.llm.text import drawn, map_arrow, once, utf8
 
 KINDS = ["email", "ip", "card", "phone"]
 # The patterns (possessive repeats where giving back cannot help, so that long runs cost linear time).
@@ -268,7 +268,7 @@ def _marked(batch: pa.RecordBatch) -> list[tuple[int, str]]:
 def fit(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Potentials from about `sample` documents that hold a node."""
     able = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
-    sample_of = drawn(able, sample, 17)
+    sample_of = drawn(able, sample, 17)  # doc_id, text, __k
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -282,10 +282,11 @@ def fit(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
                 parts.append(("" if last is None else " " if s == last + 1 else "  ") + text[s:e])
                 labels.append(kind + 1)
                 last = e
-            keep.append((batch.column(0)[row].as_py(), "".join(parts), labels))
-        return pa.record_batch([pa.array([k[0] for k in keep], batch.schema.types[0]), pa.array([k[1] for k in keep], pa.string()), pa.array([k[2] for k in keep], pa.list_(pa.int32()))],
-                               names=["doc_id", "runs", "labels"])
-    rows = sorted((tuple(r) for r in map_arrow(sample_of, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, runs string, labels array<int>", 1).collect()), key=repr)
+            keep.append((batch.column(2)[row].as_py(), "".join(parts), labels))
+        return pa.record_batch([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.string()), pa.array([k[2] for k in keep], pa.list_(pa.int32()))],
+                               names=["__k", "runs", "labels"])
+    found = once(map_arrow(sample_of, run, "__k long, runs string, labels array<int>", 1), int(1.5 * sample) + 10)
+    rows = sorted((tuple(r) for r in found.collect()), key=repr)
     graph = Graph()
     for k, (_, runs, labels) in enumerate(rows):
         graph.add(k, runs, [], labels)

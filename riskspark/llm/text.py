@@ -29,18 +29,22 @@ def text_key(column: str = "text") -> Column:
 
 
 def drawn(docs: DataFrame, want: int, seed: int, by: str | None = None) -> DataFrame:
-    """About `want` rows (of every value of `by`), drawn by a hash of id and text; at most 1.5 times as many in all.
+    """About `want` different rows (of every value of `by`), drawn by a hash `__k` of id and text; rows equal in both are drawn together.
 
-    Rows that share an id, or have none, are drawn one by one, since their texts differ. Rows equal in id and text count once: one row that
-    makes up most of a table neither fills the sample nor hides the others.
+    Rows that share an id, or have none, are drawn one by one, since their texts differ. The share follows the number of different
+    rows, so that one row that makes up most of a table does not hide the others. `once` then keeps one of equal rows.
     """
     group = [] if by is None else [by]
     part = lambda n: int(min(1.0, want / max(n, 1)) * (1 << 30))
     keyed = docs.withColumn("__k", F.xxhash64("doc_id", "text", F.lit(seed)))
     counts = keyed.groupBy(*group).agg(F.approx_count_distinct("__k", 0.02).alias("n")).collect()
     limit = F.lit(part(counts[0]["n"])) if by is None else F.coalesce(*[F.when(F.col(by) == r[by], part(r["n"])) for r in counts if r[by] is not None], F.lit(0))
-    rows = keyed.where(F.pmod("__k", F.lit(1 << 30)) < limit).groupBy(*group, "__k").agg(*[F.first(c).alias(c) for c in docs.columns if c != by])
-    return rows.orderBy("__k", *group).limit(int(1.5 * want * max(1, len(counts))) + 10).select(*docs.columns)
+    return keyed.where(F.pmod("__k", F.lit(1 << 30)) < limit)
+
+
+def once(rows: DataFrame, most: int) -> DataFrame:
+    """One row for every `__k`, and of them at most the `most` with the smallest keys."""
+    return rows.groupBy("__k").agg(*[F.first(c).alias(c) for c in rows.columns if c != "__k"]).orderBy("__k").limit(most)
 
 
 def minus(docs: DataFrame, rows: DataFrame, how: str = "left_anti") -> DataFrame:

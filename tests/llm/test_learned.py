@@ -193,7 +193,7 @@ def test_pii_odd_rows(spark, odd_docs, no_docs):
 @pytest.mark.parametrize("ids", ["null", "one", "third", "equal"])
 def test_draws_do_not_depend_on_ids(spark, ids):
     """Null ids, one id for all, one id for a third, and one equal row that makes up most of the table: the operators still learn, from a bounded sample."""
-    from riskspark.llm.text import drawn
+    from riskspark.llm.text import drawn, once
     word = {"en": "the house stands near the river and they were walking home", "de": "das haus steht nahe dem fluss und wir gehen gerne nach hause"}
     rows = [(i, f"{w} {i} {w[i % 30:]} call +49 30 1234{i:04d} or mail a{i}@b.org", k) for i in range(300) for k, w in word.items()]
     give = {"null": lambda i: None, "one": lambda i: 192, "third": lambda i: 192 if i % 3 else i, "equal": lambda i: i}[ids]
@@ -202,8 +202,8 @@ def test_draws_do_not_depend_on_ids(spark, ids):
         rows += [(5000, "the very same row of text, again and again", "en")] * 3000
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     for want in (20, 100):
-        got = drawn(df, want, 41, "lang").groupBy("lang").count().collect()
-        assert {r["lang"] for r in got} == {"de", "en"} and sum(r["count"] for r in got) <= 3 * want + 10 and all(r["count"] > want // 3 for r in got)
+        got = once(drawn(df, want, 41, "lang"), 3 * want).groupBy("lang").count().collect()
+        assert {r["lang"] for r in got} == {"de", "en"} and sum(r["count"] for r in got) <= 3 * want and all(r["count"] > want // 3 for r in got)
     x, y, languages = langid.training_windows(df, 50, 2)
     assert languages == ["de", "en"] and len(x) <= 2 * 160 and min(np.bincount(y, minlength=2)) > 10
     assert pii.fit(df, 50) is not None
