@@ -4,10 +4,10 @@ from pyspark.sql import DataFrame, functions as F
 from riskspark.functions.num import rnd
 from riskspark.operators import evidence as V5, forecast as T, intel as I, memory as ME, network as N, risk as R, signals as S
 from riskspark.plans import q_intel as QI
-from riskspark.plans.oracle import clone, cte, r, r9
+from riskspark.plans.oracle import clamp, clone, cte, r, r9
 from riskspark.plans.q_data import plain_sql, reading_signals
 from riskspark.plans.q_risk import CORE_DEPTS, _nations
-from riskspark.plans.registry import query
+from riskspark.plans.registry import ORACLES, query
 from riskspark.session import shared_folder, stage
 from riskspark.sources import feeds as FD, readers as RD
 from riskspark.sources.views import Views
@@ -248,7 +248,7 @@ def s10c(v: Views):
     """Articles with the eight leading trend terms and the number of related article groups."""
     a = v.articles()
     ev = FD.normalize_articles(_articles_in(v))["events"]
-    return FD.with_article_context(ev, S.trend_terms(a, 8), S.related_articles(a)).select("event_id", "arrival", "n_related", "trend_terms")
+    return FD.with_article_context(ev, S.trend_terms(a), S.related_articles(a), 8).select("event_id", "arrival", "n_related", "trend_terms")
 
 
 @query("s11_web_documents", r"""
@@ -602,7 +602,16 @@ def t10(v: Views):
     return ME.category_counts(ME.append_feedback(mem, _feedback(v, mem)))
 
 
-@query("c07_overview")
+_year = lambda i: r(r9(clamp(f"cri + {i}*(drift)")), 6)
+
+
+@query("c07_overview", f"""
+WITH d AS (SELECT a.*, 0.15::double*(0.0::double + 0.40::double*coalesce(w.vacancy_rate_slope, 0.0) + -0.35::double*coalesce(w.placement_pct_slope, 0.0) + 0.25::double*coalesce(w.closing_rank_slope, 0.0)) AS drift
+  FROM nat_o_assess a LEFT JOIN o_wslopes w USING (institution_id)),
+f AS (SELECT institution_id, count(*) AS n_findings, string_agg(concat_ws(': ', severity, signal_name, metric_name), ' | ' ORDER BY position) AS top_findings FROM ({ORACLES['v04_insight_catalog']}) GROUP BY 1)
+SELECT institution_id, cri, risk_level, CASE WHEN cri >= .70 THEN 'critical' WHEN cri >= .50 THEN 'elevated' WHEN cri >= .30 THEN 'watch' ELSE 'stable' END AS status_band, n_anomalies,
+  {_year(1)} AS year1_cri, {_year(2)} AS year2_cri, {_year(3)} AS year3_cri, coalesce(n_findings, 0) AS n_findings, coalesce(top_findings, '') AS top_findings
+FROM d LEFT JOIN f USING (institution_id)""")
 def c07(v: Views):
     from riskspark.operators import features as FT
     an, s = _all_anomalies(v)
