@@ -25,7 +25,7 @@ from riskspark.llm.text import map_arrow, pretokenizer
 #: Windows up to so many bytes are re-encoded by a scan, longer ones with a heap; the shortest ones are remembered.
 SHORT, TINY = 64, 12
 #: Pre-tokens, and pairs of tokens and windows, remembered by one task; a full table is emptied.
-REMEMBERED, REMEMBERED_WINDOWS = 600_000, 200_000
+REMEMBERED, REMEMBERED_WINDOWS = 1_000_000, 200_000
 
 
 class TreeCodec:
