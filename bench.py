@@ -30,7 +30,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     registry.load()
     times, runs, shuffled = {}, {}, {}
-    budget, began = float(os.environ.get("BENCH_BUDGET_S", "300")), time.time()
+    budget, began = float(os.environ.get("BENCH_BUDGET_S", "900")), time.time()
     status = spark.sparkContext._jsc.sc().statusStore()
 
     def written() -> float:

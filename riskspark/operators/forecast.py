@@ -201,14 +201,10 @@ def compare_outcomes(pairs: DataFrame) -> DataFrame:
 
 def hindcast(states: DataFrame) -> DataFrame:
     """Forecast one step from every cutoff with two or more periods and compare with the next observed index."""
-    nxt = states.select(*INST, F.col("cutoff").alias("_c"), F.col("cri").alias("observed_value"))
-    order = states.select(*INST, "cutoff").join(
-        states.select(*INST, F.col("cutoff").alias("_c")), INST).where("_c > cutoff").groupBy(*INST, "cutoff").agg(
-        F.min("_c").alias("target_year"))
-    base = states.where("is_sufficient").join(order, [*INST, "cutoff"])
-    pts = project(base, 1)
-    j = pts.join(nxt, (pts.institution_id == nxt.institution_id) & (pts.target_year == nxt._c)).select(
-        pts.institution_id, "cutoff", "target_year", F.lit("composite_risk_index").alias("metric_name"),
+    order = W.partitionBy(*INST).orderBy("cutoff")  # a row for each observed year
+    base = states.withColumns({"target_year": F.lead("cutoff").over(order), "observed_value": F.lead("cri").over(order)})
+    j = project(base.where("is_sufficient AND target_year IS NOT NULL"), 1).select(
+        *INST, "cutoff", "target_year", F.lit("composite_risk_index").alias("metric_name"),
         F.col("projected_cri").alias("predicted_value"), "observed_value", "band_low", "band_high")
     return compare_outcomes(j)
 
