@@ -82,13 +82,57 @@ def resolved_chain(v: Views):
     return ev, res, conf, D.corroborate(linked, conf)
 
 
-@query("e05_claim_conflicts")
+_says = lambda words: "(" + " OR ".join(f"contains(lower(coalesce(description, '')), '{w}')" for w in words) + ")"
+cte("o_res", E04)
+cte("o_claim", f"""
+SELECT e.event_id, e.arrival, e.status, e.source_id, {_says(D.RESTORED)} AS rest, {_says(D.DISRUPTED)} AS disr,
+  coalesce(CASE e.severity {' '.join(f"WHEN '{k}' THEN {n}" for k, n in D.SEVERITY_RANK.items())} END, 2) AS sev, e.origin_hash, e.confidence,
+  coalesce(s.independence_group, e.source_id) AS grp, coalesce(s.is_official_source, FALSE) AS official FROM v_evt e LEFT JOIN v_src s ON s.source_id = e.source_id""")
+cte("o_ln", """
+SELECT c.*, row_number() OVER (ORDER BY c.arrival) AS k, r.matched_id, p.arrival AS up, r.duplicate_status AS dup
+FROM o_claim c JOIN o_res r USING (event_id) LEFT JOIN o_claim p ON p.event_id = r.matched_id""")
+# The rule told step by step: report k changes the record that it matched and, unless merged, starts one of its own.
+cte("o_fold", """
+WITH RECURSIVE ln AS MATERIALIZED (SELECT * FROM o_ln),
+st(id, k, canon, status, corr, conf, srcs, grps, hashes, official, n_conflicts, n_merged, topic) USING KEY (id) AS (
+  SELECT -1::bigint, 0::bigint, FALSE, ''::varchar, ''::varchar, 0::double, []::varchar[], []::varchar[], []::varchar[], FALSE, 0::bigint, 0::bigint, NULL::varchar
+  UNION
+  SELECT CASE w WHEN 0 THEN -1 WHEN 1 THEN arrival ELSE up END, k, w = 2 OR (w = 1 AND NOT merge),
+    CASE w WHEN 1 THEN CASE WHEN dup = 'unique' AND official THEN 'CONFIRMED' WHEN NOT merge AND topic IS NOT NULL THEN 'CONTESTED' ELSE status END
+      WHEN 2 THEN CASE WHEN NOT merge THEN p_status WHEN nc > 0 THEN 'CONTESTED' WHEN off2 OR ind >= 2 THEN 'CONFIRMED' ELSE p_status END ELSE '' END,
+    CASE w WHEN 1 THEN CASE WHEN dup = 'unique' AND official THEN 'Official-source confirmation' WHEN NOT merge AND topic IS NOT NULL THEN 'Conflicting-source signal' ELSE 'Single-source signal' END
+      WHEN 2 THEN CASE WHEN NOT merge AND topic IS NULL THEN p_corr WHEN nc > 0 THEN 'Conflicting-source signal' WHEN off2 THEN 'Official-source confirmation'
+        WHEN ind >= 2 THEN 'Multi-source corroborated signal' ELSE 'Single-source signal' END ELSE '' END,
+    CASE w WHEN 1 THEN confidence WHEN 2 THEN CASE WHEN NOT merge THEN p_conf WHEN nc > 0 THEN greatest(0.45::double, p_conf - 0.15::double) WHEN off2 AND ind >= 2 THEN least(0.98::double, p_conf + 0.08::double)
+      WHEN NOT off2 AND ind >= 2 THEN least(0.95::double, p_conf + 0.06::double*(ind - 1)) ELSE p_conf END ELSE 0 END,
+    CASE w WHEN 1 THEN [source_id] WHEN 2 THEN s2 ELSE [] END, CASE w WHEN 1 THEN [grp] WHEN 2 THEN g2 ELSE [] END, CASE w WHEN 1 THEN [origin_hash] WHEN 2 THEN h2 ELSE [] END,
+    CASE w WHEN 1 THEN official WHEN 2 THEN off2 ELSE FALSE END, CASE w WHEN 1 THEN CASE WHEN NOT merge AND topic IS NOT NULL THEN 1 ELSE 0 END WHEN 2 THEN nc ELSE 0 END,
+    CASE w WHEN 2 THEN p_merged + CASE WHEN merge THEN 1 ELSE 0 END ELSE 0 END, CASE w WHEN 1 THEN topic WHEN 2 THEN p_topic END
+  FROM (SELECT *, least(len(g2), greatest(1, len(h2))) AS ind FROM (SELECT *, p_nc + CASE WHEN topic IS NULL THEN 0 ELSE 1 END AS nc,
+      CASE WHEN merge THEN list_distinct(list_append(p_srcs, source_id)) ELSE p_srcs END AS s2, CASE WHEN merge THEN list_distinct(list_append(p_grps, grp)) ELSE p_grps END AS g2,
+      CASE WHEN merge THEN list_distinct(list_append(p_hashes, origin_hash)) ELSE p_hashes END AS h2, p_off OR (merge AND official) AS off2
+    FROM (SELECT e.*, e.dup = 'confirmed_duplicate' AS merge, p.status AS p_status, p.corr AS p_corr, p.conf AS p_conf, p.srcs AS p_srcs, p.grps AS p_grps, p.hashes AS p_hashes, p.official AS p_off,
+        p.n_conflicts AS p_nc, p.n_merged AS p_merged, p.topic AS p_topic,
+        CASE WHEN e.up IS NULL THEN NULL WHEN ((e.rest OR e.status = 'RESOLVED') AND q.disr AND p.status = 'ACTIVE') OR ((q.rest OR p.status = 'RESOLVED') AND e.disr AND e.status = 'ACTIVE')
+          THEN 'operational_status_and_impact' WHEN abs(q.sev - e.sev) >= 2 THEN 'severity_assessment' END AS topic
+      FROM st t JOIN ln e ON t.id = -1 AND e.k = t.k + 1 LEFT JOIN recurring.st p ON p.id = e.up LEFT JOIN ln q ON q.arrival = e.up))), (VALUES (0), (1), (2)) z(w)
+  WHERE w < 2 OR up IS NOT NULL)
+SELECT * FROM st WHERE id >= 0""")
+
+
+@query("e05_claim_conflicts", """
+SELECT 'conf_' || sha256(concat_ws(':', lower(l.matched_id), lower(l.event_id), f.topic))[1:12] AS conflict_id, l.matched_id AS event_id, l.event_id AS other_event_id, f.topic,
+  p.source_id AS source_a_id, l.source_id AS source_b_id, 0.60::double AS confidence, 'UNRESOLVED' AS resolution_status
+FROM o_fold f JOIN o_ln l ON l.arrival = f.id JOIN o_claim p ON p.event_id = l.matched_id WHERE f.topic IS NOT NULL""")
 def e05(v: Views):
     _, _, conf, _ = resolved_chain(v)
     return D.claim_conflicts(conf)
 
 
-@query("e06_corroborate")
+@query("e06_corroborate", f"""
+SELECT l.event_id, f.status, f.corr AS corroboration_status, {r(r9('f.conf'), 3)} AS confidence, len(f.srcs)::int AS source_count,
+  CASE WHEN f.n_merged > 0 THEN least(len(f.grps), len(f.hashes)) ELSE 1 END::int AS independent_source_count, f.n_conflicts::int AS n_conflicts, f.n_merged::int AS n_merged
+FROM o_fold f JOIN o_ln l ON l.arrival = f.id WHERE f.canon""")
 def e06(v: Views):
     return resolved_chain(v)[3]
 
