@@ -24,8 +24,10 @@ from riskspark.llm.text import map_arrow, pretokenizer
 
 #: Windows up to so many bytes are re-encoded by a scan, longer ones with a heap; the shortest ones are remembered.
 SHORT, TINY = 64, 12
-#: Pre-tokens, and pairs of tokens and windows, remembered by one task; a full table is emptied.
-REMEMBERED, REMEMBERED_WINDOWS = 1_000_000, 200_000
+#: Pre-tokens remembered by one task, in two halves: a full new half becomes the old one, from which those used again move on.
+REMEMBERED = 400_000
+#: Pairs of tokens, and windows, remembered by one task; a full table is emptied.
+REMEMBERED_WINDOWS = 100_000
 
 
 class TreeCodec:
@@ -35,6 +37,7 @@ class TreeCodec:
         self.ranks, self.split = ranks, pretokenizer(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pairs: dict[int, list[int]] = {}
         self.windows: dict[bytes, list[int]] = {}
 
@@ -144,13 +147,15 @@ class TreeCodec:
         except KeyError:
             out = []
             for p in pieces:
-                ids = seen.get(p)
+                ids = self.seen.get(p)
                 if ids is None:
-                    ids = b"".join(t.to_bytes(4, "little") for t in self.piece(p.encode()))
+                    ids = self.old.get(p)
+                    if ids is None:
+                        ids = b"".join(t.to_bytes(4, "little") for t in self.piece(p.encode()))
                     if len(p) <= 64:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen[p] = ids
+                        if len(self.seen) >= REMEMBERED // 2:
+                            self.old, self.seen = self.seen, {}
+                        self.seen[p] = ids
                 out.append(ids)
             return b"".join(out)
 
