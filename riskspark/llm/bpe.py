@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-Encoding: the bytes of a pre-token are halved recursively down to single bytes, the leaves; two encoded halves are joined by re-encoding a window of
+Encoding: the bytes of a pre-token are halved recursively down to leaves of at most two bytes; two encoded halves are joined by re-encoding a window of
 tokens around the boundary. The window grows until its outermost tokens are the ones that stood there before. Every pair of
 adjacent tokens in the result is then one that also arises when the pair is encoded alone, and a sequence with that
 property is the encoding of the whole (a merge across two tokens would also happen in the pair alone). Decoding
@@ -38,6 +38,7 @@ class TreeCodec:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.seen: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.leaves: dict[bytes, list[int]] = {}
         self.pairs: dict[int, list[int]] = {}
         self.windows: dict[bytes, list[int]] = {}
 
@@ -131,9 +132,17 @@ class TreeCodec:
             i, j = (i if keeps_left else min(2 * i, len(left))), (j if keeps_right else min(2 * j, len(right)))
             window = self.window(b"".join([back[t] for t in left[-i:]] + [back[t] for t in right[:j]]))
 
+    def leaf(self, data: bytes) -> list[int]:
+        """Encoding of one or two bytes, remembered (there are 65,792 such leaves)."""
+        out = self.leaves.get(data)
+        if out is None:
+            out = self.leaves[data] = self.short_window(data)
+        return out
+
     def piece(self, data: bytes) -> list[int]:
-        """Encode one pre-token: its bytes are the leaves; one level of the tree after the other joins neighbours, an odd last span moves up."""
-        spans, join = [[self.ranks[data[k:k + 1]]] for k in range(len(data))], self.join
+        """Encode one pre-token: at most two bytes are a leaf; one level of the tree after the other joins neighbours, an odd last span moves up."""
+        leaf, join = self.leaf, self.join
+        spans = [leaf(data[k:k + 2]) for k in range(0, len(data), 2)]
         while len(spans) > 1:
             rest = spans[-1:] if len(spans) % 2 else []
             spans = [*map(join, spans[:-1:2] if rest else spans[::2], spans[1::2]), *rest]
