@@ -1,7 +1,7 @@
 """Data-quality audit of long signals (Q01-Q06, Q08-Q10)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from riskspark.functions.num import key9, rnd
 
@@ -11,10 +11,19 @@ BUCKET = ["institution_id", "department", "program", "period", "metric_name"]
 UNDATED = "time_period IS NULL AND academic_year IS NULL"
 
 
-def undated_signals(signals: DataFrame) -> DataFrame:
-    """Per institution: how many signals carry neither period nor year. ``undated_locations`` lists all of them."""
-    return signals.where(UNDATED).groupBy("institution_id").agg(F.count("*").alias("n_undated")).select(
-        "institution_id", F.lit("missing_periods").alias("issue_type"), F.lit("MEDIUM").alias("severity"), "n_undated")
+def undated_signals(signals: DataFrame, refs: int = 5) -> DataFrame:
+    """Per institution: how many signals carry neither period nor year, and the locations of the first ``refs`` of them.
+
+    ``undated_locations`` lists all of them. Spark keeps the first rows of every institution within each partition, so no step gathers a whole group.
+    """
+    u = signals.where(UNDATED)
+    w = W.partitionBy("institution_id").orderBy(F.asc_nulls_last("seq"), F.asc_nulls_last("location"))
+    first = u.select("institution_id", "seq", "location").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= refs)
+    first = first.groupBy("institution_id").agg(F.array_sort(F.collect_list(F.struct("_n", "location"))).alias("_r"))
+    n = u.groupBy("institution_id").agg(F.count("*").alias("n_undated"))
+    n = n.join(first, n.institution_id.eqNullSafe(first.institution_id)).drop(first.institution_id)
+    return n.select("institution_id", F.lit("missing_periods").alias("issue_type"), F.lit("MEDIUM").alias("severity"), "n_undated",
+                    F.transform("_r", lambda x: x["location"]).alias("refs"))
 
 
 def undated_locations(signals: DataFrame) -> DataFrame:

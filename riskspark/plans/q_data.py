@@ -482,9 +482,11 @@ def x10(v: Views):
 
 # ---- Q ------------------------------------------------------------------------------------------
 @query("q01_undated_signals", """
-SELECT institution_id, 'missing_periods' AS issue_type, 'MEDIUM' AS severity, count(*) AS n_undated FROM o_rsig WHERE time_period IS NULL AND academic_year IS NULL GROUP BY 1""")
+WITH u AS (SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY rid) AS rn FROM o_rsig WHERE time_period IS NULL AND academic_year IS NULL)
+SELECT institution_id, 'missing_periods' AS issue_type, 'MEDIUM' AS severity, count(*) AS n_undated, string_agg(location, ',' ORDER BY rid) FILTER (rn <= 5) AS refs FROM u GROUP BY 1""")
 def q01(v: Views):
-    return Q.undated_signals(reading_signals(v))
+    named = F.when(F.exists("refs", lambda x: x.isNotNull()), F.array_join("refs", ","))
+    return Q.undated_signals(reading_signals(v)).withColumn("refs", named)
 
 
 @query("q01_undated_locations", "SELECT institution_id, rid AS seq, location FROM o_rsig WHERE time_period IS NULL AND academic_year IS NULL")

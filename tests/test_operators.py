@@ -213,3 +213,10 @@ def test_files_are_read_with_either_encoding(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes("Name,Wert\nÄ,\"1,5\"\n".encode("latin-1"))
     c = {(r.doc, r.row, r.col): r.text for r in RD.parse_delimited(RD.read_documents(spark, str(tmp_path))).collect()}
     assert c[("a.csv", 1, 1)] == "Name" and c[("a.csv", 2, 1)] == "Ä" and c[("b.csv", 2, 1)] == "Ä" and c[("b.csv", 2, 2)] == "1,5"
+
+
+def test_undated_signals_name_their_first_locations(spark):
+    rows = [("A", k, f"R{k}", None, None) for k in (9, 3, 7, 1, 5, 8)] + [("A", 2, "R2", "2020", None), ("B", 1, "R1", None, 2021), ("C", None, None, None, None), (None, 4, "R4", None, None)]
+    d = spark.createDataFrame(rows, "institution_id string, seq long, location string, time_period string, academic_year int").repartition(3)
+    got = {r.institution_id: (r.n_undated, r.refs) for r in Q.undated_signals(d).collect()}
+    assert got == {"A": (6, ["R1", "R3", "R5", "R7", "R8"]), "C": (1, [None]), None: (1, ["R4"])}
