@@ -5,7 +5,7 @@ their tokens in place of the text. Stages work on what they are given: each lear
 
 Defined results: null, empty and letterless texts go in the first stage (the others let them pass); rows without an id are kept unless they copy
 another row; rows that repeat an id and its text become one in the second stage; further columns are carried along, whatever their names, but
-`ids` and `n_tokens`, which the last stage replaces; empty tables give empty results.
+`lang`, which the first stage replaces, and `ids` and `n_tokens`, which the last one does; empty tables give empty results.
 """
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from riskspark.session import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go: no text or no letter, or none to learn from."""
+    """Documents without an identifiable language go: no text or no letter, or none to learn from. The others carry the language found as `lang` from here on."""
     return langid.with_language(docs)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.text import chunks, drawn, fold_of, map_arrow, minus, once, text_key, utf8
+from riskspark.llm.text import chunks, drawn, fold_of, map_arrow, once, utf8
 
 #: Bytes of a window; filter widths; filters of each width; numbers of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 12
@@ -151,6 +151,7 @@ def _balanced(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, n
 def identify(docs: DataFrame, per_language: int = 800, keep: list[str] | None = None, windows_per_text: int = 6) -> DataFrame:
     """doc_id, held_out, lang_pred and score (probability of lang_pred) of every whole text, and the columns in `keep`."""
     keep = keep or []
+    own = [c for c in keep if c != "text"]  # a kept text is the one judged: it goes to the workers once
     x, y, languages = training_windows(docs, per_language, windows_per_text)
     held_out = (fold_of("doc_id", 4) == 2).alias("held_out")
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -179,13 +180,16 @@ def identify(docs: DataFrame, per_language: int = 800, keep: list[str] | None =
                 best = q.argmax(1)
                 yield pa.record_batch([
                     batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([languages[b] if k else "und" for b, k in zip(best, letters, strict=True)]),
-                    pa.array(np.where(letters, q[np.arange(j - i), best], 0.0)), *(c.slice(i, j - i) for c in batch.columns[4:])],
+                    pa.array(np.where(letters, q[np.arange(j - i), best], 0.0)),
+                    *(batch.column(2 if c == "text" else 4 + own.index(c)).slice(i, j - i) for c in keep)],
                     names=["doc_id", "held_out", "lang_pred", "score", *keep])
     letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letters")
-    return docs.select("doc_id", held_out, "text", letters, *keep).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + more)
+    return docs.select("doc_id", held_out, "text", letters, *own).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + more)
 
 
 def with_language(docs: DataFrame, least: float = 0.0, per_language: int = 800) -> DataFrame:
-    """Rows of `docs` with an identifiable language, found with a probability of at least `least`, with all their columns."""
-    found = identify(docs.select("doc_id", "text", "lang", text_key().alias("key")), per_language, ["key"])
-    return minus(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id", "key").distinct())
+    """Rows of `docs` with an identifiable language, found with a probability of at least `least`, with all their columns; `lang` becomes the language found."""
+    kept = {c: "text" if c == "text" else f"__{i}" for i, c in enumerate(docs.columns) if c != "lang"}  # columns may bear the names of results
+    given = docs.select("doc_id", "text", "lang", *[F.col(f"`{c}`").alias(n) for c, n in kept.items() if c != "text"])
+    found = identify(given, per_language, list(kept.values())).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*[F.col(kept.get(c, "lang_pred")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

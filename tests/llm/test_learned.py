@@ -74,6 +74,19 @@ def test_language_odd_rows(odd_docs, no_docs):
     assert langid.identify(no_docs).count() == 0 and {r.lang_pred for r in langid.identify(odd_docs.where("lang IS NULL")).collect()} == {"und"}
 
 
+def test_language_found_goes_with_the_document(spark):
+    """Wrong and missing labels give way to the language found; the other columns, repeated rows included, stay as they are."""
+    word = {"en": "the house stands near the river and they were walking home", "de": "das haus steht nahe dem fluss und wir gehen gerne nach hause"}
+    rows = [(i, f"{w} {i} {w[i % 30:]}", k, i * 10) for i in range(300) for k, w in word.items()]
+    odd = [(1000, word["de"], None, 1), (1001, word["en"], "de", 2), (1001, word["en"], "de", 2), (None, word["de"], "en", 3)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score long").repartition(4)
+    got = langid.with_language(docs)
+    assert got.schema.names == docs.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+    assert sorted((r.text, r.score) for r in got.collect()) == sorted((r[1], r[3]) for r in rows + odd)
+    found = {(r.doc_id, r.text): r.lang for r in got.collect()}
+    assert [found[r[0], r[1]] for r in odd] == ["de", "en", "en", "de"]
+
+
 def test_segmentation_is_the_most_probable():
     counts = {"free": 30, "bets": 20, "fre": 1, "ebets": 1, "casino": 9, "win": 40, "a": 5, "b": 5}
     s, rnd = urls.Segmenter(counts, 200), random.Random(1)
