@@ -158,3 +158,15 @@ def test_recurring_report_without_a_city(spark):
     began = time.time()
     got = {r.arrival for r in D.resolve_canonical(ev, D.similar_shapes(D.shapes(ev))).collect()}
     assert got == set(range(0, 3650, 4)) and time.time() - began < 120
+
+
+def test_pairs_below_the_bound_are_not_written(spark):
+    """Groups of titles that share one rare word each: no pair of them leaves the join, while every really similar pair does."""
+    from pyspark.sql import functions as F
+    rows = [(f"s{i}", "x", "y", "t", [f"g{i // 20:03d}"] + [f"w{i}x{k}" for k in range(9)], []) for i in range(200)]
+    rows += [(f"c{i}", "x", "y", "t", rows[i][4][:9] + [f"new{i}"], []) for i in range(0, 200, 7)]
+    sh = spark.createDataFrame(rows, "shape string, country_l string, city_l string, event_type string, tokens array<string>, ents array<string>").repartition(3)
+    found = D._blocked_pairs(D.ranked_words(sh), ["country_l", "city_l", "event_type"], F.lit(0.559), F.lit(0.559)).distinct().count()
+    assert 58 <= found <= 100  # both ways
+    got = {(r.shape_a, r.shape_b) for r in D.similar_shapes(sh).collect()}
+    assert got == {p for i in range(0, 200, 7) for p in ((f"s{i}", f"c{i}"), (f"c{i}", f"s{i}"))}
