@@ -1,5 +1,6 @@
 """Queries for sources, evidence, network, memory and streaming operators."""
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from riskspark.functions.num import rnd
 from riskspark.operators import evidence as V5, forecast as T, intel as I, memory as ME, network as N, risk as R, signals as S
@@ -642,18 +643,21 @@ def _event_stream(v: Views):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _arriving_files(v: Views, rows: DataFrame, folder: str) -> DataFrame:
+def _arriving_files(v: Views, rows: DataFrame, folder: str, per_file: int = 2_000_000) -> DataFrame:
     """The rows as a stream of files that arrive one after the other, every row up to two hours after its time stamp.
 
-    The last file holds one row a year later, which closes all windows before it.
+    The rows are split by arrival in one pass. A micro-batch takes two arrivals, however many files of ``per_file`` rows they fill, so larger tables make
+    larger micro-batches and not more of them. The last file holds one row a year later, which closes all windows before it.
     """
     came = F.floor((F.unix_timestamp("ts") + F.pmod(F.xxhash64("seq"), F.lit(7200))) / (4 * 86400))
-    rows = rows.withColumn("came", came)
-    first, last = rows.agg(F.min("came"), F.max("came")).first()
-    for k in range(first, last + 1):
-        rows.where(F.col("came") == k).drop("came").write.mode("append").parquet(folder)
+    rows.withColumn("came", came).write.partitionBy("came").parquet(f"{folder}-split")
+    split = v.spark.read.schema(StructType([*rows.schema, StructField("came", LongType())])).parquet(f"{folder}-split")
+    sizes = split.where("came IS NOT NULL").groupBy("came").agg(F.count("*").alias("n")).orderBy("came").collect()  # a row for every four days
+    files = max([1, *(-(-r["n"] // per_file) for r in sizes)])
+    for r in sizes:
+        split.where(F.col("came") == r["came"]).drop("came").repartition(files).write.mode("append").parquet(folder)
     rows.agg(F.lit(-1).cast("long").alias("seq"), (F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"), F.lit("end").alias("content")).write.mode("append").parquet(folder)
-    return v.spark.readStream.schema(rows.drop("came").schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * files).parquet(folder)
 
 
 @query("r01_stream_dedup", _r01)

@@ -46,3 +46,18 @@ def test_state_waits_for_the_next_run_and_forgets(spark, tmp_path):
     run()
     got = sorted((r.ts_s, r.seq) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(100, 1), (3701, 5), (200000, 6), (200001, 7)]
+
+
+def test_arrivals_take_as_many_files_as_their_rows_fill(spark, tmp_path):
+    """A table of many partitions still arrives as one file each four days, and as several where an arrival has more rows than a file takes."""
+    import glob
+    from types import SimpleNamespace
+    from riskspark.plans import q_more
+    rows = spark.range(0, 400, 1, 8).selectExpr("id AS seq", "timestamp_seconds(1704067200 + id * 6400) AS ts", "concat('c', id % 7) AS content")
+    v = SimpleNamespace(spark=spark)
+    for per_file, least, most in ((1000, 8, 10), (20, 18, 40)):
+        folder = f"{tmp_path}/in{per_file}"
+        s = q_more._arriving_files(v, rows, folder, per_file)
+        assert s.isStreaming and s.columns == ["seq", "ts", "content"]
+        assert least <= len(glob.glob(f"{folder}/*.parquet")) <= most
+        assert sorted(r.seq for r in spark.read.parquet(folder).collect()) == list(range(-1, 400))
