@@ -170,3 +170,33 @@ def test_pairs_below_the_bound_are_not_written(spark):
     assert 58 <= found <= 100  # both ways
     got = {(r.shape_a, r.shape_b) for r in D.similar_shapes(sh).collect()}
     assert got == {p for i in range(0, 200, 7) for p in ((f"s{i}", f"c{i}"), (f"c{i}", f"s{i}"))}
+
+
+def test_best_matches_come_from_blocks_not_from_pairs(spark):
+    """However many reports share a frequent word, no row stands for a pair: one comes from each block of earlier reports at most, and the best of them is the best of all."""
+    from pyspark.sql import functions as F
+    events = make(9, 150, 0.2, 0.6)
+    df = spark.createDataFrame([tuple(e[c.split()[0]] for c in SCHEMA.split(", ")) for e in events], SCHEMA).repartition(3)
+    said = [e for e in events if toks(e["title"]) or e["entities"]]
+    want = {}
+    for i, e in enumerate(said):
+        best = max(((sim(c, e), -c["arrival"], c["event_id"]) for c in said[:i]), default=(0,))
+        if best[0] >= .36:
+            want[e["event_id"]] = (best[2], best[0])
+    none = spark.createDataFrame([], "event_id string, floor double")
+    for block in (16, 8192):
+        found = D._shared_word_candidates(D.with_shape(df), none, block)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        assert found.groupBy("event_id").count().agg(F.max("count")).first()[0] <= -(-len(said) // block)
+        assert {r.event_id: (r.matched_id, r.similarity) for r in D._best(found).collect()} == want
+
+
+def test_matches_at_or_above_the_floor_only(spark):
+    """A floor leaves out weaker matches and keeps equal ones; reports without a type, words or entities have no match by words."""
+    rows = [("a", 1, "power outage", "IN", "x", "t", 0, []), ("b", 2, "power grid", "IN", "x", "t", 0, []), ("c", 3, "power outage now", "IN", "x", "t", None, ["U"]),
+            ("d", 4, "power outage", "IN", "x", None, 0, []), ("e", 5, "", "IN", "x", "t", 0, None)]
+    df = D.with_shape(spark.createDataFrame(rows, "event_id string, arrival bigint, title string, country string, city string, event_type string, published_s bigint, entities array<string>"))
+    found = lambda floors: sorted((r.event_id, r.matched_id, r.similarity) for r in D._shared_word_candidates(df, spark.createDataFrame(floors, "event_id string, floor double"), 2).collect())
+    assert found([]) == [("b", "a", 0.667), ("c", "a", 0.783)]
+    assert found([("b", 0.667), ("c", 0.784)]) == [("b", "a", 0.667)]
