@@ -190,6 +190,11 @@ def codec(path: str, pattern: str) -> TreeCodec:
     return TreeCodec(read_ranks(path), pattern)
 
 
+def release() -> None:
+    """Drop the tables that this worker remembers: workers serve all stages of a session, and a step that needs the memory should not stand beside them."""
+    codec.cache_clear()
+
+
 def _column(values: list[bytes]) -> pa.Array:
     """Packed ids as list<int>."""
     offsets = [0]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.llm.bpe import release
 from riskspark.llm.text import chunks, drawn, fold_of, map_arrow, once, utf8
 
 #: Bytes of a window; filter widths; filters of each width; numbers of a byte's embedding.
@@ -160,6 +161,7 @@ def identify(docs: DataFrame, per_language: int = 800, keep: list[str] | None =
     net = docs.sparkSession.sparkContext.broadcast(ByteNet(len(languages)).train(*_balanced(x, y, len(languages))).p)  # a few hundred KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         folded = FoldedNet(net.value)
         for batch in batches:
             data, offsets = utf8(batch.column(2))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.llm.bpe import release
 from riskspark.llm.components import components
 from riskspark.llm.text import byte_class, chunks, distinct_sorted, grams, map_arrow, minus, mix, text_key, utf8, words
 from riskspark.session import stage
@@ -92,6 +93,7 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
 def gram_blocks(docs: DataFrame, bits: int, width: int = 5) -> DataFrame:
     """Grams of every class that a task meets, packed by the leading `bits` bits of the gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         held, total = [], 0
 
@@ -127,19 +129,25 @@ def gram_blocks(docs: DataFrame, bits: int, width: int = 5) -> DataFrame:
 def shared_grams(blocks: DataFrame, bits: int) -> DataFrame:
     """Grams of at least two classes with the number of their classes, packed anew by class."""
     def run(table: pa.Table) -> pa.Table:
+        release()
         sig, size, count = _joined(table, "sigs", np.uint64), _joined(table, "sizes", np.int32), _joined(table, "counts", np.int32)
         token = _joined(table, "tokens", np.uint64)
         first = np.zeros(len(sig), bool)
         first[np.unique(sig, return_index=True)[1]] = True  # a class that several tasks met counts once
         owner = np.repeat(np.arange(len(sig), dtype=np.uint32), count)
-        keep = first[owner]
-        token, owner = token[keep], owner[keep]
+        if not first.all():
+            keep = first[owner]
+            token, owner = token[keep], owner[keep]
         order = np.argsort(token)
         token, owner = token[order], owner[order]
+        del order
+        same = token[1:] == token[:-1]
+        keep = np.zeros(len(token), bool)  # neighbours of an equal gram: most grams go here, before anything is counted
+        keep[1:] |= same
+        keep[:-1] |= same
+        token, owner = token[keep], owner[keep]
         _, length = _runs(token)
-        classes = np.repeat(length, length)
-        keep = classes > 1
-        token, owner, classes = token[keep], owner[keep], classes[keep].astype(np.uint32)
+        classes = np.repeat(length, length).astype(np.uint32)
         part = (mix(sig) >> np.uint64(64 - bits)).astype(np.int64)[owner]
         order = np.lexsort((owner, part))
         rows = _pack(part[order], token[order], owner[order], sig, size, classes[order])

@@ -96,3 +96,52 @@ def test_odd_rows(odd_docs, no_docs):
     kept = J.without_near_copies(odd_docs)
     assert kept.columns == odd_docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["None", "None", "1", "2", "3", "4", "5", "7", "8", "10", "11"])
     assert J.jaccard_components(no_docs).collect() == [] and J.without_near_copies(no_docs).count() == 0
+
+
+class _Caught:
+    """Stands for a table: gives the function that a step runs in its tasks."""
+
+    def select(self, *columns):
+        return self
+    groupBy = select
+
+    def mapInArrow(self, fn, kind):
+        return fn
+    applyInArrow = mapInArrow
+
+
+def test_the_join_stands_beside_no_tokenizer_tables():
+    """A worker that has encoded texts frees the tokenizer's tables when it packs grams, and when it gathers them."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from riskspark.llm import bpe
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["a b c d e f", "a b c d e g"])], names=["doc_id", "text"])
+    encode = lambda: bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).encode("a text of some words")
+    encode()
+    packed = list(J.gram_blocks(_Caught(), 3)(iter([batch])))
+    assert bpe.codec.cache_info().currsize == 0
+    encode()
+    J.shared_grams(_Caught(), 3)(pa.Table.from_batches(packed))
+    assert bpe.codec.cache_info().currsize == 0
+
+
+def test_gathering_grams_takes_few_bytes_each():
+    """Grams that only one class holds go before anything is counted: at most 40 bytes a gram beside the given ones."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    n, each = 2000, 250
+    token = np.random.default_rng(1).integers(0, 1 << 63, n * each).astype(np.uint64)
+    token[:each] = token[each:2 * each]  # the first two classes share their grams
+    sig = np.arange(1, n + 1, dtype=np.uint64)
+    count = np.full(n, each, np.int32)
+    table = pa.table({"part": pa.array([0]), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("tokens", token), ("sigs", sig), ("sizes", count), ("counts", count))}})
+    run = J.shared_grams(_Caught(), 3)
+    tracemalloc.start()
+    out = run(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(x) for x in out.column("tokens").to_pylist()) == 2 * each * 8
+    assert peak <= 40 * n * each, peak / n / each
