@@ -200,3 +200,52 @@ def test_matches_at_or_above_the_floor_only(spark):
     found = lambda floors: sorted((r.event_id, r.matched_id, r.similarity) for r in D._shared_word_candidates(df, spark.createDataFrame(floors, "event_id string, floor double"), 2).collect())
     assert found([]) == [("b", "a", 0.667), ("c", "a", 0.783)]
     assert found([("b", 0.667), ("c", 0.784)]) == [("b", "a", 0.667)]
+
+
+@pytest.mark.parametrize("seed,undated,named", [(10, 0.0, 0.0), (11, 0.2, 0.7)])
+def test_close_events_first_then_all_others(spark, seed, undated, named):
+    """The best match of every report is found among those of its city and type or within three days, or by the blocks that need not look there again."""
+    rnd = random.Random(seed)
+    words = [f"w{int(rnd.paretovariate(0.8)) % 300}" for _ in range(400)]
+    events = make(seed, 160, undated, named)
+    for e in events:  # skewed words, months apart; some reports name entities only
+        e["title"] = " ".join(rnd.sample(words, rnd.randint(1, 25))) if rnd.random() < 0.95 else ""
+        e["published_s"] = e["published_s"] and e["published_s"] * 90
+        e["city"], e["event_type"] = rnd.choice(["a", "A", "b", "c", "d", "e", None]), rnd.choice("uvwxyz")
+    for i in range(40, 160, 3):
+        events[i]["title"] = events[i - 40]["title"] + " " + rnd.choice(words)
+    df = spark.createDataFrame([tuple(e[c.split()[0]] for c in SCHEMA.split(", ")) for e in events], SCHEMA).repartition(3)
+    said = [e for e in events if toks(e["title"]) or e["entities"]]
+    want = {}
+    for i, e in enumerate(said):
+        top = max(((sim(c, e), -c["arrival"], c["event_id"]) for c in said[:i]), default=(0,))
+        if top[0] >= .36:
+            want[e["event_id"]] = (top[2], top[0])
+    from pyspark.sql import functions as F
+    from riskspark.session import stage
+    worded = D._worded(D.with_shape(df))
+    best = lambda d: {r.event_id: (r.matched_id, r.similarity) for r in D._best(d).collect()}
+    for block in (24, None):
+        close = stage(D._close_candidates(worded[0], spark.createDataFrame([], "event_id string, floor double"), block))
+        floors = close.groupBy("event_id").agg(F.max("similarity").alias("floor"))
+        rest = D._shared_word_candidates(worded[0], floors, block, worded)
+        assert best(close.unionByName(rest)) == want
+        assert block is None or best(close) != want
+
+
+def test_frequent_words_are_not_looked_up():
+    """Titles of three words that all share and nine of their own: where a match needs half of a title, no pair of them is scored, and a later copy finds its original."""
+    import numpy as np
+    import pyarrow as pa
+    titles = [[0, 1, 2] + [10 + 9 * i + k for k in range(9)] for i in range(500)] + [[0, 1, 2] + [10 + 9 * 7 + k for k in range(8)] + [9]]
+    e = pa.array([{"event_id": f"e{i}", "arrival": i, "published_s": i * 10 ** 6, "country_l": "in", "city_l": f"c{i}", "event_type": f"t{i}", "words": sorted(t), "ents": [], "floor": 0.5} for i, t in enumerate(titles)],
+                 pa.struct([("event_id", pa.string()), ("arrival", pa.int64()), ("published_s", pa.int64()), ("country_l", pa.string()), ("city_l", pa.string()), ("event_type", pa.string()),
+                            ("words", pa.list_(pa.int32())), ("ents", pa.list_(pa.string())), ("floor", pa.float64())]))
+    scored = []
+    kept, D.sharing = D.sharing, lambda a, b, part, narrowed: kept(a, b, part, lambda y, x: (scored.extend(x.tolist()), narrowed(y, x))[1])
+    try:
+        got = D._best_between(e, e, 0, True).to_pylist()
+    finally:
+        D.sharing = kept
+    assert got == [{"event_id": "e500", "matched_id": "e7", "matched_arrival": 7, "similarity": 0.523}] and len(scored) < 1600
+    assert np.isclose(0.5 * 11 / 13 + 0.1, 0.523, atol=1e-3)
